@@ -39,3 +39,28 @@ def lookup(mapping, key, default=None):
 def value_rounded(c, digits):
     """Half-even rounding of the printed decimal value, as the JVM's BigDecimal prints it."""
     return F.bround(col(c), digits)
+
+
+def once(df, **columns):
+    """Adds costly columns so that each is computed exactly once per row.
+
+    A plain projection can be repeated: filters on it (also the NOT NULL filters
+    inferred for joins and explodes) are pushed below it with the expression
+    copied.  The output of a generator is not copied.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def spread(df):
+    """Uses all cores on an input that came in fewer splits than there are cores; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def gather(df, *keys):
+    """One shuffle by ``keys`` into the session's number of shuffle partitions.
+
+    The number is explicit so that costly per-row work after a small shuffle is
+    not coalesced into a single task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.arith import col, growth, literal_map, ratio, sum_present
+from ..functions.arith import col, gather, growth, literal_map, ratio, sum_present
 from ..functions.periods import fiscal_label
 from ..operators.latest import latest_filed
 
@@ -44,7 +44,7 @@ def metric_slots(facts):
 def fiscal_spread(slots):
     """One row per (company, metric, year) with a column per fiscal label."""
     by = [F.max(F.when(F.col("fiscal_period") == p, F.col("value"))).alias(p) for p in LABELS]
-    return slots.repartition("company_id").groupBy("company_id", "canonical_metric", "fiscal_year").agg(*by)
+    return gather(slots, "company_id").groupBy("company_id", "canonical_metric", "fiscal_year").agg(*by)
 
 
 def discrete(spread):

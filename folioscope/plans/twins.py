@@ -8,6 +8,9 @@ are sums of exact cents, so both engines agree to the last bit.
 
 from pyspark.sql import functions as F
 
+from ..functions.arith import spread
+from ..operators.wording import sentence_rows
+
 TWIN_METRICS = ["revenue", "cost_of_revenue", "gross_profit", "operating_income", "pretax_income", "income_tax", "net_income",
                 "operating_cash_flow", "capex", "cash", "accounts_receivable", "inventory", "total_assets", "equity",
                 "deposits", "net_interest_income"]
@@ -20,6 +23,11 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark, folder, name):
+    """A text table, spread over the cores when it comes as one small file."""
+    return spread(table(spark, folder, name))
+
+
 def cents(c):
     return F.round(F.col(c) * 100).cast("long")
 
@@ -94,3 +102,53 @@ def facts(spark, folder):
         year.alias("fiscal_year"), period.alias("fiscal_period"), months.cast("int").alias("period_months"),
         (F.col("span") == "prior").alias("is_comparative"),
         F.when(F.col("cents") % 50 == 0, F.array(F.lit("subsequent_event"))).otherwise(F.array().cast("array<string>")).alias("triggers"))
+
+
+NOTES = [
+    "We recorded an impairment of ${n} million on goodwill during fiscal {y}, net of tax effects.",
+    "The company could be unable to meet the terms of its credit support agreement by March {n}, {y}.",
+    "There have been no material changes to our risk factors since the annual report for fiscal {y}.",
+    "Revenue from Alpha Corp. Services grew {n}% in {y}, and the U.S. Treasury received the payment in full.",
+    "A material weakness was identified and {n} controls were terminated during the year ended June 30, {y}.",
+    "Total assets {n} {y} 12,345 67,890 (1,234) 5.6% 7,001",
+    "Our guarantee of the lease may result in a payment of ${n}.5 billion if the tenant defaults on the loan.",
+    "Management entered into an agreement; The board concluded that substantial doubt was resolved in {y}.",
+]
+
+
+def sections(spark, folder):
+    """Documents as section texts, each with a closing note whose numbers and years depend on the document."""
+    n, y = (F.col("doc_id") % 50 + 1).cast("string"), (F.col("doc_id") % 3 + 2020).cast("string")
+
+    def note(template):
+        return F.replace(F.replace(F.lit(template), F.lit("{n}"), n), F.lit("{y}"), y)
+
+    pick_note = F.element_at(F.array(*[note(t) for t in NOTES]), (F.col("doc_id") % len(NOTES)).cast("int") + 1)
+    return texts(spark, folder, "documents").select(
+        "doc_id", "lang", "source", F.concat("text", F.lit("\n"), pick_note).alias("text"))
+
+
+def section_pairs(spark, folder):
+    """Each document with the earlier one it is compared with.
+
+    The earlier document that first used most of its long lines, else the one 8
+    before it (which closes with the same kind of note).
+    """
+    docs = sections(spark, folder)
+    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.length("line") > 60)
+    lines = lines.select("doc_id", F.md5("line").alias("h"))
+    first = lines.groupBy("h").agg(F.min("doc_id").alias("first_id"))
+    votes = lines.join(first, "h").where(F.col("first_id") < F.col("doc_id")).groupBy("doc_id", "first_id").agg(
+        F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("doc_id").agg(F.max_by("first_id", F.struct("votes", (-F.col("first_id")).alias("f"))).alias("base_id"))
+    return docs.select("doc_id").join(best, "doc_id", "left").withColumn("base_id", F.coalesce("base_id", F.col("doc_id") - 8)).where(
+        F.col("base_id") >= 0)
+
+
+def diff_inputs(spark, folder):
+    """The sentences of both sides of every compared pair; each document is split once, then joined to its pairs."""
+    sides = F.array(F.struct(F.lit("new").alias("side"), F.col("doc_id").alias("id")),
+                    F.struct(F.lit("base").alias("side"), F.col("base_id").alias("id")))
+    wanted = section_pairs(spark, folder).select(F.col("doc_id").alias("pair_id"), F.inline(sides))
+    split = sentence_rows(sections(spark, folder).select(F.col("doc_id").alias("id"), "text"), ["id"])
+    return wanted.join(split, "id").withColumn("same_kind", F.col("pair_id") % 2 == 0)

@@ -36,10 +36,12 @@ def rows_of(names, rows):
 
 def check(spark, con, folder, query, text):
     """(ok, message) for one query."""
+    start = time.time()
     df = query(spark, folder)
     got = [tuple(r) for r in df.collect()]
+    took = f"spark {time.time() - start:.1f}s"
     if text is None:
-        return True, f"{len(got)} rows, no SQL twin"
+        return True, f"{len(got)} rows, no SQL twin, {took}"
     result = con.execute(text)
     want_names = [d[0] for d in result.description]
     want = result.fetchall()
@@ -47,7 +49,7 @@ def check(spark, con, folder, query, text):
         return False, f"columns {sorted(df.columns)} != {sorted(want_names)}"
     a, b = rows_of(df.columns, got), rows_of(want_names, want)
     if a == b:
-        return True, f"{len(a)} rows"
+        return True, f"{len(a)} rows, {took}"
     sa, sb = set(a), set(b)
     return False, (f"{len(a)} rows vs {len(b)}; only spark: {sorted(sa - sb)[:3]} ({len(sa - sb)}); "
                    f"only sql: {sorted(sb - sa)[:3]} ({len(sb - sa)})")
