@@ -84,7 +84,7 @@ def wide(cells, metrics=None):
     """
     metrics = metrics or METRICS
     rows = cells.groupBy(*KEYS).agg(
-        *[F.max(F.when(F.col("canonical_metric") == m, F.col("value"))).alias(m) for m in metrics])
+        *[F.expr(f"max(CASE WHEN canonical_metric = '{m}' THEN value END) AS {m}") for m in metrics])
     w = Window.partitionBy("company_id", "period").orderBy("fiscal_year")
     prior = F.when(F.lag("fiscal_year").over(w) == F.col("fiscal_year") - 1, F.lag(F.struct(*metrics)).over(w))
     return rows.withColumn("prior", prior)

@@ -152,3 +152,83 @@ def diff_inputs(spark, folder):
     wanted = section_pairs(spark, folder).select(F.col("doc_id").alias("pair_id"), F.inline(sides))
     split = sentence_rows(sections(spark, folder).select(F.col("doc_id").alias("id"), "text"), ["id"])
     return wanted.join(split, "id").withColumn("same_kind", F.col("pair_id") % 2 == 0)
+
+
+SECOND_TAGS = {"revenue": "RevenueFromContractWithCustomerExcludingAssessedTax",
+               "capex": "PaymentsToAcquireProductiveAssets"}
+FIRST_TAGS = {"revenue": "Revenues", "gross_profit": "GrossProfit", "operating_income": "OperatingIncomeLoss",
+              "net_income": "NetIncomeLoss", "operating_cash_flow": "NetCashProvidedByUsedInOperatingActivities",
+              "capex": "PaymentsToAcquirePropertyPlantAndEquipment", "cash": "CashAndCashEquivalentsAtCarryingValue"}
+
+
+def companyfacts_json(spark, folder):
+    """The facts as reported-facts JSON, one object per filing (a filing has at most a few dozen facts).
+
+    Filings since 1998 use the newer tags, so series switch tags between years.
+    """
+    f = facts(spark, folder).where(F.col("canonical_metric").isin(list(FIRST_TAGS)))
+    newer = F.year("filing_date") >= 1998
+    tag = F.lit(None).cast("string")
+    for metric, first in FIRST_TAGS.items():
+        tag = F.when(F.col("canonical_metric") == metric, F.when(newer, SECOND_TAGS.get(metric, first)).otherwise(first)).otherwise(tag)
+    entry = F.struct(F.col("period_start").cast("string").alias("start"), F.col("period_end").cast("string").alias("end"),
+                     F.col("value").alias("val"), F.col("form_type").alias("form"), F.col("filing_date").cast("string").alias("filed"),
+                     F.col("fiscal_year").alias("fy"), F.col("fiscal_period").alias("fp"))
+    by_tag = f.withColumn("tag", tag).groupBy("company_id", "filing_id", "tag").agg(F.collect_list(entry).alias("entries"))
+    tags = by_tag.groupBy("company_id", "filing_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        "tag", F.struct(F.create_map(F.lit("USD"), "entries").alias("units"))))).alias("tags"))
+    return tags.select("company_id", F.to_json(F.struct(F.create_map(F.lit("us-gaap"), "tags").alias("facts"))).alias("payload"))
+
+
+def report_dates(spark, folder, annual):
+    """The latest annual (or quarterly) report date of each company."""
+    return filings(spark, folder).where(F.col("is_annual") == annual).groupBy("company_id").agg(F.max("period_end").alias("report_date"))
+
+
+def listing(spark, folder):
+    """Orders as filing lists: ten customers make a registrant, status and priority make the form."""
+    o = table(spark, folder, "orders").withColumn("filing_date", F.to_date("o_orderdate"))
+    base = F.when(F.col("o_orderstatus") == "F", "10-K").when(F.col("o_orderstatus") == "O", "10-Q").otherwise("6-K")
+    form = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(base, F.lit("/A"))).otherwise(base)
+    return o.select(
+        F.floor(F.col("o_custkey") / 10).cast("long").alias("company_id"), F.col("o_orderkey").alias("filing_id"),
+        F.concat(F.lit("A-"), F.col("o_orderkey").cast("string")).alias("accession_number"), form.alias("form_type"), "filing_date",
+        quarter_end(F.year("filing_date"), F.quarter("filing_date")).alias("report_date"),
+        quarter_end(F.year("filing_date"), F.quarter("filing_date")).alias("period_end"),
+        (F.col("o_orderkey") % 2 == 0).alias("inline_xbrl"),
+        (-F.unix_date("filing_date").cast("long") * 100000000 - F.col("o_orderkey")).alias("position"),
+        F.col("o_orderstatus").isin("F").alias("is_annual"))
+
+
+def submissions_json(spark, folder):
+    """Each order as a small list kept as parallel arrays; odd orders lack the tagged flag."""
+    o = listing(spark, folder)
+    twice = F.col("filing_date").cast("string"), F.date_add("filing_date", 20).cast("string")
+    even = F.struct(
+        F.array("form_type", F.lit("8-K")).alias("form"), F.array("accession_number", F.concat("accession_number", F.lit("-b"))).alias("accessionNumber"),
+        F.array(F.lit("a.htm"), F.lit("b.htm")).alias("primaryDocument"), F.array(*twice).alias("filingDate"),
+        F.array(F.col("report_date").cast("string"), F.lit("")).alias("reportDate"),
+        F.when(F.col("filing_id") % 2 == 0, F.array(F.lit(1), F.lit(0))).alias("isInlineXBRL"))
+    return o.select("company_id", (F.lit(2001) - F.year("filing_date")).alias("page"), F.to_json(even).alias("payload"))
+
+
+def written_items(spark, folder):
+    """Items to verify: each document's first line quoted, with its closing note as the statement."""
+    docs = sections(spark, folder)
+    first = F.element_at(F.split("text", "\n"), 1)
+    quote = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring(first, 1, 60), F.lit(" … "), F.substring(first, 61, 60))).when(
+        F.col("doc_id") % 3 == 1, first).otherwise(F.concat(first, F.lit(" something that was never said")))
+    n = F.col("doc_id") % 50 + 1
+    claim = F.when(F.col("doc_id") % 2 == 0, F.format_string("Costs of $%d million", n)).otherwise(
+        F.format_string("Growth of %d%% and $%d.5 billion", n, n))
+    return docs.select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("source_id"), claim.alias("headline"),
+                       F.lit("").alias("detail"), quote.alias("evidence")), docs.select(F.col("doc_id").alias("source_id"), "text")
+
+
+def questions(spark, folder):
+    """User turns as questions, each over the passages of one document source."""
+    t = table(spark, folder, "conversations").where(F.col("role") == "user")
+    before = t.select(F.col("conv_id"), (F.col("turn") + 2).alias("turn"), F.col("text").alias("follow_up"))
+    return t.join(before, ["conv_id", "turn"], "left").select(
+        F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("pool"),
+        F.substring("text", 1, 500).alias("question"), F.substring("follow_up", 1, 500).alias("follow_up"))

@@ -19,6 +19,9 @@ def local_session(cores="*", shuffle_partitions=8, app="folioscope", driver_memo
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # recording the Python call site of every Column costs more than building the plan
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
