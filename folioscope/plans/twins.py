@@ -232,3 +232,55 @@ def questions(spark, folder):
     return t.join(before, ["conv_id", "turn"], "left").select(
         F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("pool"),
         F.substring("text", 1, 500).alias("question"), F.substring("follow_up", 1, 500).alias("follow_up"))
+
+
+def renamed_facts(spark, folder):
+    """Disclosure lines under three-part keys, repeated a year later as comparatives.
+
+    Every third company drops a word from its keys in 1999, so the comparatives of
+    that year show the old values under the new keys.
+    """
+    own = facts(spark, folder).where("canonical_metric IS NULL AND NOT is_comparative")
+    keyed = own.select(
+        "company_id", "filing_id", "filing_date", "form_type", "fact_id", "canonical_metric", "category", "value", "currency", "period_start",
+        "period_end", F.element_at(F.split("fact_key", "_"), -1).alias("no"), F.lit("us-gaap:Items").alias("xbrl_concept"))
+    again = keyed.withColumn("filing_id", F.col("filing_id") + 4).withColumn("filing_date", F.add_months("filing_date", 12))
+
+    def named(df, comparative):
+        short = (F.col("company_id") % 3 == 0) & (F.year("filing_date") >= 1999)
+        key = F.concat(F.col("category"), F.lit(".items."), F.when(short, "cloud_line_").otherwise("multi_cloud_line_"), F.col("no"))
+        return df.withColumn("fact_key", key).withColumn("is_comparative", F.lit(comparative))
+
+    return named(keyed, False).unionByName(named(again, True))
+
+
+def breakdown_facts(spark, folder):
+    """Flow metrics read as segments and regions."""
+    f = facts(spark, folder).where("canonical_metric IN ('gross_profit', 'operating_income', 'net_income', 'cost_of_revenue', 'income_tax')")
+    segment = F.col("canonical_metric").isin("gross_profit", "operating_income", "net_income")
+    family = F.when(segment, "segment").otherwise("geography")
+    measure = F.when(F.col("canonical_metric") == "net_income", "operating_income").otherwise("revenue")
+    return f.withColumn("category", family).withColumn("fact_key", F.concat_ws(".", family, measure, F.col("canonical_metric")))
+
+
+def share_facts(spark, folder):
+    """Order lines as anonymized customers' shares of revenue: discount as the share, line number as the customer's letter."""
+    f = _lines(spark, folder).select(
+        F.col("l_suppkey").alias("company_id"), F.year("ordered").alias("fy"), F.quarter("ordered").alias("q"), "l_linenumber", "disc")
+    g = f.groupBy("company_id", "fy", "q", "l_linenumber").agg(F.max("disc").alias("disc"))
+    end = quarter_end(F.col("fy"), F.col("q"))
+    basis = F.when(F.col("l_linenumber") <= 4, "revenue").otherwise("receivable")
+    return g.select(
+        "company_id", filing_no("company_id", "fy", "q").alias("filing_id"), F.date_add(end, 30).alias("filing_date"),
+        F.concat_ws("|", "company_id", "fy", "q", "l_linenumber").alias("fact_id"), F.lit("customer_concentration").alias("category"),
+        F.concat(F.lit("customer_concentration.concentration_risk."), basis, F.lit(".customer_"), F.col("l_linenumber").cast("string")).alias("fact_key"),
+        F.lit("ratio").alias("normalized_unit"), (F.col("disc") / 100.0).alias("value"), end.alias("period_end"),
+        F.lit(3).alias("period_months"), F.lit(False).alias("is_comparative"))
+
+
+def change_rows(changes):
+    """Scored numeric changes in the shape the grouping and the omission check read."""
+    return changes.where(F.col("change_type") != "repeated").select(
+        "company_id", F.concat_ws("|", "fact_key", "period_type").alias("change_id"), "kind", "category", "change_type", "label",
+        F.lit(None).cast("string").alias("text"), "value", "base_value", "unit", "currency", "score", "tier", "flags",
+        F.lit(None).cast("string").alias("first_itemized"))
