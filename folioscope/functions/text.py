@@ -12,8 +12,9 @@ PAGE_ARTIFACT = r"(?i)\s*\b\d{0,3}\s*Table of Contents\b\s*"
 PAGE_FURNITURE = r"(?im)^(?:\d{1,3}|PART\s+[IV]+|Item\s+\d{1,2}[A-C]?\.?|Table of Contents)[ \t]*\n"
 CURRENCY_BREAK = (r"(?<=\b(?:USD|CHF|EUR|GBP|CAD|JPY|AUD|HKD|SGD|CNY|TWD|NTD|RMB))[ \t]*\n\s*(?=[\d(])"
                   r"|(?<=[$€£¥])[ \t]*\n\s*(?=\d)")
-SENTENCE_BREAK = ("(?<![A-Z]\\.[A-Z]\\.)" + "".join(rf"(?<!\b{a}\.)" for a in fv.ABBREVIATIONS)
-                  + "(?<=[.!?;])\\s+(?=[A-Z“\"(•])|\\s*•\\s*")
+# the positive look-behind comes first: it fails at once almost everywhere
+SENTENCE_BREAK = ("(?<=[.!?;])(?<![A-Z]\\.[A-Z]\\.)" + "".join(rf"(?<!\b{a}\.)" for a in fv.ABBREVIATIONS)
+                  + "\\s+(?=[A-Z“\"(•])|\\s*•\\s*")
 FIGURE = r"^[$(]*[\d,.%)—–-]*\d[\d,.%)—–-]*$"
 SENTENCE_END = "[.!?:;][”\"')]*$"
 NUMBER = r"\d+(?:,\d{3})*(?:\.\d+)?"
@@ -33,7 +34,7 @@ def collapse(text):
 def prose_text(text):
     """Text with page furniture dropped and wrapped lines joined; a line break ends a sentence."""
     t = F.coalesce(plain_spaces(text), F.lit(""))
-    t = F.regexp_replace(t, PAGE_ARTIFACT, " ")
+    t = F.when(t.rlike("(?i)Table of Contents"), F.regexp_replace(t, PAGE_ARTIFACT, " ")).otherwise(t)
     t = F.regexp_replace(t, CURRENCY_BREAK, " ")
     t = F.regexp_replace(t, PAGE_FURNITURE, "")
     return F.regexp_replace(t, r"[ \t]*\n\s*(?=[a-z])", " ")

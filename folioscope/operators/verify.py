@@ -48,33 +48,35 @@ def _quote_key(fragment):
             .otherwise(F.concat(F.lit("g:"), F.substring(piece, 1, GRAM))))
 
 
+# overlapping runs of three words, words, and the words long enough to cut into pieces
+SHAPES = {"3": r"(?:^|(?<= ))(?=([a-z0-9]+ [a-z0-9]+ [a-z0-9]+))", "1": r"([a-z0-9]+)", "g": rf"(?=([a-z0-9]{{{GRAM}}}))"}
+
+
 def _source_keys(text, kinds):
     """The keys of a normalized source text, of the wanted kinds."""
-    w = _words(text)
-    n = F.size(w)
-    all_kinds = {
-        "3": F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat(F.lit("3:"), F.array_join(F.slice(w, i, 3), " "))),
-        "1": F.transform(w, lambda t: F.concat(F.lit("1:"), t)),
-        "g": F.flatten(F.transform(F.filter(F.array_distinct(w), lambda t: F.length(t) >= GRAM), lambda t: F.transform(
-            F.sequence(F.lit(1), F.length(t) - GRAM + 1), lambda i: F.concat(F.lit("g:"), F.substr(t, i, F.lit(GRAM)))))),
-    }
-    return F.array_distinct(F.concat(*[all_kinds[k] for k in kinds]))
+    def keys(kind):
+        found = F.regexp_extract_all(text, F.lit(SHAPES[kind]), F.lit(1))
+        return F.transform(found, lambda t: F.xxhash64(F.concat(F.lit(kind + ":"), t)))
+
+    return F.concat(*[keys(k) for k in kinds])
 
 
-def find_quotes(quotes, sources, quote="quote", text="text", kinds=("3", "1", "g")):
+def find_quotes(quotes, sources, quote="quote", text="text"):
     """(quote_id, source_id) of every quote found in some source, when the source is not known.
 
     Candidates meet on one key of the quote's longest fragment (an equi-join on
-    hashes), then the real containment test runs on the pair.
+    hashes), then the real containment test runs on the pair.  Sources only emit
+    the kinds of keys the quotes use (at most three values are asked for).
     """
     longest = F.array_max(F.transform(fragments(quote), lambda f: F.struct(F.length(f).alias("n"), f.alias("f")))).f
     asked = once(quotes.select("quote_id", col(quote).alias("quote")), longest=longest).where(
         F.col("longest").isNotNull() & (F.length(letters_and_digits("quote")) >= fv.MIN_QUOTE_CHARS))
-    asked = asked.select("quote_id", "quote", F.xxhash64(_quote_key(F.col("longest"))).alias("key"))
+    asked = once(asked, word=_quote_key(F.col("longest"))).select(
+        "quote_id", "quote", F.substring("word", 1, 1).alias("kind"), F.xxhash64("word").alias("key"))
+    kinds = sorted(r.kind for r in asked.select("kind").distinct().collect()) or ["3"]
     given = once(sources.select("source_id", col(text).alias("text")), norm=letters_and_digits("text")).drop("text")
-    keys = given.select("source_id", F.explode_outer(_source_keys(F.col("norm"), kinds)).alias("k")).select(
-        "source_id", F.xxhash64("k").alias("key"))
-    hits = keys.join(asked.select("quote_id", "key"), "key").select("source_id", "quote_id")
+    keys = given.select("source_id", F.explode_outer(_source_keys(F.col("norm"), kinds)).alias("key"))
+    hits = keys.join(asked.select("quote_id", "key"), "key").select("source_id", "quote_id").distinct()
     pairs = hits.join(given, "source_id").join(asked.select("quote_id", "quote"), "quote_id")
     return pairs.where(quote_in_source("quote", "norm")).select("quote_id", "source_id")
 

@@ -8,7 +8,7 @@ are sums of exact cents, so both engines agree to the last bit.
 
 from pyspark.sql import functions as F
 
-from ..functions.arith import spread
+from ..functions.arith import gather, spread
 from ..operators.wording import sentence_rows
 
 TWIN_METRICS = ["revenue", "cost_of_revenue", "gross_profit", "operating_income", "pretax_income", "income_tax", "net_income",
@@ -146,12 +146,14 @@ def section_pairs(spark, folder):
 
 
 def diff_inputs(spark, folder):
-    """The sentences of both sides of every compared pair; each document is split once, then joined to its pairs."""
+    """The sentences of both sides of every compared pair; texts are gathered by pair before they are split."""
     sides = F.array(F.struct(F.lit("new").alias("side"), F.col("doc_id").alias("id")),
                     F.struct(F.lit("base").alias("side"), F.col("base_id").alias("id")))
     wanted = section_pairs(spark, folder).select(F.col("doc_id").alias("pair_id"), F.inline(sides))
-    split = sentence_rows(sections(spark, folder).select(F.col("doc_id").alias("id"), "text"), ["id"])
-    return wanted.join(split, "id").withColumn("same_kind", F.col("pair_id") % 2 == 0)
+    docs = sections(spark, folder).select(F.col("doc_id").alias("id"), "text")
+    # a merge join keeps the texts spread over the tasks; broadcasting them would run everything after in one
+    texts = wanted.hint("merge").join(docs, "id").select("pair_id", "side", "text", (F.col("pair_id") % 2 == 0).alias("same_kind"))
+    return sentence_rows(gather(texts, "pair_id"), ["pair_id", "side", "same_kind"])
 
 
 SECOND_TAGS = {"revenue": "RevenueFromContractWithCustomerExcludingAssessedTax",
