@@ -286,3 +286,38 @@ def change_rows(changes):
         "company_id", F.concat_ws("|", "fact_key", "period_type").alias("change_id"), "kind", "category", "change_type", "label",
         F.lit(None).cast("string").alias("text"), "value", "base_value", "unit", "currency", "score", "tier", "flags",
         F.lit(None).cast("string").alias("first_itemized"))
+
+
+def tagged_documents(spark, folder):
+    """The facts of a filing as one tagged XHTML document: contexts, units, a statement table and a note.
+
+    A filing has at most a few dozen facts.  Every other company prints decimal
+    commas; every third prints cents with a scale of -2.
+    """
+    f = facts(spark, folder)
+    context = F.concat(F.lit("c-"), F.coalesce(F.col("period_start").cast("string"), F.lit("i")), F.lit("-"), F.col("period_end").cast("string"))
+    period = F.when(F.col("period_start").isNull(), F.concat(
+        F.lit("<xbrli:instant>"), F.col("period_end").cast("string"), F.lit("</xbrli:instant>"))).otherwise(F.concat(
+            F.lit("<xbrli:startDate>"), F.col("period_start").cast("string"), F.lit("</xbrli:startDate><xbrli:endDate>"),
+            F.col("period_end").cast("string"), F.lit("</xbrli:endDate>")))
+    ctx = F.concat(F.lit('<xbrli:context id="'), context, F.lit('"><xbrli:period>'), period, F.lit("</xbrli:period></xbrli:context>"))
+    plain = F.format_number("value", 2)
+    comma = F.col("company_id") % 2 == 1
+    scaled = F.col("company_id") % 3 == 0
+    shown = F.when(scaled, F.format_number(F.round(F.col("value") * 100).cast("long"), 0)).when(
+        comma, F.translate(plain, ",.", ".,")).otherwise(plain)
+    attributes = F.when(scaled, F.lit(' scale="-2"')).when(comma, F.lit(' format="ixt:num-comma-decimal"')).otherwise(F.lit(""))
+    cell = F.concat(
+        F.lit("<tr><td>"), F.col("label"), F.lit('</td><td><ix:nonFraction name="gaap:'), F.replace("fact_key", F.lit("."), F.lit("_")),
+        F.lit('" contextRef="'), context, F.lit('" unitRef="u" decimals="2" id="'), F.col("fact_id"), F.lit('"'), attributes, F.lit(">"), shown,
+        F.lit("</ix:nonFraction></td></tr>"))
+    docs = f.groupBy("filing_id").agg(F.array_join(F.array_sort(F.collect_set(ctx)), "").alias("contexts"),
+                                      F.array_join(F.array_sort(F.collect_list(cell)), "").alias("cells"))
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    head = ('<html xmlns="http://www.w3.org/1999/xhtml" xmlns:ix="http://www.xbrl.org/2013/inlineXBRL" '
+            'xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:gaap="http://fasb.org/us-gaap/2024"><body><ix:header><ix:resources>')
+    unit = '<xbrli:unit id="u"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit></ix:resources></ix:header><table>'
+    note = ('</table><ix:nonNumeric name="gaap:CommitmentsDisclosureTextBlock" contextRef="c" id="n1" continuedAt="n2"><p>Commitments&nbsp;note</p>'
+            '</ix:nonNumeric><p>between</p><ix:continuation id="n2"><p>and its end.</p></ix:continuation></body></html>')
+    return docs.select("filing_id", F.concat(F.lit("d"), F.col("filing_id").cast("string"), F.lit(".htm")).alias("document"),
+                       F.concat(F.lit(head), "contexts", F.lit(unit), "cells", F.lit(note)).alias("content"))
