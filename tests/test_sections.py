@@ -1,0 +1,45 @@
+from folioscope.operators import sections
+
+
+def docs(spark, text, form="10-K"):
+    return spark.createDataFrame([(1, form, text)], "filing_id long, form_type string, text string")
+
+
+FILLER = "\n".join(f"Sentence {i} of the discussion says something about the year and its results." for i in range(40))
+REPORT = f"""Contents
+Item 7. Management's Discussion and Analysis 20 Item 7A. Quantitative disclosures 31
+Item 8. Financial Statements 33
+As described in Part II, Item 7. Management's Discussion and Analysis, we also look ahead.
+Item 7. Management's Discussion and Analysis of Financial Condition
+{FILLER}
+Read this with Item 8. Financial Statements of the report.
+{FILLER}
+Item 7A. Quantitative and Qualitative Disclosures
+The end."""
+
+
+def test_a_section_runs_from_its_heading_to_the_next(spark):
+    got = {r.category: r.text for r in sections.form_sections(docs(spark, REPORT)).collect()}
+    text = got["management_discussion"]
+    assert text.startswith("Item 7. Management's Discussion and Analysis of Financial Condition")
+    assert text.count("Sentence 39") == 2 and "Quantitative and Qualitative" not in text
+
+
+def test_pages_and_cross_references(spark):
+    table = """Form 20-F cross-reference
+Item 3 D. Risk factors Risk factors 12-14
+Item 4. Information on the Company B. Business overview Our businesses 5-7, Note 12 C. Organizational structure
+Item 5. Operating and Financial Review and Prospects A. Operating results Financial review 8-13 B. Liquidity and capital resources 14 E. Critical
+Item 18. Financial statements Consolidated financial statements 20 Item 19. Exhibits"""
+    pages = "\n".join(f"Annual Report 2025\n{n}\nPage {n} begins here with its own words.\nTable row 7\n{n * 3} units sold" for n in range(1, 26))
+    df = spark.createDataFrame([(1, table + "\n" + pages)], "doc_id long, text string")
+    found = sections.page_map(df)
+    assert [r.number for r in found.orderBy("number").collect()] == list(range(1, 26))
+    cited = {}
+    for r in sections.cross_referenced_pages(df, found).collect():
+        cited.setdefault(r.category, set()).add(r.page)
+    assert cited == {"risk_factors": {12, 13, 14}, "business": {5, 6, 7}, "management_discussion": {8, 9, 10, 11}}
+    texts = {r.category: r.text for r in sections.cross_referenced_sections(df, found).collect()}
+    assert "Page 5 begins here" in texts["business"] and "Annual Report 2025" not in texts["business"] and "Page 8" not in texts["business"]
+    spans = sections.page_spans(sections.cross_referenced_pages(df, found), ["doc_id", "category"])
+    assert {(r.category, r.first, r.last) for r in spans.collect()} == {("risk_factors", 12, 14), ("business", 5, 7), ("management_discussion", 8, 11)}
