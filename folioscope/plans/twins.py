@@ -321,3 +321,32 @@ def tagged_documents(spark, folder):
             '</ix:nonNumeric><p>between</p><ix:continuation id="n2"><p>and its end.</p></ix:continuation></body></html>')
     return docs.select("filing_id", F.concat(F.lit("d"), F.col("filing_id").cast("string"), F.lit(".htm")).alias("document"),
                        F.concat(F.lit(head), "contexts", F.lit(unit), "cells", F.lit(note)).alias("content"))
+
+
+def disclosure_sections(spark, folder):
+    """Every compared pair as a company with two annual reports that hold one section each: (sections, filings)."""
+    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("doc_id").alias("id")), F.struct(F.lit(0).alias("side"), F.col("base_id").alias("id")))
+    wanted = section_pairs(spark, folder).select(F.col("doc_id").alias("company_id"), F.inline(sides))
+    category = F.element_at(F.array(*map(F.lit, ["risk_factors", "subsequent_events", "guarantees", "commitments", "management_discussion"])),
+                            (F.col("company_id") % 5).cast("int") + 1)
+    docs = sections(spark, folder).select(F.col("doc_id").alias("id"), "text")
+    texts = wanted.hint("merge").join(docs, "id").select(
+        (F.col("company_id") * 2 + F.col("side")).alias("filing_id"), category.alias("category"), F.lit(0).alias("ordinal"), "text")
+    end = F.make_date(F.lit(2024) + F.col("side"), F.lit(12), F.lit(31))
+    reports = wanted.select("company_id", (F.col("company_id") * 2 + F.col("side")).alias("filing_id"), F.lit("10-K").alias("form_type"),
+                            F.date_add(end, 40).alias("filing_date"), end.alias("period_end"), (F.lit(2024) + F.col("side")).alias("fiscal_year"),
+                            F.lit("FY").alias("fiscal_period"), F.lit(True).alias("is_annual"))
+    return texts, reports
+
+
+def index_pages(spark, folder):
+    """Each order's filing index as an HTML table with three documents."""
+    o = listing(spark, folder).select("filing_id", F.col("company_id").alias("cik"), "accession_number", "form_type", F.lit("main.htm").alias("primary_doc"))
+
+    def row(no, name, kind, size, tag=""):
+        return F.concat(F.lit(f"<tr><td>{no}</td><td>{kind}</td><td><a href=\"/Archives/edgar/data/9/"), F.replace("accession_number", F.lit("-"), F.lit("")),
+                        F.lit(f"/{name}\">{name}</a>{tag}</td><td>{kind}</td><td>"), size, F.lit("</td></tr>"))
+
+    body = F.concat(F.lit("<table class=\"tableFile\"><tr><th>Seq</th></tr>"), row(1, "main.htm", "10-K", F.lit("1200"), " iXBRL"),
+                    row(2, "ex99.htm", "EX-99.1", (F.col("filing_id") % 30000).cast("string")), row(3, "data.xml", "XML", F.lit("5")), F.lit("</table>"))
+    return o.withColumn("html", body)
