@@ -340,3 +340,18 @@ ORACLES = {
             WHERE i.role = 'user') AS x
         GROUP BY conv_id""",
 }
+
+ORACLES["capital_sections"] = sql("""
+    SELECT company_id, section, fact_key, period_type, row_number() OVER (
+               PARTITION BY company_id, section ORDER BY abs(value) DESC, length(fact_key), fact_key) AS place, 0 AS more
+    FROM (SELECT l.company_id, l.section, l.fact_key, l.period_type, l.value FROM slatest AS l JOIN sctx AS c ON c.company_id = l.company_id
+          WHERE l.period_end >= coalesce(c.annual_end, c.latest_end)) AS x""")
+ORACLES["omitted_rows"] = sql(f"""
+    WITH shown AS (
+        SELECT DISTINCT company_id, p = 'FY' AS annual, c.k AS k FROM general_cell
+        WHERE NOT is_bank AND c.v IS NOT NULL AND age <= CASE WHEN p = 'FY' THEN 5 ELSE 8 END)
+    SELECT x.company_id, x.k AS row_key,
+           CASE WHEN EXISTS (SELECT 1 FROM shown AS s WHERE s.company_id = x.company_id AND s.k = x.k AND s.annual)
+                THEN 'only_in_annual_reports' ELSE 'not_found' END AS reason
+    FROM (SELECT company_id, unnest([{", ".join(f"'{k}'" for k in pv.KEY_ROWS)}]) AS k FROM profile WHERE NOT is_bank) AS x
+    WHERE NOT EXISTS (SELECT 1 FROM shown AS s WHERE s.company_id = x.company_id AND s.k = x.k AND NOT s.annual)""")
