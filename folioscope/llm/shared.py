@@ -50,3 +50,18 @@ def batches_of(rows, schema, size=4096):
 def to_batch(rows, schema):
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def chunks_of(batch, column, size=1 << 20):
+    """Slices of a batch with about ``size`` bytes of text: (first row, texts as bytes or None)."""
+    texts = batch.column(column).cast(pa.binary())
+    start, held, total = 0, [], 0
+    for i, value in enumerate(texts):
+        data = value.as_py()
+        if held and total + len(data or b"") > size:
+            yield start, held
+            start, held, total = i, [], 0
+        held.append(data)
+        total += len(data or b"")
+    if held:
+        yield start, held
