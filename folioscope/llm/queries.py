@@ -7,7 +7,7 @@ pipeline would use, and derives the columns that are compared.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate
+from folioscope.llm import bpe, decontaminate, simhash
 
 
 def table(spark, folder, name):
@@ -23,6 +23,12 @@ def op4_byte_bpe(spark, folder):
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_simhash(spark, folder):
+    """Fingerprint of every document and the least document that near-duplicate links reach."""
+    found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_decontamination(spark, folder):
     """Words of every document that windows of benchmark items cover, and the items."""
     found = decontaminate.hits(decontaminate.contaminated(
@@ -58,6 +64,6 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN owners USING (doc_id)
 """
 
-QUERIES = {"op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe}
+QUERIES = {"op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe}
 
 ORACLES = {"op3_decontamination": OP3_SQL}
