@@ -7,7 +7,7 @@ pipeline would use, and derives the columns that are compared.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, simhash
+from folioscope.llm import bpe, decontaminate, simhash, substrings
 
 
 def table(spark, folder, name):
@@ -64,6 +64,32 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN owners USING (doc_id)
 """
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe}
+def op6_substring_dedup(spark, folder):
+    """Words of every document that are left when repeats of 35 words and more are removed."""
+    left = substrings.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
-ORACLES = {"op3_decontamination": OP3_SQL}
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d)
+), again AS (
+  SELECT win FROM windows GROUP BY win HAVING count(*) > 1
+), removed AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS pos FROM windows WHERE win IN (SELECT win FROM again)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS body FROM words ANTI JOIN removed USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe,
+           "op6_substring_dedup": op6_substring_dedup}
+
+ORACLES = {"op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL}
