@@ -7,7 +7,7 @@ pipeline would use, and derives the columns that are compared.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, simhash, substrings
+from folioscope.llm import bpe, decontaminate, simhash, substrings, toxicity
 
 
 def table(spark, folder, name):
@@ -89,7 +89,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+
+def op7_toxicity(spark, folder):
+    """Toxicity of every document, fitted on labels outside the held-out bucket."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.trained(docs, table(spark, folder, "labels").select("doc_id", "toxic"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", F.coalesce(toxicity.bucket("doc_id") == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {"op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe,
-           "op6_substring_dedup": op6_substring_dedup}
+           "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity}
 
 ORACLES = {"op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL}
