@@ -242,13 +242,30 @@ def links(prints, crowded=CROWDED):
     return rows.select("mask", "bits", "fp").repartition("mask", "bits").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs, text="text", doc="doc_id", crowded=CROWDED):
-    """(doc, fp, component_id) for every row; component_id is the least id that links of 3 bits or fewer reach."""
-    prints = stored(fingerprints(docs, text, [doc]), "prints")
+def near_duplicates(docs, text="text", doc="doc_id", keep=(), crowded=CROWDED):
+    """(doc, *keep, fp, component, component_id) for every row.
+
+    ``component`` is the least fingerprint and ``component_id`` the least id
+    that links of 3 bits or fewer reach.
+    """
+    columns = [doc, *keep]
+    prints = stored(fingerprints(docs, text, columns), "prints")
     classes = stored(prints.groupBy("fp").agg(F.min(doc).alias("least")), "classes")
     found = components(links(classes, crowded))
     grouped = classes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = grouped.join(names, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(doc, "fp", "component_id")
+    of_print = grouped.join(names, "component").select("fp", "component", "component_id")
+    return prints.join(of_print, "fp").select(*columns, "fp", "component", "component_id")
+
+
+def one_of_each(docs, text="text", doc="doc_id", crowded=CROWDED):
+    """One row of each component of near duplicates, with all its columns: the one with the least id, then text hash."""
+    key = F.xxhash64(F.col(text).cast("string"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc).alias("doc"), key.alias("key"))
+    found = near_duplicates(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), key.alias("key")), "text", "doc", ["key"], crowded)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "key")).alias("first")).select(
+        F.col("first.doc").alias("d"), F.col("first.key").alias("k"))
+    stay = rows.join(first, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
+    # rows with one id and one text are one row
+    return stay.groupBy("doc", "key").agg(F.first("row").alias("row")).select("row.*")
