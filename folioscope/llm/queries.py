@@ -7,7 +7,7 @@ pipeline would use, and derives the columns that are compared.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, simhash, substrings, toxicity
+from folioscope.llm import bpe, decontaminate, simhash, substrings, toxicity, warc
 
 
 def table(spark, folder, name):
@@ -99,7 +99,23 @@ def op7_toxicity(spark, folder):
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+
+def op9_warc(spark, folder):
+    """Every page through archives: written as one stream, normalised, and read by offset."""
+    back = warc.archived(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return back.select(F.col("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+                       F.col("kind").alias("record_type"), "refers_to")
+
+
+OP9_SQL = """
+SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN strlen(html) >= 1000 AND largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(html) >= 1000 AND largest <> page_id THEN largest END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages)
+"""
+
 QUERIES = {"op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe,
-           "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity}
+           "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity,
+           "op9_warc": op9_warc}
 
-ORACLES = {"op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL}
+ORACLES = {"op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL}
