@@ -7,7 +7,7 @@ pipeline would use, and derives the columns that are compared.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, simhash, substrings, toxicity, warc
+from folioscope.llm import bpe, decontaminate, simhash, substrings, toxicity, warc, wrappers
 
 
 def table(spark, folder, name):
@@ -114,8 +114,15 @@ SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
 FROM (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages)
 """
 
+
+def op10_html_extraction(spark, folder):
+    """Main text of every page."""
+    found = wrappers.extracted(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select(F.col("page").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {"op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe,
            "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity,
-           "op9_warc": op9_warc}
+           "op9_warc": op9_warc, "op10_html_extraction": op10_html_extraction}
 
 ORACLES = {"op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL}
