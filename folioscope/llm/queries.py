@@ -7,7 +7,7 @@ pipeline would use, and derives the columns that are compared.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, simhash, substrings, toxicity, warc, wrappers
+from folioscope.llm import bpe, decontaminate, line_crf, simhash, substrings, toxicity, warc, wrappers
 
 
 def table(spark, folder, name):
@@ -100,6 +100,14 @@ def op7_toxicity(spark, folder):
 
 
 
+def op8_quality_lines(spark, folder):
+    """Counts over every document, and whether its lines are content for the better part."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    chain = line_crf.trained(docs, table(spark, folder, "labels").select("doc_id", "quality"))
+    return line_crf.judged(docs, chain).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_warc(spark, folder):
     """Every page through archives: written as one stream, normalised, and read by offset."""
     back = warc.archived(table(spark, folder, "pages").select("page_id", "url", "html"))
@@ -123,6 +131,6 @@ def op10_html_extraction(spark, folder):
 
 QUERIES = {"op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe,
            "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity,
-           "op9_warc": op9_warc, "op10_html_extraction": op10_html_extraction}
+           "op8_quality_lines": op8_quality_lines, "op9_warc": op9_warc, "op10_html_extraction": op10_html_extraction}
 
 ORACLES = {"op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL}
