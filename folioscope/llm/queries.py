@@ -7,7 +7,7 @@ pipeline would use, and derives the columns that are compared.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, line_crf, simhash, substrings, toxicity, warc, wrappers
+from folioscope.llm import bpe, chat, decontaminate, line_crf, simhash, substrings, toxicity, warc, wrappers
 
 
 def table(spark, folder, name):
@@ -23,6 +23,36 @@ def op4_byte_bpe(spark, folder):
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_chat(spark, folder):
+    """Conversations that no longer one begins with, rendered."""
+    found = chat.formatted(table(spark, folder, "conversations"))
+    return found.select(F.col("conv").alias("conv_id"), "n_turns", F.char_length("chat").cast("long").alias("n_chars"),
+                        F.sha2("chat", 256).alias("chat_sha256"))
+
+
+OP1_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations
+), so_far AS (
+  SELECT conv_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+         string_agg(coalesce('=' || role, '-') || chr(2) || coalesce('=' || text, '-'), chr(1)) OVER (
+           w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST)
+), whole AS (
+  SELECT * FROM so_far WHERE place = n
+), gone AS (
+  SELECT DISTINCT a.conv_id FROM whole a JOIN so_far b ON a.place = b.place AND a.prefix = b.prefix
+  WHERE b.n > a.n OR b.n = a.n AND b.conv_id < a.conv_id
+), chats AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+                    ORDER BY turn NULLS FIRST, role NULLS FIRST) AS chat
+  FROM t WHERE conv_id NOT IN (SELECT conv_id FROM gone) GROUP BY conv_id
+)
+SELECT conv_id, n_turns, CAST(length(chat) AS BIGINT) AS n_chars, sha256(chat) AS chat_sha256 FROM chats
+"""
+
+
 def op2_simhash(spark, folder):
     """Fingerprint of every document and the least document that near-duplicate links reach."""
     found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
@@ -129,8 +159,8 @@ def op10_html_extraction(spark, folder):
     return found.select(F.col("page").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe,
+QUERIES = {"op1_chat": op1_chat, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe,
            "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity,
            "op8_quality_lines": op8_quality_lines, "op9_warc": op9_warc, "op10_html_extraction": op10_html_extraction}
 
-ORACLES = {"op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL}
