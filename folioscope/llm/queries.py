@@ -4,10 +4,12 @@ Each query applies one operator to its whole table with the parameters a
 pipeline would use, and derives the columns that are compared.
 """
 
+from collections import Counter
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, decontaminate, line_crf, simhash, substrings, toxicity, warc, wrappers
+from folioscope.llm import bpe, chat, decontaminate, licenses, line_crf, simhash, substrings, toxicity, warc, wrappers
 
 
 def table(spark, folder, name):
@@ -94,6 +96,76 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN owners USING (doc_id)
 """
 
+def op5_licenses(spark, folder):
+    """Licence of every document, seen as the file ``source/lang/thousands of the id/id``."""
+    docs = table(spark, folder, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    found = licenses.scan(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id"])
+    return found.select("doc_id", "path", "license", "via", F.round("score", 6).alias("score"), "licence_dir")
+
+
+OP5_SQL = r"""
+WITH terms(template, license, word, n) AS (
+  VALUES """ + ",\n         ".join(
+    f"({i}, '{name}', '{w}', {n})" for i, (name, text) in enumerate(licenses.TEMPLATES) for w, n in Counter(licenses.words_of(text)).items()) + r"""
+), d AS (
+  SELECT doc_id, source || '/' || lang || '/' || (doc_id // 1000) AS folder, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM documents
+), n AS (
+  SELECT count(*) AS n FROM d
+), number AS (
+  SELECT word, count(*) AS k FROM (SELECT unnest(list_distinct(words)) AS word FROM d) GROUP BY word
+), idf AS (
+  SELECT DISTINCT t.word, ln((n.n + 1) / (coalesce(k, 0) + 1)) + 1 AS idf FROM terms t CROSS JOIN n LEFT JOIN number m ON m.word = t.word
+), raw AS (
+  SELECT template, license, word, (1 + ln(n)) * idf AS v FROM terms JOIN idf USING (word)
+), vec AS (
+  SELECT template, license, word, v / sqrt(sum(v * v) OVER (PARTITION BY template)) AS v FROM raw
+), needed AS (
+  SELECT DISTINCT word FROM (
+    SELECT word, sum(v * v) OVER (PARTITION BY template ORDER BY v, word ROWS UNBOUNDED PRECEDING) AS below FROM vec) WHERE below >= 0.25
+), need AS (
+  SELECT list(word) AS words FROM needed
+), lines AS (
+  SELECT doc_id, line, list_filter(regexp_split_to_array(lower(body), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line FROM d)
+), chosen AS (
+  SELECT doc_id, line, l.words, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run
+  FROM lines l, need WHERE list_has_any(l.words, need.words)
+), units AS (
+  SELECT doc_id, 'line' AS kind, line AS pos, words FROM chosen
+  UNION ALL
+  SELECT doc_id, 'run', run, flatten(list(words ORDER BY line)) FROM chosen GROUP BY doc_id, run HAVING count(*) > 1
+  UNION ALL
+  SELECT doc_id, 'whole', 0, d.words FROM d, need WHERE list_has_any(d.words, need.words)
+), weighted AS (
+  SELECT doc_id, kind, pos, u.word, (1 + ln(k)) * coalesce(idf, ln(n.n + 1) + 1) AS v
+  FROM (SELECT doc_id, kind, pos, word, count(*) AS k FROM (SELECT doc_id, kind, pos, unnest(words) AS word FROM units) GROUP BY ALL) u
+  CROSS JOIN n LEFT JOIN idf ON idf.word = u.word
+), norms AS (
+  SELECT doc_id, kind, pos, sqrt(sum(v * v)) AS norm FROM weighted GROUP BY ALL
+), scored AS (
+  SELECT doc_id, kind, pos, license, round(dot / norm, 9) AS score FROM (
+    SELECT doc_id, kind, pos, template, license, sum(w.v * t.v) AS dot FROM weighted w JOIN vec t ON t.word = w.word GROUP BY ALL)
+  JOIN norms USING (doc_id, kind, pos)
+), best AS (
+  SELECT doc_id, kind, pos, license, score FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id, kind, pos ORDER BY score DESC, license) = 1
+), own AS (
+  SELECT doc_id, license, score, kind = 'whole' AS is_file FROM best
+  WHERE kind = 'whole' AND score >= 0.5 OR kind <> 'whole' AND score >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind = 'whole' DESC, score DESC, license) = 1
+), folders AS (
+  SELECT folder, license FROM own JOIN d USING (doc_id) WHERE is_file
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, license) = 1
+)
+SELECT d.doc_id, d.folder || '/' || d.doc_id AS path, coalesce(o.license, f.license) AS license,
+       CASE WHEN o.is_file THEN 'file' WHEN o.license IS NOT NULL THEN 'header' WHEN f.license IS NOT NULL THEN 'inherited' END AS via,
+       round(o.score, 6) AS score, CASE WHEN o.license IS NULL THEN f.folder END AS licence_dir
+FROM d LEFT JOIN own o USING (doc_id) LEFT JOIN folders f ON f.folder = d.folder
+"""
+
+
 def op6_substring_dedup(spark, folder):
     """Words of every document that are left when repeats of 35 words and more are removed."""
     left = substrings.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
@@ -160,7 +232,8 @@ def op10_html_extraction(spark, folder):
 
 
 QUERIES = {"op1_chat": op1_chat, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe,
+           "op5_licenses": op5_licenses,
            "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity,
            "op8_quality_lines": op8_quality_lines, "op9_warc": op9_warc, "op10_html_extraction": op10_html_extraction}
 
-ORACLES = {"op1_chat": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_licenses": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL}
