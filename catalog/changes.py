@@ -59,10 +59,14 @@ def materiality_score(spark, d):
 
 
 def ranked_changes(spark, d):
-    r = nc.ranked(_scored(spark, d), keep_background=1)
+    r = nc.ranked(_scored(spark, d))
     return r.select("company_id", "fact_key", "period_type", "tier", F.col("tier_position").cast("long").alias("tier_position"))
 
 
+def hidden_changes(spark, d):
+    return nc.hidden_changes(_scored(spark, d))
+
+
 def change_counts(spark, d):
     return nc.change_counts(_scored(spark, d))
 
@@ -97,7 +101,7 @@ def as_of_balance(spark, d):
 QUERIES = {
     "report_bases": report_bases, "report_targets": report_targets, "numeric_changes": numeric_changes,
     "removed_lines": removed_lines, "anchors": anchors, "materiality_score": materiality_score,
-    "ranked_changes": ranked_changes, "change_counts": change_counts, "derived_ratio_changes": derived_ratio_changes,
+    "ranked_changes": ranked_changes, "hidden_changes": hidden_changes, "change_counts": change_counts, "derived_ratio_changes": derived_ratio_changes,
     "year_earlier_match": year_earlier_match, "as_of_balance": as_of_balance,
 }
 
@@ -308,7 +312,10 @@ ORACLES = {
         SELECT company_id, fact_key, period_type, tier, tier_position FROM (
             SELECT *, row_number() OVER (PARTITION BY company_id, tier ORDER BY score DESC, fact_key) AS tier_position
             FROM scored WHERE change_type <> 'repeated') AS x
-        WHERE tier <> 'background' OR tier_position <= 1"""),
+        WHERE tier <> 'background' OR tier_position <= 40"""),
+    "hidden_changes": sql("""
+        SELECT company_id, greatest(count(*) - 40, 0) AS hidden FROM scored
+        WHERE change_type <> 'repeated' AND tier = 'background' GROUP BY company_id"""),
     "change_counts": sql("""
         SELECT company_id, count(*) FILTER (tier = 'top') AS top, count(*) FILTER (tier = 'notable') AS notable,
                count(*) FILTER (tier = 'background') AS background, count(*) FILTER (change_type = 'new') AS new,

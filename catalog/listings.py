@@ -82,7 +82,7 @@ def text_retention(spark, d):
 
 
 def fact_counts(spark, d):
-    return fo.fact_counts(twins.filings(spark, d), twins.facts(spark, d).where("canonical_metric = 'revenue'")).select("filing_id", "fact_count")
+    return fo.fact_counts(twins.filings(spark, d), twins.facts(spark, d)).select("filing_id", "fact_count")
 
 
 def eviction_list(spark, d):
@@ -283,7 +283,7 @@ ORACLES = {
         WHERE n <= 2"""),
     "fact_counts": sql("""
         SELECT f.filing_id, count(x.fact_id) AS fact_count FROM filing AS f
-        LEFT JOIN (SELECT * FROM fact WHERE canonical_metric = 'revenue') AS x ON x.filing_id = f.filing_id GROUP BY f.filing_id"""),
+        LEFT JOIN fact AS x ON x.filing_id = f.filing_id GROUP BY f.filing_id"""),
     "eviction_list": """
         SELECT c_custkey AS company_id FROM (
             SELECT *, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS LAST, c_nationkey DESC, c_custkey) AS n

@@ -94,7 +94,7 @@ def citation_check(spark, d):
 def merge_headlines(spark, d):
     docs = twins.texts(spark, d, "documents")
     items = docs.select("source", F.col("lang").alias("list_name"), F.col("doc_id").alias("item_id"), (F.col("doc_id") % 2).alias("filing_rank"),
-                        F.col("n_chars").alias("position"), F.substring("text", 1, 4).alias("headline"))
+                        F.col("n_chars").alias("position"), F.element_at(F.split("text", "\n"), 1).alias("headline"))
     out = v.merged_items(items.withColumnRenamed("source", "company_id"), 3)
     return out.select("company_id", "list_name", "item_id", F.col("rank").cast("long").alias("rank"))
 
@@ -190,7 +190,7 @@ ORACLES = {
         SELECT company_id, list_name, item_id, rank FROM (
             SELECT *, row_number() OVER (PARTITION BY company_id, list_name ORDER BY filing_rank, position, item_id) AS rank FROM (
                 SELECT source AS company_id, lang AS list_name, doc_id AS item_id, doc_id % 2 AS filing_rank, n_chars AS position,
-                       row_number() OVER (PARTITION BY source, lang, lower(substring(text, 1, 4)) ORDER BY doc_id % 2, n_chars, doc_id) AS n
+                       row_number() OVER (PARTITION BY source, lang, lower(string_split(text, chr(10))[1]) ORDER BY doc_id % 2, n_chars, doc_id) AS n
                 FROM documents) AS a
             WHERE n = 1) AS b
         WHERE rank <= 3""",

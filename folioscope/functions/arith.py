@@ -51,16 +51,6 @@ def once(df, **columns):
     return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def spread(df):
-    """Uses all cores on an input that came in fewer splits than there are cores; large inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def gather(df, *keys):
-    """One shuffle by ``keys`` into the session's number of shuffle partitions.
-
-    The number is explicit so that costly per-row work after a small shuffle is
-    not coalesced into a single task.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """One shuffle by ``keys``; adaptive execution chooses the number of tasks."""
+    return df.repartition(*keys)

@@ -133,7 +133,7 @@ def text_block_categories(concept):
     """Semantic categories of a note text block, most specific rule first."""
     out = F.when(text_block_kind(concept) == "policy", F.array(F.lit("accounting_policies")))
     for pattern, categories in fv.TEXT_BLOCK_RULES:
-        out = out.when(local_name(concept).rlike(pattern), F.array(*map(F.lit, categories.split())))
+        out = out.when(local_name(concept).rlike(pattern), F.array(*map(F.lit, categories)))
     return out.otherwise(F.array(F.lit("other")))
 
 

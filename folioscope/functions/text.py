@@ -205,9 +205,8 @@ def tidy_answer(text):
     t = col(text)
     cite = r"[【〔［\[]\s*((?:S\d+|F)(?:\s*[,;]\s*(?:S\d+|F))*)(?:\s*†[^】〕］\]]*)?\s*[】〕］\]]"
     t = F.regexp_replace(t, cite, "[$1]")
-    # several references in one bracket become one bracket each
-    for _ in range(3):
-        t = F.regexp_replace(t, r"\[(S\d+|F)\s*[,;]\s*((?:S\d+|F)(?:\s*[,;]\s*(?:S\d+|F))*)\]", "[$1][$2]")
+    # several references in one bracket become one bracket each, however many: a match begins at a bracket or where the last one ended
+    t = F.regexp_replace(t, r"(\[|(?!\A)\G)(S\d+|F)\s*[,;]\s*(?=(?:S\d+|F)(?:\s*[,;]\s*(?:S\d+|F))*\])", "$1$2][")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"\*\*|__", ""), r"(\$\d[\d,]*(?:\.\d+)?) ([KMBT])\b", "$1$2"))
 
 

@@ -23,8 +23,8 @@ SUBSEQUENT_AXIS = "SubsequentEventTypeAxis"
 def dictionary(spark):
     """(concept, metric, us_rank, ifrs_rank, period_type, unit): a constant of about 200 rows, small enough to broadcast."""
     rows = {}
-    for metric, _, period, unit, us, ifrs in fv.table(fv.METRIC_TABLE):
-        gaap, other = [f"us-gaap:{t}" for t in us.split()], [f"ifrs-full:{t}" for t in ifrs.split()]
+    for metric, _, period, unit, us, ifrs in fv.METRIC_TABLE:
+        gaap, other = [f"us-gaap:{t}" for t in us], [f"ifrs-full:{t}" for t in ifrs]
         for rank, concept in enumerate(gaap + other):
             rows.setdefault((concept, metric), [None, None, period, unit])[0] = rank
         for rank, concept in enumerate(other + gaap):
@@ -103,14 +103,14 @@ def _extensions(own, standard, fits):
     from ..functions.text import statement_label_key
 
     name = F.lower(labels.local_name("concept"))
-    tests, worded = [], literal_map({w: m for m, words in fv.LABEL_METRICS.items() for w in words})
-    for metric, _, period, unit, us, ifrs in fv.table(fv.METRIC_TABLE):
-        stems = "|".join(sorted({t.lower() for t in (us + " " + ifrs).split()}, key=len, reverse=True))
+    tests, worded = [], literal_map(fv.LABEL_METRICS)
+    for metric, _, period, unit, us, ifrs in fv.METRIC_TABLE:
+        stems = "|".join(sorted({t.lower() for t in us + ifrs}, key=lambda t: (-len(t), t)))
         hit = name.rlike(f"^(?:{stems})(?:$|[^a-z])")
         if metric in fv.METRIC_EXTENSIONS:
             hit = hit | labels.local_name("concept").rlike(fv.METRIC_EXTENSIONS[metric])
         tests.append(F.when(hit, F.struct(F.lit(metric).alias("metric"), F.lit(0).alias("way"))))
-    info = literal_map({m[0]: m[2] for m in fv.table(fv.METRIC_TABLE)}), literal_map({m[0]: m[3] for m in fv.table(fv.METRIC_TABLE)})
+    info = literal_map({m[0]: m[2] for m in fv.METRIC_TABLE}), literal_map({m[0]: m[3] for m in fv.METRIC_TABLE})
     by_label = F.transform(F.filter(F.transform("sources", lambda s: F.try_element_at(worded, statement_label_key(s.row_label))), lambda m: m.isNotNull()),
                            lambda m: F.struct(m.alias("metric"), F.lit(1).alias("way")))
     rows = own.withColumn("c", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(*tests)), by_label))))
@@ -128,9 +128,9 @@ def _extensions(own, standard, fits):
 def breakdown_concepts():
     """concept -> (metric, rank) of the metrics broken out by segment, geography and product."""
     out = {}
-    for metric, _, _, _, us, ifrs in fv.table(fv.METRIC_TABLE):
+    for metric, _, _, _, us, ifrs in fv.METRIC_TABLE:
         if metric in ("revenue", "operating_income"):
-            for rank, tag in enumerate((us + " " + ifrs).split()):
+            for rank, tag in enumerate(us + ifrs):
                 for prefix in ("us-gaap", "ifrs-full"):
                     out.setdefault(f"{prefix}:{tag}", (metric, rank))
     return out

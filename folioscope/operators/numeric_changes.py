@@ -285,8 +285,8 @@ def derived_changes(rows, bases):
                    F.lit("points").alias("unit"), F.when(~F.col("is_bank"), outpaced(m)).alias("value"),
                    revenue_growth.alias("base_value"))
           for m, name in (("accounts_receivable", "Receivables"), ("inventory", "Inventory"))]]
-    general = cells(fv.table(fv.DERIVED_RATIOS), now, then, False)
-    bank = cells(fv.table(fv.BANK_DERIVED_RATIOS), bank_now, bank_then, True)
+    general = cells(fv.DERIVED_RATIOS, now, then, False)
+    bank = cells(fv.BANK_DERIVED_RATIOS, bank_now, bank_then, True)
     prior_opening = out  # return on equity needs the opening balance of both years
     long = prior_opening.select("company_id", "filing_id", "fiscal_year", "period", F.inline(F.array(*general, *bank, *extra)))
     delta = F.col("value") - F.col("base_value")
@@ -347,6 +347,13 @@ def ranked(changes, keep_background=fv.MAX_BACKGROUND):
         (F.col("tier") != "background") | (F.col("tier_position") <= keep_background))
 
 
+def hidden_changes(changes, keep_background=fv.MAX_BACKGROUND):
+    """How many changes of the lowest tier ``ranked`` leaves out, per company (T4)."""
+    rows = changes.where((F.col("change_type") != "repeated") & (F.col("tier") == "background"))
+    counts = rows.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("company_id", F.greatest(F.col("n") - keep_background, F.lit(0)).alias("hidden"))
+
+
 def change_counts(changes):
     """How many changes per tier and type each company has."""
     rows = changes.where(F.col("change_type") != "repeated")

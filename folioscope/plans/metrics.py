@@ -16,13 +16,13 @@ from ..functions.arith import col, gather, growth, literal_map, ratio, sum_prese
 from ..functions.periods import fiscal_label
 from ..operators.latest import latest_filed
 
-METRICS = [row[0] for row in fv.table(fv.METRIC_TABLE)]
-INSTANTS = [row[0] for row in fv.table(fv.METRIC_TABLE) if row[2] == "instant"]
+METRICS = [row[0] for row in fv.METRIC_TABLE]
+INSTANTS = [row[0] for row in fv.METRIC_TABLE if row[2] == "instant"]
 LABELS = ["Q1", "Q2", "Q3", "Q4", "H1", "H2", "9M", "FY"]
 PERIODS = ["FY", "Q1", "Q2", "Q3", "Q4", "H1", "H2"]
 PERIOD_RANK = {"H1": 1, "H2": 2, "Q1": 1, "Q2": 2, "Q3": 3, "Q4": 4, "FY": 5}
-GENERAL = fv.table(fv.GENERAL_ROWS)
-BANK = fv.table(fv.BANK_ROWS)
+GENERAL = fv.GENERAL_ROWS
+BANK = fv.BANK_ROWS
 KEYS = ["company_id", "fiscal_year", "period"]
 
 

@@ -8,7 +8,7 @@ are sums of exact cents, so both engines agree to the last bit.
 
 from pyspark.sql import functions as F
 
-from ..functions.arith import gather, spread
+from ..functions.arith import gather
 from ..operators.wording import sentence_rows
 
 TWIN_METRICS = ["revenue", "cost_of_revenue", "gross_profit", "operating_income", "pretax_income", "income_tax", "net_income",
@@ -24,8 +24,8 @@ def table(spark, folder, name):
 
 
 def texts(spark, folder, name):
-    """A text table, spread over the cores when it comes as one small file."""
-    return spread(table(spark, folder, name))
+    """A text table; the reader's split size spreads it."""
+    return table(spark, folder, name)
 
 
 def cents(c):

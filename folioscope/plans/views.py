@@ -239,7 +239,7 @@ def blank_reasons(table, wide_rows, spread, filings):
     loss = (F.col("row_key") == "cash_conversion") & (F.col("now.net_income") <= 0)
     before = F.when(period == "FY", F.col("fiscal_year") < F.col("first_annual")).otherwise(
         F.struct("fiscal_year", "fiscal_period") < F.col("first_interim"))
-    instant = F.col("row_key").isin([m[0] for m in fv.table(fv.METRIC_TABLE) if m[2] == "instant"])
+    instant = F.col("row_key").isin([m[0] for m in fv.METRIC_TABLE if m[2] == "instant"])
     reason = (
         F.when(derived & loss, "loss_makes_ratio_meaningless")
         .when(derived & (F.col("missing_inputs") != ""), "input_missing")

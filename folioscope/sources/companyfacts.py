@@ -9,7 +9,7 @@ from ..functions.periods import between_days
 
 ENTRY = "struct<start:string,end:string,val:double,form:string,filed:string,fy:int,fp:string>"
 SCHEMA = f"struct<facts:map<string,map<string,struct<units:map<string,array<{ENTRY}>>>>>>"
-SERIES = fv.table(fv.COMPANYFACTS_SERIES)
+SERIES = fv.COMPANYFACTS_SERIES
 METRICS = [row[0] for row in SERIES]
 
 
@@ -33,7 +33,7 @@ def tag_metrics(facts, metrics=None):
     known = {}
     for metric, period, unit, tags in SERIES:
         if metrics is None or metric in metrics:
-            for rank, tag in enumerate(tags.split()):
+            for rank, tag in enumerate(tags):
                 known[f"{unit}|{tag}"] = (metric, rank, period)
     entries = [x for k, (m, r, p) in known.items() for x in (
         F.lit(k), F.struct(F.lit(m).alias("metric"), F.lit(r).alias("rank"), F.lit(p).alias("period_type")))]

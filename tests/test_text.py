@@ -77,3 +77,16 @@ def test_small_texts(spark):
     assert df.select(text.tidy_answer("t")).collect()[0][0] == "Grew to $25.0B [S1] and [S2][F] now"
     labels = spark.createDataFrame([("Supply commitments (a)*",), ("Total",), ("Net other",)], "t string")
     assert [r[0] for r in labels.select(text.reported_label("t")).collect()] == ["Supply commitments", None, None]
+
+
+def test_citations_become_one_bracket_each(spark):
+    from folioscope.functions import text
+    df = spark.createDataFrame([("So [S1, S2; S3, S4, S5, S6] and [F] and [S7†x, y] S8, S9] **end** $25.0 B",)], "t string")
+    assert df.select(text.tidy_answer("t")).first()[0] == "So [S1][S2][S3][S4][S5][S6] and [F] and [S7] S8, S9] end $25.0B"
+
+
+def test_entities_become_their_characters(spark):
+    from folioscope.sources import html
+    rows = [("caf&eacute; &#8208; &#x2019; &#937; &#x1F600; &Omega; &amp;lt; &nope; &#0; &#xD800; &nbsp;end &amp;amp;",)]
+    got = spark.createDataFrame(rows, "html string").select(html.text_of("html")).first()[0]
+    assert got == "café ‐ ' Ω 😀 Ω &lt; &nope; &#0; &#xD800; end &amp;"
