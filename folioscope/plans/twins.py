@@ -350,3 +350,47 @@ def index_pages(spark, folder):
     body = F.concat(F.lit("<table class=\"tableFile\"><tr><th>Seq</th></tr>"), row(1, "main.htm", "10-K", F.lit("1200"), " iXBRL"),
                     row(2, "ex99.htm", "EX-99.1", (F.col("filing_id") % 30000).cast("string")), row(3, "data.xml", "XML", F.lit("5")), F.lit("</table>"))
     return o.withColumn("html", body)
+
+
+REPORT_PAGES = 24
+
+
+def annual_reports(spark, folder):
+    """Each document as a report of 24 numbered pages, its words dealt out evenly, with a cross-reference table at its end.
+
+    The cited pages depend on the document's number.
+    """
+    docs = texts(spark, folder, "documents")
+    words = F.split(F.translate("text", "\n", " "), " ")
+    rows = docs.select("doc_id", "source", words.alias("words"))
+
+    def page(n):
+        first = F.floor((n - 1) * F.size("words") / REPORT_PAGES).cast("int")
+        last = F.floor(n * F.size("words") / REPORT_PAGES).cast("int")
+        body = F.array_join(F.slice("words", first + 1, last - first), " ")
+        return F.concat_ws("\n", F.concat(F.lit("Report of "), "source"), n.cast("string"), F.concat(F.lit("Part "), n.cast("string"), F.lit(": "), body))
+
+    def pages(first, count):
+        return F.concat((first).cast("string"), F.lit("-"), (first + count - 1).cast("string"))
+
+    d = F.col("doc_id")
+    table = F.concat(
+        F.lit("Form 20-F cross-reference Item 3 D. Risk factors Our risks "), pages(d % 5 + 1, 3),
+        F.lit(" Item 4. Information on the Company B. Business overview Our business "), pages(d % 3 + 6, 4),
+        F.lit(", Note 12 Governance 3 C. Organizational structure Item 5. Operating and Financial Review and Prospects A. Operating results Our strategy "),
+        pages(d % 2 + 4, 3), F.lit(" Financial review "), pages(d % 4 + 8, 4),
+        F.lit(" B. Liquidity and capital resources 23 D. Trend information Outlook 14 and 17 E. Critical estimates 2 "
+              "Item 18. Financial statements Consolidated financial statements "), pages(F.lit(18) - d % 3, 12), F.lit(" Item 19. Exhibits"))
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(REPORT_PAGES)), page), "\n")
+    return rows.select("doc_id", F.concat(body, F.lit("\n"), table).alias("text"))
+
+
+def form_reports(spark, folder):
+    """Each document as the discussion of an annual or interim report, between its headings and after a table of contents."""
+    annual = F.col("doc_id") % 2 == 0
+    heading = F.when(annual, "Item 7. Management's Discussion and Analysis").otherwise("Item 2. Management's Discussion and Analysis")
+    after = F.when(annual, "Item 7A. Quantitative and Qualitative Disclosures").otherwise("Item 3. Quantitative and Qualitative Disclosures")
+    return texts(spark, folder, "documents").select(
+        F.col("doc_id").alias("filing_id"), F.when(annual, "10-K").otherwise("10-Q").alias("form_type"),
+        F.concat_ws("\n", F.lit("Contents"), F.concat(heading, F.lit(" 20 "), after, F.lit(" 31")), F.concat(heading, F.lit(" of Operations")),
+                    "text", after, F.lit("The end.")).alias("text"))
