@@ -53,12 +53,13 @@ SHAPES = {"3": r"(?:^|(?<= ))(?=([a-z0-9]+ [a-z0-9]+ [a-z0-9]+))", "1": r"([a-z0
 
 
 def _source_keys(text, kinds):
-    """The keys of a normalized source text, of the wanted kinds."""
+    """The keys of a normalized source text, of the wanted kinds (an array column)."""
     def keys(kind):
         found = F.regexp_extract_all(text, F.lit(SHAPES[kind]), F.lit(1))
-        return F.transform(found, lambda t: F.xxhash64(F.concat(F.lit(kind + ":"), t)))
+        hashed = F.transform(found, lambda t: F.xxhash64(F.concat(F.lit(kind + ":"), t)))
+        return F.when(F.array_contains(kinds, kind), hashed).otherwise(F.array().cast("array<bigint>"))
 
-    return F.concat(*[keys(k) for k in kinds])
+    return F.concat(*[keys(k) for k in sorted(SHAPES)])
 
 
 def find_quotes(quotes, sources, quote="quote", text="text"):
@@ -66,14 +67,14 @@ def find_quotes(quotes, sources, quote="quote", text="text"):
 
     Candidates meet on one key of the quote's longest fragment (an equi-join on
     hashes), then the real containment test runs on the pair.  Sources only emit
-    the kinds of keys the quotes use (at most three values are asked for).
+    kinds of keys the quotes use, which a subquery of the same plan tells.
     """
     longest = F.array_max(F.transform(fragments(quote), lambda f: F.struct(F.length(f).alias("n"), f.alias("f")))).f
     asked = once(quotes.select("quote_id", col(quote).alias("quote")), longest=longest).where(
         F.col("longest").isNotNull() & (F.length(letters_and_digits("quote")) >= fv.MIN_QUOTE_CHARS))
     asked = once(asked, word=_quote_key(F.col("longest"))).select(
         "quote_id", "quote", F.substring("word", 1, 1).alias("kind"), F.xxhash64("word").alias("key"))
-    kinds = sorted(r.kind for r in asked.select("kind").distinct().collect()) or ["3"]
+    kinds = asked.select(F.collect_set("kind")).scalar()
     given = once(sources.select("source_id", col(text).alias("text")), norm=letters_and_digits("text")).drop("text")
     keys = given.select("source_id", F.explode_outer(_source_keys(F.col("norm"), kinds)).alias("key"))
     hits = keys.join(asked.select("quote_id", "key"), "key").select("source_id", "quote_id").distinct()

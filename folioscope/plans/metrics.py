@@ -91,16 +91,17 @@ def wide(cells, metrics=None):
 
 
 def with_opening_equity(rows):
-    """The balance a period opened with: the previous period's close."""
-    packed = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "fiscal_year", "period"), "equity")).over(
-        Window.partitionBy("company_id")))
-    year = F.col("fiscal_year")
-    key = (
-        F.when(F.col("period").isin("FY", "H1", "Q1"), F.concat_ws("|", (year - 1).cast("string"), F.lit("FY")))
-        .when(F.col("period") == "H2", F.concat_ws("|", year, F.lit("H1")))
-        .otherwise(F.concat_ws("|", year, F.element_at(literal_map({"Q2": "Q1", "Q3": "Q2", "Q4": "Q3"}), F.col("period"))))
-    )
-    return rows.withColumn("_equity", packed).withColumn("equity_opening", F.try_element_at("_equity", key)).drop("_equity")
+    """The balance a period opened with: the previous period's close, the year before's for a first one."""
+    years = Window.partitionBy("company_id").orderBy("fiscal_year")
+    period = F.col("period")
+
+    def closed(name, year):
+        return F.max(F.when(period == name, F.col("equity"))).over(years.rangeBetween(year, year))
+
+    opening = F.when(period.isin("FY", "H1", "Q1"), closed("FY", -1))
+    for now, before in (("H2", "H1"), ("Q2", "Q1"), ("Q3", "Q2"), ("Q4", "Q3")):
+        opening = opening.when(period == now, closed(before, 0))
+    return rows.withColumn("equity_opening", opening)
 
 
 def general_values(at=lambda m: F.col(m), before=lambda m: F.col(f"prior.{m}"), days=365.0):

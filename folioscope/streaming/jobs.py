@@ -1,5 +1,7 @@
 """Time-driven work as Structured Streaming jobs; the same functions read batch tables."""
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -40,70 +42,81 @@ def latest_upsert(current, arrived, slot):
     return latest_filed(current.unionByName(arrived.select(*current.columns)), slot)
 
 
-def _limiter(limit, seconds, key):
+def _admitted(times, now, limit, seconds):
+    """Whether a request is allowed, given the accepted times before it, oldest first; drops those that are out of the window."""
+    while times and now - times[0] >= seconds:
+        times.popleft()
+    if len(times) >= limit:
+        return False
+    times.append(now)
+    return True
+
+
+def _limiter(limit, seconds, key, idle_minutes):
     """Keeps the accepted times of one visitor, at most ``limit`` of them; rejected requests do not count."""
+    admitted = _admitted
 
     def admit(visitor, batches, state):
-        times = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(batches)).sort_values(["at", "request_id"])
-        allowed = []
-        for at in rows["at"]:
-            now = at.timestamp()
-            times = [t for t in times if now - t < seconds]
-            ok = len(times) < limit
-            if ok:
-                times.append(now)
-            allowed.append(ok)
-        state.update((times,))
+        allowed = [admitted(times, at.timestamp(), limit, seconds) for at in rows["at"]]
+        state.update((list(times),))
+        state.setTimeoutDuration(idle_minutes * 60_000)
         yield pd.DataFrame({key: visitor[0], "request_id": rows["request_id"].values, "allowed": allowed})
 
     return admit
 
 
-def rate_limit_stream(requests, limit=10, seconds=60, key="visitor"):
-    """Allowed or rejected, per request of a stream; state per visitor is at most ``limit`` times (R2)."""
+def rate_limit_stream(requests, limit=10, seconds=60, key="visitor", idle_minutes=1440):
+    """Allowed or rejected, per request of a stream (R2).
+
+    State per visitor is at most ``limit`` times, and is dropped once the visitor
+    has been silent for ``idle_minutes``, which must be longer than the window.
+    """
     return requests.groupBy(key).applyInPandasWithState(
-        _limiter(limit, seconds, key), f"{key} long, request_id long, allowed boolean", "times array<double>", "append",
-        GroupStateTimeout.NoTimeout)
+        _limiter(limit, seconds, key, idle_minutes), f"{key} long, request_id long, allowed boolean", "times array<double>", "append",
+        GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def rate_limit(requests, limit=10, seconds=60, key="visitor"):
     """The same decision over a stored table (R2).
 
-    A pause as long as the window clears a visitor's state, so the history is cut
-    there: pauses are found between distinct time slots (bounded by the calendar,
-    not by the requests), and only requests between two pauses are folded in order.
+    A visitor's requests are sorted by Spark and pass once, in batches; what is
+    kept is the visitor at hand and at most ``limit`` accepted times.
     """
-    rows = requests.withColumn("_t", seconds_of("at")).withColumn("_slot", F.floor(F.col("_t") / seconds))
-    by = Window.partitionBy(key).orderBy("_slot")
-    slots = rows.select(key, "_slot").distinct()
-    gap = F.coalesce(F.col("_slot") - F.lag("_slot").over(by) > 1, F.lit(True))
-    slots = slots.withColumn("_run", F.sum(gap.cast("int")).over(by))
-    runs = rows.join(slots, [key, "_slot"]).groupBy(key, "_run").agg(
-        F.sort_array(F.collect_list(F.struct("_t", "request_id"))).alias("items"))
-    start = F.struct(F.array().cast("array<double>").alias("times"), F.array().cast("array<boolean>").alias("out"))
+    admitted = _admitted
 
-    def step(acc, item):
-        recent = F.filter(acc.times, lambda t: item._t - t < seconds)
-        ok = F.size(recent) < limit
-        return F.struct(F.when(ok, F.concat(recent, F.array(item._t))).otherwise(recent).alias("times"),
-                        F.concat(acc.out, F.array(ok)).alias("out"))
+    def decide(batches):
+        visitor, times = None, deque()
+        for batch in batches:
+            allowed = []
+            for who, now in zip(batch[key], batch["_t"]):
+                if who != visitor:
+                    visitor, times = who, deque()
+                allowed.append(admitted(times, now, limit, seconds))
+            yield pd.DataFrame({key: batch[key], "request_id": batch["request_id"], "allowed": allowed})
 
-    decided = runs.withColumn("allowed", F.aggregate("items", start, step, lambda acc: acc.out))
-    return decided.select(key, F.inline(F.arrays_zip("items", "allowed"))).select(key, "items.request_id", "allowed")
+    rows = requests.select(key, "request_id", seconds_of("at").alias("_t"))
+    ordered = rows.repartition(key).sortWithinPartitions(key, "_t", "request_id")
+    return ordered.mapInPandas(decide, f"{key} long, request_id long, allowed boolean")
 
 
 def abandoned_runs(starts, finishes, minutes=15):
     """Runs that did not finish within the time.
 
-    On streams, watermark both sides: the outer join emits a run once the
-    watermark passes its deadline.  ``starts``: run_id, started_at; ``finishes``:
-    finished_run, finished_at.
+    A stored table keeps the runs without a match.  On streams, watermark both
+    sides: there the outer join emits a run once the watermark passes its
+    deadline.  ``starts``: run_id, started_at; ``finishes``: finished_run,
+    finished_at.
     """
     until = F.col("started_at") + F.expr(f"INTERVAL {minutes} MINUTES")
-    joined = starts.join(finishes, (F.col("run_id") == F.col("finished_run")) & (F.col("finished_at") >= F.col("started_at"))
-                         & (F.col("finished_at") <= until), "left_outer")
-    return joined.where(F.col("finished_at").isNull()).select(*starts.columns)
+    in_time = (F.col("run_id") == F.col("finished_run")) & (F.col("finished_at") >= F.col("started_at")) & (F.col("finished_at") <= until)
+    if starts.isStreaming:
+        return starts.join(finishes, in_time, "left_outer").where(F.col("finished_at").isNull()).select(*starts.columns)
+    return starts.join(finishes, in_time, "left_anti")
 
 
 def backing_off(requests, failures, minutes=30, key="company_id"):
