@@ -21,14 +21,18 @@ def _series(spark, d):
     return cf.annual_series(cf.companyfacts_long(twins.companyfacts_json(spark, d)), twins.report_dates(spark, d, True))
 
 
+SERIES = ["revenue", "gross_profit", "operating_income", "net_income", "operating_cash_flow", "capex", "cash", "rnd", "buybacks", "dividends", "eps_diluted",
+          "long_term_debt", "free_cash_flow"]
+
+
 def annual_series(spark, d):
-    return _series(spark, d).select("company_id", day("end").alias("period_end"), "revenue", "gross_profit", "operating_income",
-                                    "net_income", "operating_cash_flow", "capex", "cash", "free_cash_flow")
+    return _series(spark, d).select("company_id", day("end").alias("period_end"), *SERIES)
 
 
 def annual_kpis(spark, d):
     return cf.annual_kpis(_series(spark, d)).select(
-        "company_id", day("period_end").alias("period_end"), "revenue", "revenue_growth", "gross_margin", "net_margin", "fcf_margin", "cash")
+        "company_id", day("period_end").alias("period_end"), "revenue", "revenue_growth", "gross_margin", "net_margin", "fcf_margin", "cash",
+        "eps_diluted", "eps_growth", "shareholder_returns", "long_term_debt")
 
 
 def capital_deployment(spark, d):
@@ -47,7 +51,7 @@ def figure_index(spark, d):
 def latest_quarter(spark, d):
     q = cf.latest_quarter(cf.companyfacts_long(twins.companyfacts_json(spark, d)), twins.report_dates(spark, d, False))
     return q.select("company_id", day("report_date").alias("report_date"), "revenue", "revenue_prior", "revenue_growth", "net_income",
-                    "net_income_prior", "fiscal_period")
+                    "net_income_prior", "eps_diluted", "eps_diluted_prior", "fiscal_period")
 
 
 def submissions_rows(spark, d):
@@ -138,35 +142,51 @@ QUERIES = {f.__name__: f for f in [
     listing_history, find_filings, discover_filings, companion_filings, amendment_links, text_retention, fact_counts, eviction_list,
     coverage_report, parser_confidence, company_upsert, company_latest_profile]}
 
+_GROWN = ["revenue", "gross_profit", "operating_income", "net_income", "operating_cash_flow", "free_cash_flow", "eps_diluted", "buybacks", "dividends",
+          "capex", "rnd"]
+
 VIEWS.update({
     "xfact": """
-        SELECT *, CASE canonical_metric WHEN 'revenue' THEN CASE WHEN year(filing_date) >= 1998 THEN 1 ELSE 0 END
-                                        WHEN 'capex' THEN CASE WHEN year(filing_date) >= 1998 THEN 1 ELSE 0 END ELSE 0 END AS tag_rank,
-               CASE WHEN is_annual THEN '10-K' ELSE '10-Q' END AS form FROM fact
-        WHERE canonical_metric IN ('revenue', 'gross_profit', 'operating_income', 'net_income', 'operating_cash_flow', 'capex', 'cash')""",
+        SELECT * REPLACE (CASE canonical_metric WHEN 'cost_of_revenue' THEN 'rnd' WHEN 'pretax_income' THEN 'buybacks' WHEN 'income_tax' THEN 'dividends'
+                            WHEN 'net_interest_income' THEN 'eps_diluted' WHEN 'accounts_receivable' THEN 'long_term_debt'
+                            WHEN 'total_assets' THEN 'long_term_debt' ELSE canonical_metric END AS canonical_metric),
+               canonical_metric AS reported,
+               CASE WHEN canonical_metric IN ('revenue', 'capex') AND year(filing_date) >= 1998 OR canonical_metric = 'total_assets'
+                    THEN 1 ELSE 0 END AS tag_rank,
+               CASE WHEN is_annual THEN '10-K' ELSE '10-Q' END AS form FROM fact WHERE canonical_metric IS NOT NULL""",
     "annual_best": """
         SELECT company_id, canonical_metric AS m, period_end, min_by(value, (tag_rank, -epoch(filing_date), value)) AS v FROM xfact
-        WHERE is_annual AND CASE WHEN canonical_metric = 'cash' THEN true ELSE period_months = 12 END GROUP BY ALL""",
+        WHERE is_annual AND CASE WHEN canonical_metric IN ('cash', 'long_term_debt') THEN true ELSE period_months = 12 END
+          AND canonical_metric NOT IN ('inventory', 'equity', 'deposits') GROUP BY ALL""",
     "annual_wide": """
         SELECT *, max(revenue) OVER (PARTITION BY company_id) IS NOT NULL AS has_revenue FROM (
-            SELECT company_id, period_end, max(v) FILTER (m = 'revenue') AS revenue, max(v) FILTER (m = 'gross_profit') AS gross_profit,
-                   max(v) FILTER (m = 'operating_income') AS operating_income, max(v) FILTER (m = 'net_income') AS net_income,
-                   max(v) FILTER (m = 'operating_cash_flow') AS operating_cash_flow, max(v) FILTER (m = 'capex') AS capex,
-                   max(v) FILTER (m = 'cash') AS cash FROM annual_best GROUP BY ALL) AS w""",
+            SELECT company_id, period_end, """ + ", ".join(f"max(v) FILTER (m = '{m}') AS {m}" for m in SERIES[:-1]) + """
+            FROM annual_best GROUP BY ALL) AS w""",
     "annual_five": """
         SELECT *, operating_cash_flow - capex AS free_cash_flow FROM (
             SELECT w.*, row_number() OVER (PARTITION BY w.company_id ORDER BY w.period_end DESC) AS age,
                    lag(w.period_end) OVER (PARTITION BY w.company_id ORDER BY w.period_end) AS prior_end,
+                   lag(w.eps_diluted) OVER (PARTITION BY w.company_id ORDER BY w.period_end) AS prior_eps,
                    lag(w.revenue) OVER (PARTITION BY w.company_id ORDER BY w.period_end) AS prior_revenue
             FROM annual_wide AS w
             JOIN (SELECT company_id, max(period_end) AS report_date FROM filing WHERE is_annual GROUP BY ALL) AS r USING (company_id)
             WHERE CASE WHEN has_revenue THEN revenue ELSE net_income END IS NOT NULL
               AND date_diff('day', report_date, w.period_end) <= 10) AS x
         WHERE age <= 5""",
+    "figure": """
+        SELECT company_id, 'amount' AS kind, abs(unnest([""" + ", ".join(SERIES) + """])) AS value FROM annual_five
+        UNION ALL
+        SELECT company_id, 'percent', abs(unnest([gross_profit, operating_income, net_income, free_cash_flow]) / nullif(revenue, 0) * 100)
+        FROM annual_five WHERE age <= 2
+        UNION ALL
+        SELECT company_id, 'percent', abs((c - p) / nullif(abs(p), 0) * 100) FROM (
+            SELECT company_id, age, """ + ", ".join(f"{m} AS c_{m}, lag({m}) OVER (PARTITION BY company_id ORDER BY period_end) AS p_{m}" for m in _GROWN) + """
+            FROM annual_five) AS a, LATERAL (SELECT unnest([""" + ", ".join(f"c_{m}" for m in _GROWN) + """]) AS c, unnest([""" + ", ".join(
+            f"p_{m}" for m in _GROWN) + """]) AS p) AS b WHERE age = 1""",
     "quarter_best": """
         SELECT company_id, canonical_metric AS m, period_end, min_by(value, (tag_rank, -epoch(filing_date), value)) AS v,
                min_by(fiscal_period, (tag_rank, -epoch(filing_date), value)) AS fp FROM xfact
-        WHERE NOT is_annual AND canonical_metric IN ('revenue', 'net_income') AND period_months = 3 GROUP BY ALL""",
+        WHERE NOT is_annual AND canonical_metric IN ('revenue', 'net_income', 'eps_diluted') AND period_months = 3 GROUP BY ALL""",
     "listed": """
         SELECT o_custkey // 10 AS company_id, o_orderkey AS filing_id, 'A-' || o_orderkey AS accession_number,
                CASE o_orderstatus WHEN 'F' THEN '10-K' WHEN 'O' THEN '10-Q' ELSE '6-K' END AS base_form,
@@ -214,32 +234,44 @@ VIEWS.update({
 
 ORACLES = {
     "companyfacts_long": sql("""
-        SELECT company_id, CASE canonical_metric
-                   WHEN 'revenue' THEN CASE WHEN tag_rank = 1 THEN 'RevenueFromContractWithCustomerExcludingAssessedTax' ELSE 'Revenues' END
-                   WHEN 'capex' THEN CASE WHEN tag_rank = 1 THEN 'PaymentsToAcquireProductiveAssets' ELSE 'PaymentsToAcquirePropertyPlantAndEquipment' END
-                   WHEN 'gross_profit' THEN 'GrossProfit' WHEN 'operating_income' THEN 'OperatingIncomeLoss' WHEN 'net_income' THEN 'NetIncomeLoss'
-                   WHEN 'operating_cash_flow' THEN 'NetCashProvidedByUsedInOperatingActivities' ELSE 'CashAndCashEquivalentsAtCarryingValue' END AS tag,
+        SELECT company_id, CASE WHEN reported = 'revenue' AND tag_rank = 1 THEN 'RevenueFromContractWithCustomerExcludingAssessedTax'
+                   WHEN reported = 'capex' AND tag_rank = 1 THEN 'PaymentsToAcquireProductiveAssets' ELSE CASE reported """ + " ".join(
+                   f"WHEN '{m}' THEN '{t}'" for m, t in twins.FIRST_TAGS.items()) + """ END END AS tag,
                strftime(period_start, '%Y-%m-%d') AS period_start, strftime(period_end, '%Y-%m-%d') AS period_end, value AS val, form,
                strftime(filing_date, '%Y-%m-%d') AS filed, fiscal_period AS fp FROM xfact"""),
-    "annual_series": sql("""
-        SELECT company_id, strftime(period_end, '%Y-%m-%d') AS period_end, revenue, gross_profit, operating_income, net_income,
-               operating_cash_flow, capex, cash, free_cash_flow FROM annual_five"""),
+    "annual_series": sql("SELECT company_id, strftime(period_end, '%Y-%m-%d') AS period_end, " + ", ".join(SERIES) + " FROM annual_five"),
     "annual_kpis": sql("""
         SELECT company_id, strftime(period_end, '%Y-%m-%d') AS period_end, revenue,
                CASE WHEN date_diff('day', prior_end, period_end) BETWEEN 350 AND 380
                     THEN (revenue - prior_revenue) / nullif(abs(prior_revenue), 0) END AS revenue_growth,
                gross_profit / nullif(revenue, 0) AS gross_margin, net_income / nullif(revenue, 0) AS net_margin,
-               free_cash_flow / nullif(revenue, 0) AS fcf_margin, cash FROM annual_five WHERE age = 1"""),
-    "capital_deployment": sql("SELECT company_id, 'Capex' AS name, capex AS value FROM annual_five WHERE age = 1 AND capex > 0"),
+               free_cash_flow / nullif(revenue, 0) AS fcf_margin, cash, eps_diluted,
+               CASE WHEN date_diff('day', prior_end, period_end) BETWEEN 350 AND 380
+                    THEN (eps_diluted - prior_eps) / nullif(abs(prior_eps), 0) END AS eps_growth,
+               CASE WHEN coalesce(buybacks, dividends) IS NOT NULL THEN coalesce(buybacks, 0) + coalesce(dividends, 0) END AS shareholder_returns,
+               long_term_debt FROM annual_five WHERE age = 1"""),
+    "capital_deployment": sql("""
+        SELECT company_id, u.name, u.value FROM (
+            SELECT company_id, unnest([{'name': 'Share Buybacks', 'value': buybacks}, {'name': 'Dividends', 'value': dividends},
+                                       {'name': 'Capex', 'value': capex}]) AS u FROM annual_five WHERE age = 1) AS a WHERE u.value > 0"""),
+    "reference_lines": sql("""
+        SELECT company_id, strftime(period_end, '%Y-%m-%d') AS period_end, '- Fiscal year ended ' || strftime(period_end, '%Y-%m-%d') || ': '
+               || array_to_string(list_transform(list_filter([""" + ", ".join(
+                   f"{{'l': '{label}', 'v': {m if m in SERIES else 'NULL'}::double}}" for m, label in cf.REFERENCE_FIELDS.items()) + """],
+                   lambda x: x.v <> 0), lambda x: x.l || ' ' || CASE WHEN x.v < 0 THEN '-' ELSE '' END || CASE
+                   WHEN abs(x.v) >= 1e12 THEN printf('$%.2fT', abs(x.v) / 1e12) WHEN abs(x.v) >= 1e9 THEN printf('$%.1fB', abs(x.v) / 1e9)
+                   WHEN abs(x.v) >= 1e6 THEN printf('$%.0fM', abs(x.v) / 1e6) ELSE '$' || format('{:,.2f}', abs(x.v)) END), '; ') AS line
+        FROM annual_five WHERE age <= 2"""),
+    "figure_index": sql("SELECT company_id, kind, count(value) AS n, max(value) AS largest FROM figure WHERE value IS NOT NULL GROUP BY ALL"),
     "latest_quarter": sql("""
         SELECT r.company_id, strftime(r.report_date, '%Y-%m-%d') AS report_date, c.revenue,
                p.revenue AS revenue_prior, (c.revenue - p.revenue) / nullif(abs(p.revenue), 0) AS revenue_growth, c.net_income,
-               p.net_income AS net_income_prior, c.fp AS fiscal_period
+               p.net_income AS net_income_prior, c.eps AS eps_diluted, p.eps AS eps_diluted_prior, c.fp AS fiscal_period
         FROM (SELECT company_id, max(period_end) AS report_date FROM filing WHERE NOT is_annual GROUP BY ALL) AS r
         JOIN (SELECT company_id, period_end, max(v) FILTER (m = 'revenue') AS revenue, max(v) FILTER (m = 'net_income') AS net_income,
-                     max(fp) AS fp FROM quarter_best GROUP BY ALL) AS c ON c.company_id = r.company_id AND c.period_end = r.report_date
-        LEFT JOIN (SELECT company_id, period_end, max(v) FILTER (m = 'revenue') AS revenue, max(v) FILTER (m = 'net_income') AS net_income
-                   FROM quarter_best GROUP BY ALL) AS p ON p.company_id = r.company_id
+                     max(v) FILTER (m = 'eps_diluted') AS eps, max(fp) AS fp FROM quarter_best GROUP BY ALL) AS c ON c.company_id = r.company_id AND c.period_end = r.report_date
+        LEFT JOIN (SELECT company_id, period_end, max(v) FILTER (m = 'revenue') AS revenue, max(v) FILTER (m = 'net_income') AS net_income,
+                          max(v) FILTER (m = 'eps_diluted') AS eps FROM quarter_best GROUP BY ALL) AS p ON p.company_id = r.company_id
              AND date_diff('day', p.period_end, r.report_date) BETWEEN 357 AND 371"""),
     "submissions_rows": sql("""
         SELECT company_id, accession_number, form_type, strftime(filing_date, '%Y-%m-%d') AS filing_date,

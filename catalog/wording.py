@@ -49,7 +49,7 @@ def trigger_phrases(spark, d):
 
 
 def repeated_lines(spark, d):
-    return w.repeated_lines(twins.texts(spark, d, "documents"), at_least=5)
+    return w.repeated_lines(twins.texts(spark, d, "documents"))
 
 
 def outline_lines(spark, d):
@@ -185,5 +185,5 @@ ORACLES = {
     "repeated_lines": """
         SELECT line, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) AS l
         WHERE length(line) BETWEEN 4 AND 120 AND NOT regexp_matches(line, '(?i)^(page\\s+)?\\d{1,3}$')
-        GROUP BY line HAVING count(*) >= 5""",
+        GROUP BY line HAVING count(*) >= 10""",
 }

@@ -8,7 +8,7 @@ are sums of exact cents, so both engines agree to the last bit.
 
 from pyspark.sql import functions as F
 
-from ..functions.arith import gather
+from ..functions.arith import gather, literal_map
 from ..operators.wording import sentence_rows
 
 TWIN_METRICS = ["revenue", "cost_of_revenue", "gross_profit", "operating_income", "pretax_income", "income_tax", "net_income",
@@ -156,11 +156,15 @@ def diff_inputs(spark, folder):
     return sentence_rows(gather(texts, "pair_id"), ["pair_id", "side", "same_kind"])
 
 
-SECOND_TAGS = {"revenue": "RevenueFromContractWithCustomerExcludingAssessedTax",
-               "capex": "PaymentsToAcquireProductiveAssets"}
-FIRST_TAGS = {"revenue": "Revenues", "gross_profit": "GrossProfit", "operating_income": "OperatingIncomeLoss",
-              "net_income": "NetIncomeLoss", "operating_cash_flow": "NetCashProvidedByUsedInOperatingActivities",
-              "capex": "PaymentsToAcquirePropertyPlantAndEquipment", "cash": "CashAndCashEquivalentsAtCarryingValue"}
+#: The tag that each metric of the twin is reported under; those that the series know are read as these.
+FIRST_TAGS = {
+    "revenue": "Revenues", "gross_profit": "GrossProfit", "operating_income": "OperatingIncomeLoss", "net_income": "NetIncomeLoss",
+    "operating_cash_flow": "NetCashProvidedByUsedInOperatingActivities", "capex": "PaymentsToAcquirePropertyPlantAndEquipment",
+    "cash": "CashAndCashEquivalentsAtCarryingValue", "cost_of_revenue": "ResearchAndDevelopmentExpense",
+    "pretax_income": "PaymentsForRepurchaseOfCommonStock", "income_tax": "PaymentsOfDividends", "net_interest_income": "EarningsPerShareDiluted",
+    "accounts_receivable": "LongTermDebt", "total_assets": "LongTermDebtNoncurrent", "inventory": "InventoryNet", "equity": "StockholdersEquity",
+    "deposits": "Deposits"}
+SECOND_TAGS = {"revenue": "RevenueFromContractWithCustomerExcludingAssessedTax", "capex": "PaymentsToAcquireProductiveAssets"}
 
 
 def companyfacts_json(spark, folder):
@@ -168,17 +172,17 @@ def companyfacts_json(spark, folder):
 
     Filings since 1998 use the newer tags, so series switch tags between years.
     """
-    f = facts(spark, folder).where(F.col("canonical_metric").isin(list(FIRST_TAGS)))
+    f = facts(spark, folder).where(F.col("canonical_metric").isNotNull())
     newer = F.year("filing_date") >= 1998
-    tag = F.lit(None).cast("string")
-    for metric, first in FIRST_TAGS.items():
-        tag = F.when(F.col("canonical_metric") == metric, F.when(newer, SECOND_TAGS.get(metric, first)).otherwise(first)).otherwise(tag)
+    metric = F.col("canonical_metric")
+    tag = F.coalesce(F.when(newer, F.try_element_at(literal_map(SECOND_TAGS), metric)), F.try_element_at(literal_map(FIRST_TAGS), metric))
     entry = F.struct(F.col("period_start").cast("string").alias("start"), F.col("period_end").cast("string").alias("end"),
                      F.col("value").alias("val"), F.col("form_type").alias("form"), F.col("filing_date").cast("string").alias("filed"),
                      F.col("fiscal_year").alias("fy"), F.col("fiscal_period").alias("fp"))
     by_tag = f.withColumn("tag", tag).groupBy("company_id", "filing_id", "tag").agg(F.collect_list(entry).alias("entries"))
+    unit = F.when(F.col("tag").startswith("EarningsPerShare"), "USD/shares").otherwise("USD")
     tags = by_tag.groupBy("company_id", "filing_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        "tag", F.struct(F.create_map(F.lit("USD"), "entries").alias("units"))))).alias("tags"))
+        "tag", F.struct(F.create_map(unit, F.col("entries")).alias("units"))))).alias("tags"))
     return tags.select("company_id", F.to_json(F.struct(F.create_map(F.lit("us-gaap"), "tags").alias("facts"))).alias("payload"))
 
 
