@@ -26,19 +26,23 @@ def local_session(cores="*", shuffle_partitions=8, app="folioscope", driver_memo
     )
 
 
-def checkpointed(df):
-    """Cuts lineage with a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark):
+    """The folder that all executors and the driver share: the session's ``spark.checkpoint.dir``.
 
-    The folder comes from the session's ``spark.checkpoint.dir``; only where a
-    local session names none (tests) a temporary folder is used.
+    Only where a local session names none (tests) a temporary folder is made, once.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder")
+        folder = tempfile.mkdtemp(prefix="folioscope-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF, None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder")
-            folder = tempfile.mkdtemp(prefix="folioscope-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df):
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
