@@ -139,12 +139,16 @@ def grouped_changes(spark, d):
 
 def audit_candidates(spark, d):
     c = twins.change_rows(_scored(spark, d))
-    points = twins.table(spark, d, "supplier").select(
-        F.col("s_suppkey").alias("company_id"), F.col("s_name").alias("headline"),
-        F.array(F.lit("metric revenue"), F.concat(F.lit("debt.line_18|"), F.lit("instant"))).alias("refs"))
+    by_label, by_id = F.array(F.lit("metric revenue")), F.array(F.lit("metric revenue"), F.lit("debt.line_18|instant"))
+
+    def point(position, name, refs):
+        return F.struct(F.lit(position).alias("position"), F.concat(F.lit(f"{name} "), "s_name").alias("headline"), refs.alias("refs"))
+
+    points = twins.table(spark, d, "supplier").select(F.col("s_suppkey").alias("company_id"), F.inline(F.array(
+        point(1, "1", by_label), point(0, "0", by_id), point(2, "0", by_label))))
     covered = au.covered_changes(c, points)
     items = au.audit_items(covered.select("company_id", F.lit("change").alias("kind"), F.col("change_id").alias("item_id"), "score", "covered_by"))
-    return items.select("company_id", "item_id", "score", "covered_by")
+    return items.select("company_id", "item_id", "score", F.array_join("covered_by", ", ").alias("covered_by"))
 
 
 def severe_sentences(spark, d):
@@ -155,7 +159,7 @@ def severe_sentences(spark, d):
 def audit_decisions(spark, d):
     t = twins.table(spark, d, "conversations")
     items = t.where("role = 'user'").select("conv_id", F.concat_ws("-", "conv_id", "turn").alias("item_id"),
-                                            F.when(F.col("turn") % 4 == 2, "Summary").alias("covered_by"))
+                                            F.when(F.col("turn") % 4 == 2, F.array(F.lit("Summary"))).alias("covered_by"))
     decisions = t.where("role = 'assistant'").select(
         F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("item_id"), F.col("turn").alias("position"),
         F.element_at(F.array(*map(F.lit, ["covered", "add", "not_material", "maybe"])), (F.col("conv_id") % 4 + 1).cast("int")).alias("decision"),
@@ -326,7 +330,8 @@ ORACLES = {
     "audit_candidates": sql("""
         SELECT company_id, change_id AS item_id, score, covered_by FROM (
             SELECT *, row_number() OVER (PARTITION BY company_id, covered_by IS NULL ORDER BY score DESC, change_id) AS n FROM (
-                SELECT c.company_id, c.change_id, c.score, CASE WHEN c.label = 'metric revenue' OR c.change_id = 'debt.line_18|instant' THEN s_name END AS covered_by
+                SELECT c.company_id, c.change_id, c.score, CASE WHEN c.label = 'metric revenue' THEN '0 ' || s_name || ', 1 ' || s_name
+                            WHEN c.change_id = 'debt.line_18|instant' THEN '0 ' || s_name END AS covered_by
                 FROM changed_row AS c LEFT JOIN supplier ON s_suppkey = c.company_id
                 WHERE c.tier = 'top' OR c.subsequent = 1 OR (c.change_type = 'new' AND c.category = 'debt')) AS a) AS b
         WHERE covered_by IS NOT NULL OR n <= 12"""),

@@ -24,7 +24,7 @@ def sentence_status(spark, d):
 
 
 def diff_counts(spark, d):
-    return w.diff_counts(_status(spark, d))
+    return w.diff_counts(w.compare_sentences(twins.diff_inputs(spark, d)))
 
 
 def reworded_sentences(spark, d):
@@ -169,7 +169,9 @@ ORACLES = {
         SELECT pair_id, count(*) AS total, count(*) FILTER (status = 'repeated') AS repeated,
                count(*) FILTER (status = 'numbers') AS numbers, count(*) FILTER (status = 'reworded') AS reworded,
                count(*) FILTER (status = 'new') AS new, count(*) FILTER (status = 'repeated') / count(*) AS repeated_share
-        FROM final_status GROUP BY pair_id"""),
+        FROM final_status GROUP BY pair_id
+        UNION ALL
+        SELECT DISTINCT pair_id, 0, 0, 0, 0, 0, 1.0::double FROM base_sentence WHERE pair_id NOT IN (SELECT pair_id FROM final_status)"""),
     "reworded_sentences": sql("SELECT pair_id, pos, similarity, sha1(old_s) AS old_hash FROM similar_pair"),
     "unused_base_sentences": sql("""
         SELECT b.pair_id, b.pos, b.exact FROM unmatched_base AS b

@@ -13,14 +13,18 @@ SEVERE_WEIGHT, MAX_CHANGES, MAX_LANGUAGE = 0.6, 12, 6
 
 
 def covered_changes(changes, points):
-    """Top or flagged changes with the summary points that cite them by id or by label.
+    """Top or flagged changes with the headlines of all summary points that cite them, by id or by label.
 
-    ``points``: company_id, headline, refs ARRAY of change ids or lower-case labels.
+    ``points``: company_id, position, headline, refs ARRAY of change ids or
+    lower-case labels.  Headlines come once each, those by id first, in the order
+    of the points; NULL where there is none.
     """
     flagged = changes.where((F.col("tier") == "top") | F.arrays_overlap("flags", F.array(*map(F.lit, MUST_REVIEW))))
-    cited = points.select("company_id", "headline", F.explode("refs").alias("ref"))
-    keys = flagged.select("company_id", "change_id", F.explode(F.array("change_id", F.lower("label"))).alias("ref"))
-    by = keys.join(cited, ["company_id", "ref"]).groupBy("company_id", "change_id").agg(F.min("headline").alias("covered_by"))
+    cited = points.select("company_id", "position", "headline", F.explode("refs").alias("ref"))
+    keys = flagged.select("company_id", "change_id", F.posexplode(F.array("change_id", F.lower("label"))).alias("way", "ref"))
+    found = F.array_sort(F.collect_list(F.struct("way", "position", "headline")))
+    by = keys.join(cited, ["company_id", "ref"]).groupBy("company_id", "change_id").agg(
+        F.array_distinct(F.transform(found, lambda f: f["headline"])).alias("covered_by"))
     return flagged.join(by, ["company_id", "change_id"], "left")
 
 
@@ -60,7 +64,7 @@ def reconciled(items, decisions, points):
         (F.col("decision") == "covered") & F.col("_headline").isNull(), "unresolved").when(
         F.col("decision").isin(DECISIONS), F.col("decision")).otherwise("unresolved")
     out = once(rows, final=decision).drop("decision").withColumnRenamed("final", "decision")
-    return out.withColumn("covered_by", F.coalesce("covered_by", F.when(F.col("decision") == "covered", F.col("_headline")))).drop("_headline")
+    return out.withColumn("covered_by", F.coalesce("covered_by", F.when(F.col("decision") == "covered", F.array("_headline")))).drop("_headline")
 
 
 def decision_counts(rows, keys=("company_id",)):
