@@ -35,8 +35,7 @@ def without_near_copies(spark, docs, sf_dir):
 
 def without_repeated_passages(spark, docs, sf_dir):
     """Cuts passages of 35 words or more that also start elsewhere; every document stays, with what is left of it."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("doc"))
-    left = substrings.without_repeats(rows, doc="doc", keep=["row"], layout=True)
+    left = substrings.without_repeats(_rows(docs), keep=["row"], layout=True)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("row.n_chars"))}
     return left.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])

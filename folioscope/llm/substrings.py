@@ -2,23 +2,25 @@
 
 Every window of 35 words is anchored at the least hash among its 24 runs of 12
 words.  Equal windows have equal anchors, so the suffixes of anchors are all
-that is needed; they are about a twelfth of all.  They are split by prefix:
+that is needed; they are about a twelfth of all.  They are split by prefix,
 first the 12 words of the anchor, of which only prefixes that occur twice go
-on.  A prefix with at most ``GROUP`` suffixes fits in memory: one task sorts
-the suffixes of its windows, which is their suffix tree; inner nodes 35 or
-more words deep are repeats, taken as far as they reach.  A prefix with more
-is lengthened to the full 35 words of each window; what is that deep needs no
-tree, its occurrences are counted, which Spark combines before it shuffles.
-So no passage, however common, is gathered in one task.
-
-Hashes only choose anchors and bring candidates together; equality is decided
-by the words themselves (for a lengthened prefix by a 128-bit digest).
-
-A row is known by its id and the hash of its text, so ids may be null or
-repeated.  Rows that repeat an id and a text are rows like others: their
-windows occur in each other.  Null texts have no words.  Texts of any length
-are read whole; an empty table gives an empty table; columns that are not
-named are not read.
+on.  The words of all windows with one anchor are its context; equal contexts
+are counted before they are shuffled and then stand for one.  A prefix with at
+most ``GROUP`` different contexts fits in memory: one task sorts the suffixes of
+its windows, which is their suffix tree; inner nodes 35 or more words deep are
+repeats, taken as far as they reach.  A prefix with more is lengthened to the
+full 35 words of each window; what is that deep needs no tree, its occurrences
+are counted, which Spark combines before it shuffles.  So neither a copy nor a
+passage, however common, is gathered in one task.
+
+Equal texts are searched once for all of them, and repeat as a whole.  A text,
+a context or a lengthened prefix is known by a hash of 128 bits; within a tree
+words are compared themselves.
+
+A row needs no id: what is removed depends on its text alone.  Rows that repeat
+an id and a text are rows like others, their windows occur in each other.  Null
+texts have no words.  Texts of any length are read whole; an empty table gives
+an empty table; columns that are not named are not read.
 """
 
 import re
@@ -28,15 +30,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscope.llm.shared import batches_of, chunks_of, stored
 
 WINDOW = 35
 #: Words of an anchor; its place is the least hash among WINDOW - GRAM + 1 of them.
 GRAM = 12
-#: Suffixes of a prefix that one task takes into memory.
-GROUP = 10_000
+#: Different contexts of a prefix that one task takes into memory.
+GROUP = 50_000
 #: Word hashes that a task remembers.
 REMEMBERED = 500_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -83,7 +84,7 @@ def gram_hashes(hashes, gram):
 
 
 def anchors(hashes, window=WINDOW, gram=GRAM):
-    """Runs of windows with one anchor: (gram hash, first window, last window) arrays; anchors keep their order."""
+    """Runs of windows with one anchor: (gram hash, first window, last window, anchor's place after the first) arrays."""
     grams = gram_hashes(hashes, gram)
 
     def least(left, right, _):
@@ -92,97 +93,113 @@ def anchors(hashes, window=WINDOW, gram=GRAM):
     place = window_wise(np.arange(len(grams)), window - gram + 1, least)
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     last = np.r_[first[1:], len(place)] - 1
-    return grams[place[first]], first, last
+    return grams[place[first]], first, last, place[first] - first
 
 
-def anchored(docs, text, doc, window=WINDOW, gram=GRAM):
-    """A row for each run: doc, hash of the text, hash of the prefix, first and last window."""
+#: The seed of a second hash: what Spark's xxhash64 of this word and a text goes on with.
+SECOND = "second"
+SECOND_SEED = xxhash.xxh64_intdigest(SECOND.encode(), 42)
+
+
+def two_hashes(column):
+    """A text's hash of 128 bits, as two longs."""
+    return F.xxhash64(column), F.xxhash64(F.lit(SECOND), column)
+
+
+def two_hashes_of(data):
+    return xxhash.xxh64_intdigest(data, 42), xxhash.xxh64_intdigest(data, SECOND_SEED)
+
+
+def signed(value):
+    return value - (1 << 64) if value >> 63 else value
+
+
+def anchored(texts, window=WINDOW, gram=GRAM):
+    """A row for each run of each different text that a task meets.
+
+    a, b: the text's hash; prefix: the anchor's; place: first window, number of
+    further windows, and where the anchor stands after the first, 5 bits each.
+    """
+    if window - gram > 31:
+        raise ValueError("a run has at most 32 windows")
+
     def run(batches):
-        known = WordHashes()
+        known, seen = WordHashes(), set()
         for batch in batches:
-            for start, chunk in chunks_of(batch, 1):
+            for _, chunk in chunks_of(batch, 0):
                 if len(known) > REMEMBERED:
                     known.clear()
-                rows, keys, found = [], [], []
-                for i, data in enumerate(chunk):
+                keys, found = [], []
+                for data in chunk:
                     words = data.split() if data else []
                     if len(words) < window:
                         continue
+                    key = two_hashes_of(data)
+                    if key in seen:
+                        continue
+                    seen.add(key)
                     found.append(anchors(np.array([known[w] for w in words], np.uint64), window, gram))
-                    rows.append(np.full(len(found[-1][0]), start + i))
-                    keys.append(np.full(len(found[-1][0]), np.uint64(xxhash.xxh64_intdigest(data, 42))))
+                    keys.append(key)
                 if found:
-                    prefix, first, last = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(0).take(pa.array(np.concatenate(rows))),
-                        pa.array(np.concatenate(keys).view(np.int64)), pa.array(prefix.view(np.int64)),
-                        pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                        names=["doc", "key", "prefix", "first", "last"])
-
-    rows = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["doc"], *T.StructType.fromDDL("key long, prefix long, first int, last int").fields])
-    return rows.mapInArrow(run, schema)
+                    key = np.repeat(np.array(keys, np.uint64), [len(x[0]) for x in found], axis=0).view(np.int64)
+                    prefix, first, last, lead = (np.concatenate(x) for x in zip(*found))
+                    place = first << 10 | (last - first) << 5 | lead
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.ascontiguousarray(x)) for x in (prefix.view(np.int64), key[:, 0], key[:, 1], place)],
+                        names=["prefix", "a", "b", "place"])
 
+    return texts.select("text").mapInArrow(run, "prefix long, a long, b long, place long")
 
-def contexts(docs, runs, window=WINDOW, group=GROUP):
-    """The words of each run's windows.  For a crowded prefix: a digest of each window instead.
 
-    ``docs``: doc, key, text.  ``runs``: doc, key, prefix, n, first, last.
-    """
-    wanted = runs.groupBy("doc", "key").agg(F.collect_set(F.struct("prefix", "n", "first", "last")).alias("runs")).select(
-        F.col("doc").alias("d"), F.col("key").alias("k"), "runs")
-    rows = docs.join(wanted, docs["doc"].eqNullSafe(F.col("d")) & (docs["key"] == F.col("k"))).select("doc", "key", "text", "runs")
-    doc_type = to_arrow_type(docs.schema["doc"].dataType)
+def contexts(texts, wanted, window=WINDOW):
+    """The words of each wanted run: a, b, first, prefix, lead, c and d (the context's hash), words."""
+    rows = texts.join(wanted, ["a", "b"]).select("a", "b", "text", "runs")
+    schema = "a long, b long, first long, prefix long, lead long, c long, d long, words binary"
 
     def run(batches):
         def found():
+            seen = set()
             for batch in batches:
                 texts = batch.column(2).cast(pa.binary())
-                for doc, key, data, runs in zip(batch.column(0), batch.column(1), texts, batch.column(3)):
-                    words, doc, key = data.as_py().split(), doc.as_py(), key.as_py()
+                for a, b, data, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3)):
+                    if (a, b) in seen:
+                        continue
+                    seen.add((a, b))
+                    words = data.as_py().split()
                     for r in runs.as_py():
-                        if r["n"] <= group:
-                            yield doc, key, r["prefix"], r["first"], b" ".join(words[r["first"]:r["last"] + window]), None
-                            continue
-                        for p in range(r["first"], r["last"] + 1):
-                            yield doc, key, None, p, None, xxhash.xxh3_128_digest(b" ".join(words[p:p + window]))
+                        first, more, lead = r["place"] >> 10, r["place"] >> 5 & 31, r["place"] & 31
+                        context = b" ".join(words[first:first + more + window])
+                        yield (a, b, first, r["prefix"], lead, *map(signed, two_hashes_of(context)), context)
 
-        schema = pa.schema([("doc", doc_type), ("key", pa.int64()), ("prefix", pa.int64()), ("first", pa.int32()),
-                            ("words", pa.binary()), ("digest", pa.binary())])
-        yield from batches_of(found(), schema)
+        names = ["a", "b", "first", "prefix", "lead", "c", "d"]
+        yield from batches_of(found(), pa.schema([*((n, pa.int64()) for n in names), ("words", pa.binary())]))
 
-    return rows.mapInArrow(run, T.StructType([
-        rows.schema["doc"], *T.StructType.fromDDL("key long, prefix long, first int, words binary, digest binary").fields]))
+    return rows.mapInArrow(run, schema)
 
 
 def deep_repeats(members, window=WINDOW):
-    """Spans (member, start, stop) of the repeats among the contexts of one prefix.
+    """Spans of the repeats in the different contexts of one prefix: {member: [(start, stop)]}.
 
-    ``members`` are contexts as bytes.  The suffixes of different contexts are
-    sorted; neighbours with 35 or more words in common share an inner node of
-    that depth, and the deeper of a leaf's two is as far as its repeat goes.
+    ``members``: (words, where the anchor stands, number of copies).  Suffixes
+    that begin as far before the anchor are sorted; neighbours with 35 or more
+    words in common share an inner node of that depth, and the deeper of a
+    leaf's two is as far as its repeat goes.
     """
-    same = {}
-    for i, words in enumerate(members):
-        same.setdefault(words, []).append(i)
-    split = {words: words.split(b" ") for words in same}
-    # a context with several owners is a repeat as a whole
-    spans = [(i, 0, len(split[words])) for words, owners in same.items() if len(owners) > 1 for i in owners]
-    if len(same) == 1:
+    spans = {i: [(0, len(words))] for i, (words, _, n) in enumerate(members) if n > 1}
+    if len(members) == 1:
         return spans
-    suffixes = [(split[words][o:], owners[0] if len(owners) == 1 else -1, o)
-                for words, owners in same.items() for o in range(len(split[words]) - window + 1)]
-    suffixes.sort()
-    depth = [0] * len(suffixes)
-    for i in range(1, len(suffixes)):
-        a, b = suffixes[i - 1][0], suffixes[i][0]
-        if a[:window] != b[:window]:
-            continue
-        common, most = window, min(len(a), len(b))
-        while common < most and a[common] == b[common]:
-            common += 1
-        depth[i - 1], depth[i] = max(depth[i - 1], common), max(depth[i], common)
-    spans += [(i, o, o + d) for (_, i, o), d in zip(suffixes, depth) if d and i >= 0]
+    most = max(lead for _, lead, _ in members)
+    for before in range(most + 1):
+        suffixes = sorted((words[lead - before:], i) for i, (words, lead, _) in enumerate(members) if 0 <= lead - before <= len(words) - window)
+        for (x, i), (y, j) in zip(suffixes, suffixes[1:]):
+            if x[:window] != y[:window]:
+                continue
+            common, least = window, min(len(x), len(y))
+            while common < least and x[common] == y[common]:
+                common += 1
+            for k in (i, j):
+                start = members[k][1] - before
+                spans.setdefault(k, []).append((start, start + common))
     return spans
 
 
@@ -197,112 +214,132 @@ def joined_spans(spans):
     return out
 
 
-def tree_spans(rows, window=WINDOW):
-    """Repeats of all prefixes that fit in memory: doc, key, start, stop.  A task holds one prefix at a time."""
-    schema = T.StructType([rows.schema["doc"], *T.StructType.fromDDL("key long, start int, stop int").fields])
-    arrow_doc = to_arrow_type(rows.schema["doc"].dataType)
+SPANS = "array<struct<start:int,stop:int>>"
+ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
 
+def as_structs(spans):
+    return [{"start": a, "stop": b} for a, b in spans]
+
+
+def tree_spans(rows, window=WINDOW):
+    """Repeats of all prefixes that fit in memory: c, d, spans.  A task holds one prefix at a time.  ``rows``: different contexts."""
     def run(batches):
         def prefixes():
-            now, held = None, []
+            now, held, known = None, [], {}
             for batch in batches:
-                columns = [batch.column(i).to_pylist() for i in range(5)]
-                for doc, key, prefix, first, words in zip(*columns):
+                for prefix, lead, c, d, words, n in zip(*(x.to_pylist() for x in batch.columns)):
                     if prefix != now and held:
                         yield held
-                        held = []
+                        held, known = [], {}
                     now = prefix
-                    held.append((doc, key, first, words))
+                    held.append(((c, d), ([known.setdefault(w, w) for w in words.split(b" ")], lead, n)))
             if held:
                 yield held
 
         def found():
             for held in prefixes():
-                by = {}
-                for i, start, stop in deep_repeats([h[3] for h in held], window):
-                    by.setdefault(i, []).append((start, stop))
-                for i, spans in by.items():
-                    doc, key, first, _ = held[i]
-                    for start, stop in joined_spans(spans):
-                        yield doc, key, first + start, first + stop
+                for i, spans in deep_repeats([m for _, m in held], window).items():
+                    yield (*held[i][0], as_structs(joined_spans(spans)))
 
-        yield from batches_of(found(), pa.schema([("doc", arrow_doc), ("key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+        yield from batches_of(found(), pa.schema([("c", pa.int64()), ("d", pa.int64()), ("spans", ARROW_SPANS)]))
 
-    return (rows.select("doc", "key", "prefix", "first", "words").repartition("prefix")
-            .sortWithinPartitions("prefix").mapInArrow(run, schema))
+    return (rows.select("prefix", "lead", "c", "d", "words", "n").repartition("prefix")
+            .sortWithinPartitions("prefix").mapInArrow(run, f"c long, d long, spans {SPANS}"))
 
 
-def repeats(docs, text="text", doc="doc_id", window=WINDOW, gram=GRAM, group=GROUP):
-    """(doc, key, start, stop): spans of words covered by windows whose words also start elsewhere; they may overlap."""
-    rows = docs.select(F.col(doc).alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("key"), F.col(text).cast("string").alias("text"))
-    runs = stored(anchored(docs, text, doc, window, gram), "anchors")
-    often = runs.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-    runs = runs.join(often, "prefix")
-    found = stored(contexts(rows, runs, window, group), "contexts")
-    few = tree_spans(found.where("digest IS NULL"), window)
-    windows = found.where("digest IS NOT NULL").select("digest", "doc", "key", "first")
-    again = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    many = windows.join(again, "digest").select("doc", "key", F.col("first").alias("start"), (F.col("first") + window).alias("stop"))
-    return few.unionByName(many)
+def lengthened(rows, window=WINDOW):
+    """All windows of different contexts: c, d, start, n, and v and w, the window's hash."""
+    def run(batches):
+        def found():
+            for batch in batches:
+                for c, d, words, n in zip(*(x.to_pylist() for x in batch.columns)):
+                    words = words.split(b" ")
+                    for p in range(len(words) - window + 1):
+                        yield (c, d, p, n, *map(signed, two_hashes_of(b" ".join(words[p:p + window]))))
+
+        yield from batches_of(found(), pa.schema([(n, pa.int64()) for n in ("c", "d", "start", "n", "v", "w")]))
 
+    return rows.select("c", "d", "words", "n").mapInArrow(run, "c long, d long, start long, n long, v long, w long")
 
-def cut(data, spans, layout):
-    """Number of words, number removed, and what is kept.
+
+def repeats(texts, window=WINDOW, gram=GRAM, group=GROUP):
+    """Spans of words covered by windows that also start elsewhere, which may overlap: a, b, spans.
+
+    ``texts``: a, b (a text's hash) and text.  Tables that are joined by a key
+    of any frequency are stored first, so that Spark can split the key's rows.
+    """
+    runs = stored(anchored(texts, window, gram), "anchors")
+    often = stored(runs.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"), "prefixes")
+    wanted = stored(runs.join(often, "prefix").groupBy("a", "b").agg(F.collect_set(F.struct("prefix", "place")).alias("runs")), "runs")
+    found = stored(contexts(texts, wanted, window), "contexts")
+    different = stored(found.groupBy("prefix", "lead", "c", "d", "words").agg(F.count("*").alias("n")), "different")
+    crowded = stored(different.groupBy("prefix").agg(F.count("*").alias("m")).where(F.col("m") > group).select("prefix"), "crowded")
+    few = tree_spans(different.join(crowded, "prefix", "left_anti"), window)
+    windows = stored(lengthened(different.join(crowded, "prefix", "left_semi"), window), "windows")
+    again = stored(windows.groupBy("v", "w").agg(F.sum("n").alias("n")).where("n > 1").select("v", "w"), "again")
+    many = windows.join(again, ["v", "w"]).groupBy("c", "d").agg(
+        F.collect_list(F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + window).cast("int").alias("stop"))).alias("spans"))
+    spans = found.select("a", "b", "first", "c", "d").join(stored(few.unionByName(many), "repeats"), ["c", "d"]).select(
+        "a", "b", F.transform("spans", lambda s: F.struct(
+            (F.col("first") + s["start"]).cast("int").alias("start"), (F.col("first") + s["stop"]).cast("int").alias("stop"))).alias("spans"))
+    # equal texts are repeats from end to end
+    copies = texts.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select(
+        "a", "b", F.array(F.struct(F.lit(0).alias("start"), F.lit(2**31 - 1).alias("stop"))).alias("spans"))
+    return spans.unionByName(copies).groupBy("a", "b").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+
+
+def cut(data, spans, layout, window=WINDOW):
+    """Number of words, spans removed, and what is kept.
 
     Kept words are joined by one space; with ``layout`` the text between kept
     words stays as it is, and a text with nothing removed is left alone.
     """
     if not data:
-        return 0, 0, b""
+        return 0, [], b""
+    words = data.split()
+    n = len(words)
+    spans = [(a, min(b, n)) for a, b in joined_spans(spans)] if n >= window else []
     if layout and not spans:
-        return len(data.split()), 0, data
-    if not layout:
-        words = data.split()
-        kept = []
-        at = removed = 0
+        return n, spans, data
+    kept, at = [], 0
+    if layout:
+        places = [m.span() for m in WORD.finditer(data)]
         for start, stop in spans:
-            kept += words[at:start]
-            removed += stop - start
-            at = stop
-        kept += words[at:]
-        return len(words), removed, b" ".join(kept)
-    places = [m.span() for m in WORD.finditer(data)]
-    out, at, removed = [], 0, 0
+            kept.append(data[at:places[start][0]])
+            at = places[stop][0] if stop < n else len(data)
+        return n, spans, b"".join([*kept, data[at:]])
     for start, stop in spans:
-        out.append(data[at:places[start][0]])
-        at = places[stop][0] if stop < len(places) else len(data)
-        removed += stop - start
-    out.append(data[at:])
-    return len(places), removed, b"".join(out)
+        kept += words[at:start]
+        at = stop
+    return n, spans, b" ".join(kept + words[at:])
 
 
-def without_repeats(docs, text="text", doc="doc_id", keep=("doc_id",), kept="kept", layout=False, window=WINDOW, gram=GRAM, group=GROUP):
+def without_repeats(docs, text="text", keep=("doc_id",), kept="kept", layout=False, window=WINDOW, gram=GRAM, group=GROUP):
     """For every row ``keep``, ``n_words``, ``n_removed``, ``spans`` of removed words, and the text that is kept.
 
     A word is removed if a window of 35 words that covers it also starts
     anywhere else, as the input has it.
     """
     keep = list(keep)
-    spans = repeats(docs, text, doc, window, gram, group).groupBy("doc", "key").agg(
-        F.collect_set(F.struct("start", "stop")).alias("__spans")).select(F.col("doc").alias("__d"), F.col("key").alias("__k"), "__spans")
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"), F.col(doc).alias("__doc"),
-                       F.xxhash64(F.col(text).cast("string")).alias("__key"))
-    rows = rows.join(spans, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left").select(*keep, "__text", "__spans")
-    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
-    schema = T.StructType([*(rows.schema[k] for k in keep), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
-                           T.StructField("spans", T.ArrayType(span)), T.StructField(kept, T.StringType())])
+    rows = docs.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keep)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    a, b = two_hashes("text")
+    rows = rows.withColumn("a", a).withColumn("b", b)
+    found = stored(repeats(rows.select("a", "b", "text"), window, gram, group), "spans")
+    rows = rows.join(found, ["a", "b"], "left").drop("a", "b")
     n = len(keep)
+    schema = T.StructType([*(docs.select(*keep).schema if keep else ()), *T.StructType.fromDDL(f"n_words long, n_removed long, spans {SPANS}, {kept} string")])
 
     def run(batches):
-        arrow_spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
             for start, chunk in chunks_of(batch, n):
                 part = batch.slice(start, len(chunk))
-                found = [joined_spans((s["start"], s["stop"]) for s in x or ()) for x in part.column(n + 1).to_pylist()]
-                words, removed, left = zip(*(cut(data, s, layout) for data, s in zip(chunk, found)))
+                done = [cut(data, [(s["start"], s["stop"]) for s in x or ()], layout, window)
+                        for data, x in zip(chunk, part.column(n + 1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([
-                    *part.columns[:n], pa.array(words, pa.int64()), pa.array(removed, pa.int64()),
-                    pa.array([[{"start": a, "stop": b} for a, b in s] for s in found], arrow_spans),
-                    pa.array(left, pa.binary()).cast(pa.string())], names=schema.names)
+                    *part.columns[:n], pa.array([w for w, _, _ in done], pa.int64()),
+                    pa.array([sum(y - x for x, y in s) for _, s, _ in done], pa.int64()),
+                    pa.array([as_structs(s) for _, s, _ in done], ARROW_SPANS),
+                    pa.array([k for _, _, k in done], pa.binary()).cast(pa.string())], names=schema.names)
 
     return rows.mapInArrow(run, schema)

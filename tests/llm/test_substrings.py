@@ -28,7 +28,13 @@ def texts_of(rng):
     return texts + [texts[-1], texts[-2], passages[3]]
 
 
-@pytest.mark.parametrize("group", [10_000, 3])
+def test_hashes_as_spark_has_them(spark):
+    rows = [("",), ("a b",), ("é漢" * 50,)]
+    got = spark.createDataFrame(rows, "t string").select("t", *op.two_hashes("t")).collect()
+    assert all((op.signed(x), op.signed(y)) == (a, b) for t, a, b in got for x, y in [op.two_hashes_of(t.encode())])
+
+
+@pytest.mark.parametrize("group", [10_000, 3, 0])
 def test_against_all_windows(spark, group):
     texts = texts_of(random.Random(4))
     docs = spark.createDataFrame([(i if i % 7 else None, t, "k", i) for i, t in enumerate(texts)],
@@ -47,9 +53,10 @@ def test_repeated_rows_and_empty_tables(spark):
 
 
 def test_layout_is_kept():
-    assert op.cut(b" a  b\nc d", [(1, 2)], True) == (4, 1, b" a  c d")
-    assert op.cut(b" a  b\nc d ", [(2, 4)], True) == (4, 2, b" a  b\n")
-    assert op.cut(b" a  b\n", [], True) == (2, 0, b" a  b\n")
+    assert op.cut(b" a  b\nc d", [(1, 2)], True, 1) == (4, [(1, 2)], b" a  c d")
+    assert op.cut(b" a  b\nc d ", [(2, 3), (3, 9)], True, 1) == (4, [(2, 4)], b" a  b\n")
+    assert op.cut(b" a  b\n", [], True, 1) == (2, [], b" a  b\n")
+    assert op.cut(b" a  b\n", [(0, 9)], False, 3) == (2, [], b"a b")
 
 
 def test_long_text(spark):
