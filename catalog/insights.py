@@ -113,6 +113,14 @@ QUERIES = {f.__name__: f for f in [
     registrant_names, index_documents, snapshot_freshness, rewrite_list]}
 
 ORACLES = {
+    "digest_lines": sql("""
+        SELECT company_id, replace(k, '_', ' ') || ': ' || string_agg('FY' || fy || ' ' || CASE WHEN v IS NULL THEN 'n/a' ELSE
+                   CASE WHEN v < 0 THEN '-' ELSE '' END || '$' || CASE WHEN abs(v) >= 1e12 THEN printf('%.1fT', abs(v) / 1e12)
+                   WHEN abs(v) >= 1e9 THEN printf('%.1fB', abs(v) / 1e9) WHEN abs(v) >= 1e6 THEN printf('%.1fM', abs(v) / 1e6)
+                   ELSE format('{:,.0f}', abs(v)) END END, ' | ' ORDER BY age DESC) AS line
+        FROM (SELECT company_id, fy, age, c.k AS k, c.v AS v, max(c.v) OVER (PARTITION BY company_id, c.k) AS filled
+              FROM general_cell WHERE p = 'FY' AND age <= 5 AND NOT is_bank) AS x
+        WHERE filled IS NOT NULL AND age <= 2 AND k IN ('revenue', 'net_income', 'free_cash_flow') GROUP BY company_id, k"""),
     "base_reports": sql("""
         SELECT c.company_id, c.fact_key, c.period_type, c.base_period_label, f.filing_id AS base_report_id FROM change AS c
         LEFT JOIN filing AS f ON f.company_id = c.company_id

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from folioscope.functions import fixed_values as fv
+from folioscope.functions import text
 from folioscope.operators import audit as au
 from folioscope.operators import filings as fo
 from folioscope.operators import grouping as gr
@@ -12,6 +14,7 @@ from folioscope.plans import views as pv
 
 from .changes import _scored, day
 from .views import VIEWS, sql
+from .wording import _TRIGGER_LIST
 
 
 def rename_bridge(spark, d):
@@ -241,6 +244,8 @@ VIEWS.update({
         WHERE change_type <> 'repeated'""",
 })
 
+_NEGATION = text.NEGATION.replace("'", "''")
+
 ORACLES = {
     "rename_bridge": sql("""
         SELECT company_id, old_key, new_key FROM rpair
@@ -335,6 +340,15 @@ ORACLES = {
                 FROM changed_row AS c LEFT JOIN supplier ON s_suppkey = c.company_id
                 WHERE c.tier = 'top' OR c.subsequent = 1 OR (c.change_type = 'new' AND c.category = 'debt')) AS a) AS b
         WHERE covered_by IS NOT NULL OR n <= 12"""),
+    "severe_sentences": sql(f"""
+        SELECT company_id, phrase, section_order, sha1(s) AS hash, w AS weight FROM (
+            SELECT source AS company_id, t.phrase AS phrase, t.w AS w, doc_id AS section_order, s,
+                   row_number() OVER (PARTITION BY source, t.phrase ORDER BY doc_id, pos) AS n
+            FROM sentence JOIN (SELECT doc_id, source FROM documents) AS d USING (doc_id), (SELECT unnest({_TRIGGER_LIST}) AS t) AS tt
+            WHERE t.w >= 0.6 AND regexp_matches(s, '(?i)' || t.p) AND regexp_matches(s, '(?i){fv.REALIZED}')
+              AND NOT regexp_matches(s, '(?i){fv.HYPOTHETICAL}') AND NOT regexp_matches(s, '{_NEGATION}')
+              AND NOT (t.phrase = 'restatement' AND regexp_matches(s, '(?i){fv.PRESENTATION_RESTATEMENT}'))) AS x
+        WHERE n = 1"""),
     "audit_decisions": """
         SELECT conv_id, count(*) AS checked, count(*) FILTER (f = 'covered') AS covered, count(*) FILTER (f = 'add') AS "add",
                count(*) FILTER (f = 'not_material') AS not_material, count(*) FILTER (f = 'unresolved') AS unresolved FROM (

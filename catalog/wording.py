@@ -184,6 +184,10 @@ ORACLES = {
             WHERE regexp_matches(s, '(?i)' || t.p)
               AND NOT (t.phrase = 'restatement' AND regexp_matches(s, '(?i){fv.PRESENTATION_RESTATEMENT}'))) AS x
         GROUP BY doc_id, phrase"""),
+    "outline_lines": sql(f"""
+        SELECT DISTINCT doc_id, sha1(l) AS line_hash FROM (
+            SELECT doc_id, trim(regexp_replace(trim(line), '^[•●▪\\- ]+', '')) AS l FROM doc_line) AS x
+        WHERE length(l) BETWEEN 40 AND 400 AND regexp_matches(l, '[.:]$') AND len({_sentences('l')}) = 1"""),
     "repeated_lines": """
         SELECT line, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) AS l
         WHERE length(line) BETWEEN 4 AND 120 AND NOT regexp_matches(line, '(?i)^(page\\s+)?\\d{1,3}$')
