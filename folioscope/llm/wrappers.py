@@ -288,9 +288,11 @@ def wrappers(pages):
     """
     sized = pages.where("host <> ''").select("host", "page", F.char_length("html").alias("size"), F.xxhash64("html").alias("key"))
     middle = sized.groupBy("host").agg(F.percentile_approx("size", 0.5).alias("middle"), F.count("*").alias("n")).where("n > 1")
+    # stored, so that a host of many pages can be split where these are joined
+    middle = stored(middle, "middles")
     pick = sized.join(middle, "host").groupBy("host").agg(
         F.min(F.struct(F.abs(F.col("size") - F.col("middle")), F.col("page").isNull(), "page", "key")).alias("pick"))
-    pick = pick.select("host", F.col("pick.page").alias("p"), F.col("pick.key").alias("k"))
+    pick = stored(pick.select("host", F.col("pick.page").alias("p"), F.col("pick.key").alias("k")), "picks")
     pivots = pages.withColumn("key", F.xxhash64("html")).join(
         pick, (pages["host"] == pick["host"]) & F.col("page").eqNullSafe(F.col("p")) & (F.col("key") == F.col("k")), "left_semi")
 
