@@ -18,16 +18,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.llm.shared import by_batches
+
 #: Bytes are written as the characters from this one on.
 FIRST_CHARACTER = 256
 BYTE_TO_CHARACTER = {i: FIRST_CHARACTER + i for i in range(256)}
 #: Encoded pieces of text that a task remembers; a task that has met more begins anew.
-REMEMBERED = 200_000
-#: Characters that a task handles at once.
-CHARACTERS_AT_ONCE = 1 << 20
+REMEMBERED = 100_000
+#: Bytes of text that a task handles at once.
+BYTES_AT_ONCE = 1 << 19
 
 
 def read_ranks(path):
@@ -145,54 +148,40 @@ def unreached(tokens, model):
     return {n: [i] for i, (n, got) in enumerate(zip(names, pieces.encode(names, num_threads=1))) if got != [i]}
 
 
-def encode(docs, tokens, pattern, text="text", keep=("doc_id",), ids="ids"):
-    """The columns ``keep`` and ``ids``, an array of the token ids of the whole text.
-
-    ``tokens`` (from ``read_ranks``) bounds what is broadcast: the vocabulary.
-    """
-    model = model_bytes(tokens)
-    sent = docs.sparkSession.sparkContext.broadcast((model, unreached(tokens, model)))
-    keep = list(keep)
+def _encoding(sent, pattern, names):
+    """Arrow batches of the columns ``names`` but the last and a text become batches with ids in the text's place."""
+    n = len(names) - 1
 
     def run(batches):
         encoder = Encoder(sent.value[0], pattern, sent.value[1])
         for batch in batches:
-            texts = batch.column(len(keep))
-            lengths = [len(t) if t else 0 for t in texts.to_pylist()]
+            texts = batch.column(n)
+            lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             start = 0
             while start < len(lengths):
                 stop, size = start + 1, lengths[start]
-                while stop < len(lengths) and size + lengths[stop] <= CHARACTERS_AT_ONCE:
+                while stop < len(lengths) and size + lengths[stop] <= BYTES_AT_ONCE:
                     size += lengths[stop]
                     stop += 1
                 found = encoder.encode(texts.slice(start, stop - start).to_pylist())
                 offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 values = np.concatenate(found) if found else np.empty(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, stop - start) for i in range(len(keep))), lists],
-                                                 names=[*keep, ids])
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns[:n], lists], names=names)
                 start = stop
 
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(run, schema)
-
+    return run
 
-def decode(encoded, tokens, ids="ids", keep=("doc_id",), decoded="decoded"):
-    """The columns ``keep`` and ``ids`` and the bytes that the ids stand for; null ids give no bytes."""
-    sent = encoded.sparkSession.sparkContext.broadcast(tokens)
-    keep = list(keep)
 
+def _decoding(sent, names):
+    """Arrow batches whose last column is ids get the bytes they stand for beside it."""
     def run(batches):
         table = sent.value
         for batch in batches:
-            column = batch.column(len(keep))
-            data = [b"".join(map(table.__getitem__, row)) if row else b"" for row in _rows(column)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, type=pa.binary())], names=[*keep, ids, decoded])
+            data = [b"".join(map(table.__getitem__, row)) if row else b"" for row in _rows(batch.column(batch.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, type=pa.binary())], names=names)
 
-    rows = encoded.select(*keep, ids)
-    schema = T.StructType([*rows.schema.fields, T.StructField(decoded, T.BinaryType())])
-    return rows.mapInArrow(run, schema)
+    return run
 
 
 def _rows(lists):
@@ -203,7 +192,34 @@ def _rows(lists):
         yield values[offsets[i]:offsets[i + 1]].tolist() if there else None
 
 
-def encode_and_decode(docs, path, pattern, text="text", keep=("doc_id",)):
-    """Every whole text's ids and what they decode to: ``keep``, ``ids``, ``decoded``."""
+def _prepared(docs, tokens, pattern, text, keep, ids):
+    model = model_bytes(tokens)
+    sent = docs.sparkSession.sparkContext.broadcast((model, unreached(tokens, model)))
+    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    fields = [*(rows.schema[k] for k in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    return rows, _encoding(sent, pattern, [*keep, ids]), fields
+
+
+def encode(docs, tokens, pattern, text="text", keep=("doc_id",), ids="ids"):
+    """The columns ``keep`` and ``ids``, an array of the token ids of the whole text.
+
+    ``tokens`` (from ``read_ranks``) bounds what is broadcast: the vocabulary.
+    """
+    rows, encoding, fields = _prepared(docs, tokens, pattern, text, keep, ids)
+    return by_batches(rows, encoding, T.StructType(fields))
+
+
+def decode(encoded, tokens, ids="ids", keep=("doc_id",), decoded="decoded"):
+    """The columns ``keep`` and ``ids`` and the bytes that the ids stand for; null ids give no bytes."""
+    rows = encoded.select(*keep, ids)
+    schema = T.StructType([*rows.schema.fields, T.StructField(decoded, T.BinaryType())])
+    return by_batches(rows, _decoding(encoded.sparkSession.sparkContext.broadcast(tokens), schema.names), schema)
+
+
+def encode_and_decode(docs, path, pattern, text="text", keep=("doc_id",), ids="ids", decoded="decoded"):
+    """Every whole text's ids and what they decode to: ``keep``, ``ids``, ``decoded``, in one pass."""
     tokens = read_ranks(path)
-    return decode(encode(docs, tokens, pattern, text, keep), tokens, keep=keep)
+    rows, encoding, fields = _prepared(docs, tokens, pattern, text, keep, ids)
+    schema = T.StructType([*fields, T.StructField(decoded, T.BinaryType())])
+    decoding = _decoding(docs.sparkSession.sparkContext.broadcast(tokens), schema.names)
+    return by_batches(rows, lambda batches: decoding(encoding(batches)), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.shared import chunks_of
+from folioscope.llm.shared import by_batches, chunks_of
 
 WINDOW = 13
 SHINGLE = 3
@@ -175,7 +175,7 @@ def counted(texts, sent):
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(counts[there], pa.int64())], names=["shingle", "n"])
 
-    rows = texts.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = by_batches(texts, run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     counts = np.zeros(len(sent.value.codes), np.int64)
     for row in rows.collect():  # bounded by the block
         counts[row.shingle] = row.n
@@ -204,7 +204,7 @@ def searched(docs, sent, keep):
                              pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
                     pa.array(names, pa.list_(pa.string()))], names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return by_batches(docs, run, schema)
 
 
 def contaminated(docs, benchmark, text="text", keep=("doc_id",), item="item_id", item_text="text", block_bytes=BLOCK_BYTES):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.shared import chunks_of
+from folioscope.llm.shared import by_batches, chunks_of
 
 SAMPLE = 1_500
 STEPS, RATE, RIDGE = 100, 0.1, 1e-3
@@ -239,5 +239,5 @@ def judged(docs, chain, text="text", keep=("doc_id",), share=SHARE):
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, len(chunk)).columns[:n], *columns], names=schema.names)
 
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return rows.mapInArrow(run, schema).withColumn("base_failed", failed).withColumn(
+    return by_batches(rows, run, schema).withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("content_share") >= share))

@@ -35,6 +35,24 @@ def stored(df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch.  Spark's 10,000 long texts would be held several times over, in the JVM and in Python.
+ARROW_ROWS = 1_000
+ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def by_batches(df, run, schema):
+    """``df.mapInArrow(run, schema)`` in small batches, unless the cluster's own settings name a size; memory goes back after each task."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(ARROW_CONF):
+        spark.conf.set(ARROW_CONF, str(ARROW_ROWS))
+
+    def lean(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(lean, schema)
+
+
 def batches_of(rows, schema, size=4096):
     """Arrow batches of at most ``size`` rows from an iterator of tuples."""
     held = []

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.shared import chunks_of, stored
+from folioscope.llm.shared import by_batches, chunks_of, stored
 
 DISTANCE = 3
 SHINGLE = 3
@@ -78,7 +78,7 @@ def fingerprints(docs, text="text", keep=("doc_id",)):
 
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = docs.select(*keep).schema.add("fp", "long")
-    return rows.mapInArrow(run, schema)
+    return by_batches(rows, run, schema)
 
 
 def parts(free):

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.shared import batches_of, chunks_of, stored
+from folioscope.llm.shared import batches_of, by_batches, chunks_of, stored
 
 WINDOW = 35
 #: Words of an anchor; its place is the least hash among WINDOW - GRAM + 1 of them.
@@ -39,7 +39,7 @@ GRAM = 12
 #: Different contexts of a prefix that one task takes into memory.
 GROUP = 50_000
 #: Word hashes that a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: White space that parts words: blank and the control characters 9 to 13.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -148,7 +148,7 @@ def anchored(texts, window=WINDOW, gram=GRAM):
                         [pa.array(np.ascontiguousarray(x)) for x in (prefix.view(np.int64), key[:, 0], key[:, 1], place)],
                         names=["prefix", "a", "b", "place"])
 
-    return texts.select("text").mapInArrow(run, "prefix long, a long, b long, place long")
+    return by_batches(texts.select("text"), run, "prefix long, a long, b long, place long")
 
 
 def contexts(texts, wanted, window=WINDOW):
@@ -174,7 +174,7 @@ def contexts(texts, wanted, window=WINDOW):
         names = ["a", "b", "first", "prefix", "lead", "c", "d"]
         yield from batches_of(found(), pa.schema([*((n, pa.int64()) for n in names), ("words", pa.binary())]))
 
-    return rows.mapInArrow(run, schema)
+    return by_batches(rows, run, schema)
 
 
 def deep_repeats(members, window=WINDOW):
@@ -244,8 +244,8 @@ def tree_spans(rows, window=WINDOW):
 
         yield from batches_of(found(), pa.schema([("c", pa.int64()), ("d", pa.int64()), ("spans", ARROW_SPANS)]))
 
-    return (rows.select("prefix", "lead", "c", "d", "words", "n").repartition("prefix")
-            .sortWithinPartitions("prefix").mapInArrow(run, f"c long, d long, spans {SPANS}"))
+    dealt = rows.select("prefix", "lead", "c", "d", "words", "n").repartition("prefix").sortWithinPartitions("prefix")
+    return by_batches(dealt, run, f"c long, d long, spans {SPANS}")
 
 
 def lengthened(rows, window=WINDOW):
@@ -260,7 +260,7 @@ def lengthened(rows, window=WINDOW):
 
         yield from batches_of(found(), pa.schema([(n, pa.int64()) for n in ("c", "d", "start", "n", "v", "w")]))
 
-    return rows.select("c", "d", "words", "n").mapInArrow(run, "c long, d long, start long, n long, v long, w long")
+    return by_batches(rows.select("c", "d", "words", "n"), run, "c long, d long, start long, n long, v long, w long")
 
 
 def repeats(texts, window=WINDOW, gram=GRAM, group=GROUP):
@@ -342,4 +342,4 @@ def without_repeats(docs, text="text", keep=("doc_id",), kept="kept", layout=Fal
                     pa.array([as_structs(s) for _, s, _ in done], ARROW_SPANS),
                     pa.array([k for _, _, k in done], pa.binary()).cast(pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return by_batches(rows, run, schema)

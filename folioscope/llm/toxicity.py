@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.shared import chunks_of
+from folioscope.llm.shared import by_batches, chunks_of
 
 #: Labelled documents of each label that the fit takes at most.
 SAMPLE = 2_000
@@ -41,7 +41,7 @@ RATE = 0.15
 #: Documents that a feature must explain for its weight to leave zero.
 EVIDENCE = 1.5
 #: Word weights that a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -126,9 +126,12 @@ class Scorer:
     def __init__(self, model):
         self.model = model
         self.known = {}
+        # the weights that aren't zero are few
+        self.own = {int(i): float(model[0][i]) for i in np.flatnonzero(model[0])} if model else {}
 
     def weight(self, word):
-        value = self.known[word] = float(self.model[0][slots(word)].sum())
+        own = self.own
+        value = self.known[word] = sum([own[s] for s in slots(word) if s in own])
         return value
 
     def score(self, text, limit):
@@ -185,4 +188,4 @@ def scored(docs, model, text="text", keep=("doc_id",), limit=0.5):
                     *batch.slice(start, len(chunk)).columns[:n], pa.array([s for s, _ in found], pa.float64()),
                     pa.array([x for _, x in found], kind)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return by_batches(rows, run, schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyarrow import fs as files
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import batches_of, shared_folder, stored
+from folioscope.llm.shared import batches_of, by_batches, shared_folder, stored
 
 #: Payloads of fewer bytes are always responses.
 LEAST = 1000
@@ -224,7 +224,7 @@ def write(records, folder, archive_bytes=ARCHIVE_BYTES):
             made.append((path, count))
         yield from batches_of(made, pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
-    return records.select("page", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string, records long")
+    return by_batches(records.select("page", "url", "payload", "digest", "refers_to"), run, "path string, records long")
 
 
 def each_apart(archives):

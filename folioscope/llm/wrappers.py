@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.dom import Node, blocks, parse
-from folioscope.llm.shared import chunks_of, stored
+from folioscope.llm.shared import by_batches, chunks_of, stored
 
 DEPTH = 40
 #: Share of a slot's characters inside links from which it is a menu.
@@ -319,8 +319,8 @@ def wrappers(pages):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4))], names=["host", "node", "hash", "chars", "links"])
 
-    seen = pages.join(pivots, "host").select("host", "html", "pivot").mapInArrow(
-        watched, "host string, node long, hash long, chars long, links long")
+    seen = by_batches(
+        pages.join(pivots, "host").select("host", "html", "pivot"), watched, "host string, node long, hash long, chars long, links long")
     nodes = seen.groupBy("host", "node").agg(
         (F.min("hash") == F.max("hash")).alias("constant"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     # at most as many nodes as the pivot has
@@ -351,4 +351,4 @@ def extracted(pages, page="page_id", url="url", html="html"):
                 part = batch.slice(start, len(chunk))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page", "url", "text"])
 
-    return rows.mapInArrow(run, schema)
+    return by_batches(rows, run, schema)

@@ -33,6 +33,10 @@ def test_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = {(r.doc_id, len(r.ids), bytes(r.decoded)) for r in bpe.encode_and_decode(docs, PATH, public_tokenizers.PATTERN).collect()}
     assert got == {(d, len(PEER.encode_ordinary(t or "")), (t or "").encode()) for d, t, _ in rows}
+    apart = bpe.decode(bpe.encode(docs, TOKENS, public_tokenizers.PATTERN), TOKENS)
+    assert {(r.doc_id, len(r.ids), bytes(r.decoded)) for r in apart.collect()} == got
+    no_ids = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {bytes(r.decoded) for r in bpe.decode(no_ids, TOKENS).collect()} == {b""}
     assert bpe.encode_and_decode(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
