@@ -25,10 +25,12 @@ def components(links, a="a", b="b"):
             break
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        # stored, so that the links of one node can be split where its least one is joined
+        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = pairs(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(pairs(small.unionByName(least.select("u", F.col("m").alias("v")))), "links")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -213,7 +213,9 @@ def links(prints, crowded=CROWDED):
 
     rows = filed(prints.select("fp"), array(first))
     for _ in range(2):
+        # stored, so that the rows of a crowded root can be split where these are joined
         full = rows.groupBy("mask", "bits").count().where(F.col("count") > crowded).select("mask", "bits", F.lit(True).alias("full"))
+        full = stored(full, "crowded")
         rows = rows.join(full, ["mask", "bits"], "left")
         known = F.create_map(*[x for mask, more in longer.items() for x in (F.lit(signed(mask)), array(more))])
         rows = filed(rows, F.when(F.col("full") & F.col("mask").isin([signed(m) for m in longer]), known[F.col("mask")])
@@ -254,7 +256,7 @@ def near_duplicates(docs, text="text", doc="doc_id", keep=(), crowded=CROWDED):
     found = components(links(classes, crowded))
     grouped = classes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
-    names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = stored(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "names")
     of_print = grouped.join(names, "component").select("fp", "component", "component_id")
     return prints.join(of_print, "fp").select(*columns, "fp", "component", "component_id")
 
