@@ -199,6 +199,7 @@ def classified(pages, page="page_id", url="url", html="html", least=LEAST):
     rows = rows.withColumn("digest", F.sha1("payload"))
     first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(
         F.max("page").alias("largest"), F.count("*").alias("n")).where("n > 1").select("digest", "largest")
+    first = stored(first, "copies")  # so that the pages of one payload can be split where this is joined
     return rows.join(first, "digest", "left").select(
         "page", "url", "payload", "digest",
         F.when(~F.col("page").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
