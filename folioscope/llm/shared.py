@@ -1,5 +1,6 @@
 """What several operators need: intermediate tables, and rows of Arrow batches."""
 
+import ctypes
 import tempfile
 import uuid
 
@@ -40,6 +41,15 @@ ARROW_ROWS = 1_000
 ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def give_back():
+    """Hands free memory back to the system: a Python worker waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def by_batches(df, run, schema):
     """``df.mapInArrow(run, schema)`` in small batches, unless the cluster's own settings name a size; memory goes back after each task."""
     spark = df.sparkSession
@@ -48,7 +58,7 @@ def by_batches(df, run, schema):
 
     def lean(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(lean, schema)
 
