@@ -56,7 +56,7 @@ def line_features(line, words, again, first, last):
     symbols = sum(line.count(c) for c in SYMBOLS)
     return (1.0, float(again), repeated, float(repeated > 0.5 and n > 5), min(1.0, 4 * symbols / chars), float(symbols * 10 > chars),
             len(UPPER.findall(line)) / max(1, letters), 1 - letters / chars, min(1.0, line.count("!") / n),
-            float(line.count("|") * 3 >= n), float(n < 4), min(1.0, n / 50), float(line.rstrip()[-1] in ".!?…:;\"'”»"),
+            float(line.count("|") * 3 >= n), float(n < 4), min(1.0, n / 50), float((line.rstrip() or line)[-1] in ".!?…:;\"'”»"),
             float(first or last))
 
 

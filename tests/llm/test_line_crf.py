@@ -24,6 +24,25 @@ def test_base_counts(text):
     assert op.base_counts(text) == counts(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab. \n\t\r#é|\xa0\u3000\x85\x1c\u2028"), max_size=60))
+def test_any_text_is_described(text):
+    numbers, n_words, x = op.described(text)
+    lines = text.split("\n")
+    assert numbers == [i for i, line in enumerate(lines) if counts(line)[0]] and n_words == [counts(lines[i])[0] for i in numbers]
+    assert x.shape == (len(numbers), op.FEATURES) and np.isfinite(x).all()
+
+
+def test_lines_of_unicode_white_space(spark):
+    blank = [f"{GOOD}{c}\n {c}{c} \n{GOOD}" for c in "\xa0\u3000\x85\x1c\u2028"] + ["\xa0"]
+    rows = [(i, (GOOD if i % 2 else BAD) * 5 + "\xa0\n") for i in range(20)] + list(enumerate(blank, 100))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = op.trained(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int"))
+    got = {r.doc_id: r for r in op.judged(docs, chain).collect()}
+    assert set(got) == {i for i, _ in rows}
+    assert all((got[i].n_words, got[i].word_chars) == counts(t)[:2] for i, t in rows)
+
+
 def score(chain, x, labels):
     value = 0 if labels[0] else chain.prior
     value += sum(float(x[i] @ chain.w) for i in range(len(x)) if labels[i])
