@@ -9,8 +9,9 @@ The chain is trained from document labels: in good documents all lines are
 content.  In bad ones the boilerplate lines are not known; they all count as
 such at first, then those that the fitted chain still calls boilerplate, the
 one that it finds worst always among them.  The fit takes at most ``SAMPLE``
-labelled documents of each label, those with the least hash of their id; how
-much more frequent good ones are in the table is added to the chain's start.
+labelled documents of each label, those with the least hash of their id, one
+text an id, and of these as many as fit into ``SAMPLE_COST`` bytes; how much
+more frequent good ones are in the table is added to the chain's start.
 
 Null texts have no words; texts without words have a share of content of 1 and
 fail the counts.  Labels that are null are left out; where an id has several
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.shared import by_batches, chunks_of
+from folioscope.llm.shared import by_batches, chunks_of, training_sample
 
 SAMPLE = 1_500
 STEPS, RATE, RIDGE = 100, 0.1, 1e-3
@@ -208,11 +209,8 @@ def trained(docs, labels, text="text", doc="doc_id", label="quality", sample=SAM
     """A chain from labelled rows."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(doc).agg(F.min(label).alias("label"))
     totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    parts = [known.where(F.col("label") == value).orderBy(F.xxhash64(doc), doc).limit(sample) for value in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
-    # at most 2 * sample rows, so they may be sent to every task and to the driver
-    rows = docs.select(doc, F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), doc).select("text", "label").collect()
-    return fit([r.text for r in rows], [r.label == 1 for r in rows], totals.get(1, 1) / totals.get(0, 1))
+    rows = training_sample(docs, known, text, doc, sample)
+    return fit([t for t, _ in rows], [x == 1 for _, x in rows], totals.get(1, 1) / totals.get(0, 1))
 
 
 def judged(docs, chain, text="text", keep=("doc_id",), share=SHARE):

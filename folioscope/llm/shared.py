@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -36,6 +37,49 @@ def stored(df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What the texts of each label in a training sample cost at most: a byte of UTF-8 counts one, a line ``LINE_COST`` more,
+#: since what is computed of a line takes memory however short it is.
+SAMPLE_COST = 32 << 20
+LINE_COST = 100
+
+
+def within(sizes, most):
+    """Numbers of the sizes taken in order while their sum is at most ``most``, passing over what does not fit; the least one if none fits."""
+    taken, total = [], 0
+    for i, size in enumerate(sizes):
+        if total + size <= most:
+            taken.append(i)
+            total += size
+    return taken or [min(range(len(sizes)), key=sizes.__getitem__)] if sizes else []
+
+
+def training_sample(docs, known, text, doc, sample, most=SAMPLE_COST):
+    """(text, label) of the documents that a fit takes, in a fixed order, for the driver.
+
+    ``known``: one row an id, with ``label`` 0 or 1.  At most ``sample`` ids of
+    each label, those with the least hash; of an id with several rows one text,
+    not null if there is one, with the least hash.  So each task hands on one
+    row an id, however often an id is repeated.  Of these the ones that fit
+    into ``most``; their sizes alone are looked at before any text is taken.
+    """
+    parts = [known.where(F.col("label") == value).orderBy(F.xxhash64(doc), doc).limit(sample) for value in (0, 1)]
+    chosen = parts[0].unionByName(parts[1])
+    rows = docs.select(doc, F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), doc)
+    rows = rows.groupBy(doc).agg(F.min("label").alias("label"), F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"))).alias("text"))
+    rows = stored(rows.select(F.xxhash64(doc).alias("place"), F.col(doc).cast("string").alias("id"), "label", "text"), "sample")
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    cost = F.coalesce(F.octet_length("text") + LINE_COST * lines, F.lit(0)).cast("long")
+    order = lambda r: (r.place, r.id)
+    sizes = sorted(rows.select("place", "id", "label", cost.alias("cost")).collect(), key=order)
+    wanted = set()
+    for value in (0, 1):
+        of = [r for r in sizes if r.label == value]
+        wanted.update(of[i].id for i in within([r.cost for r in of], most))
+    if len(wanted) < len(sizes):
+        rows = rows.where(F.col("id").isin(sorted(wanted)))
+    return [(r.text, r.label) for r in sorted(rows.collect(), key=order)]
+
+
 #: Rows of an Arrow batch.  Spark's 10,000 long texts would be held several times over, in the JVM and in Python.
 ARROW_ROWS = 1_000
 ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -9,7 +9,8 @@ labels through it, without labels of sentences.  The sentences then tell where
 the offence is.
 
 The fit takes at most ``SAMPLE`` labelled documents of each label, those with
-the least hash of their id, weighted back to the numbers in the table.  Scores
+the least hash of their id, one text an id, and of these as many as fit into
+``SAMPLE_COST`` bytes, weighted back to the numbers in the table.  Scores
 cover every sentence of every document.
 
 Null and empty texts have no sentence and the score 0.  Labels that are null
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.shared import by_batches, chunks_of
+from folioscope.llm.shared import by_batches, chunks_of, training_sample
 
 #: Labelled documents of each label that the fit takes at most.
 SAMPLE = 2_000
@@ -161,12 +162,9 @@ def trained(docs, labels, text="text", doc="doc_id", label="toxic", sample=SAMPL
     """A model from labelled rows whose id falls in no held-out bucket."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(doc).agg(F.max(label).alias("label")).where(bucket(doc) != 0)
     totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    parts = [known.where(F.col("label") == value).orderBy(F.xxhash64(doc), doc).limit(sample) for value in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
-    # at most 2 * sample rows on either side of this join's result, so they may be sent to every task and to the driver
-    rows = docs.select(doc, F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), doc).select("text", "label").collect()
-    counts = {v: sum(r.label == v for r in rows) for v in (0, 1)}
-    return fit([r.text for r in rows], [r.label for r in rows], [totals[r.label] / counts[r.label] for r in rows])
+    rows = training_sample(docs, known, text, doc, sample)
+    counts = {v: sum(x == v for _, x in rows) for v in (0, 1)}
+    return fit([t for t, _ in rows], [x for _, x in rows], [totals[x] / counts[x] for _, x in rows])
 
 
 def scored(docs, model, text="text", keep=("doc_id",), limit=0.5):

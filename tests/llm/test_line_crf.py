@@ -94,6 +94,16 @@ def test_edges(spark):
     assert op.judged(docs.limit(0), chain).count() == 0
 
 
+def test_one_text_of_a_repeated_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, GOOD if i % 2 else BAD) for i in range(10)] + [(1, f"{GOOD}{i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(op, "fit", lambda texts, good, odds: seen.append((texts, good, odds)))
+    op.trained(docs, labels)
+    (texts, good, odds), = seen
+    assert len(texts) == 10 and sum(good) == 5 and odds == 1
+
+
 def test_query_counts_and_labels(spark):
     folder = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in queries.table(spark, folder, "documents").collect()}

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioscope.llm import queries
+from folioscope.llm import queries, shared
 from folioscope.llm import toxicity as op
 
 
@@ -67,6 +67,29 @@ def test_edges(spark):
     assert op.trained(docs.limit(0), labels.limit(0)) is None
 
 
+def test_sample_is_bounded(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(20)] + [(3, f"again {i}") for i in range(500)] + [(4, None), (5, "x" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, body string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(op, "fit", lambda texts, labels, weights: seen.append(list(zip(texts, labels, weights))))
+    op.trained(docs, labels, text="body")
+    op.trained(docs.repartition(2), labels, text="body")
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5]
+    assert seen[0] == seen[1] and len(seen[0]) == len(ids) and all(w == 1 for _, _, w in seen[0])
+    assert sorted(x for _, x, _ in seen[0]) == sorted(i % 2 for i in ids) and all(t for t, _, _ in seen[0])
+
+
+def test_sample_fits_its_bound(spark):
+    docs = spark.createDataFrame([(i, "x" * (2000 if i == 2 else 50)) for i in range(20)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, label int")
+    got = shared.training_sample(docs, known, "text", "doc_id", 100, 1000)
+    assert sorted(x for _, x in got) == [0] * 6 + [1] * 6 and all(len(t) == 50 for t, _ in got)
+    assert len(shared.training_sample(docs, known, "text", "doc_id", 100, 10)) == 2
+    assert len(shared.training_sample(docs, known, "text", "doc_id", 100)) == 20
+    assert shared.within([], 5) == []
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     rows = queries.op7_toxicity(spark, folder).collect()
