@@ -4,10 +4,10 @@ A page's tree is folded to a skeleton: siblings that look alike (tag, class
 and id words) are one node with many values.  Each host has a pivot, the page
 of about median length.  Every page of the host is aligned with it by simple
 tree matching, top down: the most pairs of equal nodes in equal order.  Over
-all pages of the host, a pivot node whose text is always the same is template,
-one whose text varies is a slot.  These counts are combined by host and node
-before they are shuffled, and each page meets only its host's skeleton, so a
-host may hold any share of the pages.
+the different pages of the host, a pivot node that has text on most of them,
+on two at least, and always the same, is template; any other is a slot.  These
+counts are combined by host and node before they are shuffled, and each page
+meets only its host's skeleton, so a host may hold any share of the pages.
 
 A slot is no content if it is marked or shaped as page furniture: menus,
 headers, footers, sidebars, notices, adverts, forms, comments, or mostly links.
@@ -18,8 +18,8 @@ to page or has no counterpart.  A page without peers has its article, or else
 all that isn't furniture.
 
 Null and empty pages have the text "".  Pages without a host have no peers.
-Repeated rows are peers as well; where all pages of a host are equal, all
-their text counts as varying.  Empty tables give empty tables; columns that
+Repeated rows are peers as well but count once; where all pages of a host are
+equal, or differ only in what the pivot lacks, all their text counts as varying.  Empty tables give empty tables; columns that
 are not named are not read.  Alignment goes ``DEPTH`` levels down; deeper
 nodes are judged with the node above them.
 """
@@ -35,6 +35,8 @@ from folioscope.llm.dom import Node, blocks, parse
 from folioscope.llm.shared import by_batches, chunks_of, stored
 
 DEPTH = 40
+#: Stands for a whole page among its nodes.
+ALL = -1
 #: Share of a slot's characters inside links from which it is a menu.
 LINKS = 0.5
 
@@ -204,7 +206,8 @@ def in_link(node):
 
 
 def observed(page, pivot):
-    """(pivot node, hash of its text, characters, characters in links) of a page, for aligned nodes with text."""
+    """(pivot node, hash of its text, characters, characters in links) of a page, for aligned nodes with text, and once for the page."""
+    yield ALL, 0, 0, 0
     for i, j in aligned(page, pivot).items():
         text = own_text(page.members[i])
         if text:
@@ -220,9 +223,10 @@ class Wrapper:
             return
         self.regions = set(self.marked())
         own = {n["node"]: n for n in nodes or ()}
+        total = own.pop(ALL, {"pages": 0})["pages"]
         if all(n["constant"] for n in own.values()):
             return  # equal pages tell nothing
-        self.template = {i for i, n in own.items() if n["constant"]}
+        self.template = {i for i, n in own.items() if n["constant"] and n["pages"] > max(1, total / 2)}
         # menus: nodes whose text, that of their children included, is mostly links
         chars = [own[i]["chars"] if i in own else 0 for i in range(len(pivot.signs))]
         links = [own[i]["links"] if i in own else 0 for i in range(len(pivot.signs))]
@@ -319,12 +323,14 @@ def wrappers(pages):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4))], names=["host", "node", "hash", "chars", "links"])
 
+    # equal pages say the same, and only different ones bear witness to a template
+    different = pages.where("host <> ''").select("host", "html").distinct()
     seen = by_batches(
-        pages.join(pivots, "host").select("host", "html", "pivot"), watched, "host string, node long, hash long, chars long, links long")
+        different.join(pivots, "host").select("host", "html", "pivot"), watched, "host string, node long, hash long, chars long, links long")
     nodes = seen.groupBy("host", "node").agg(
-        (F.min("hash") == F.max("hash")).alias("constant"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    # at most as many nodes as the pivot has
-    nodes = nodes.groupBy("host").agg(F.collect_list(F.struct("node", "constant", "chars", "links")).alias("nodes"))
+        F.count("*").alias("pages"), (F.min("hash") == F.max("hash")).alias("constant"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    # at most as many nodes as the pivot has, and one
+    nodes = nodes.groupBy("host").agg(F.collect_list(F.struct("node", "pages", "constant", "chars", "links")).alias("nodes"))
     return stored(pivots.join(nodes, "host", "left"), "wrappers")
 
 

@@ -77,6 +77,17 @@ def test_wrapper_without_article_marks(spark):
     assert got[5, rows[5][1]] == "Title 5\nOther\nOnly here"
 
 
+def test_what_only_the_pivot_holds(spark):
+    odd = FRAME.format(n=9, body="<div class=story><h2>Title 9</h2><p>Odd<blockquote>Only here</blockquote><ul><li>One<li>Two</ul></div>")
+    for copies in (1, 8):
+        short = [FRAME.format(n=i, body=f"<div class=story><h2>Title {i}</h2><p>Text {i}</div>") for i in range(5)]
+        long = [FRAME.format(n=i, body=f"<div class=story><h2>Title {i}</h2><p>{'Long ' * 40}{i}</div>") for i in range(5)]
+        got = run(spark, [(i, f"http://odd/{i}", h) for i, h in enumerate([odd] * copies + short + long)])
+        assert max(map(len, short)) < len(odd) < min(map(len, long))  # so the odd page is the pivot
+        assert {got[i, f"http://odd/{i}"] for i in range(copies)} == {"Title 9\nOdd\nOnly here\nOne\nTwo"}
+        assert got[copies, f"http://odd/{copies}"] == "Title 0\nText 0"
+
+
 def test_articles_and_furniture_inside(spark):
     body = """<main><article class="post"><header><h1>Head {n}</h1></header><p>One<script>x</script> two</p><div class="ad">Buy</div>
     <p>Same on all pages</p><form><label>Name</label></form><div class="share-buttons">Share</div><section id="comments"><p>First!</p></section></article></main>"""
