@@ -20,8 +20,7 @@ all that isn't furniture.
 Null and empty pages have the text "".  Pages without a host have no peers.
 Repeated rows are peers as well but count once; where all pages of a host are
 equal, or differ only in what the pivot lacks, all their text counts as varying.  Empty tables give empty tables; columns that
-are not named are not read.  Alignment goes ``DEPTH`` levels down; deeper
-nodes are judged with the node above them.
+are not named are not read.  Trees of any depth are folded and aligned whole.
 """
 
 import json
@@ -34,7 +33,6 @@ from pyspark.sql import types as T
 from folioscope.llm.dom import Node, blocks, parse
 from folioscope.llm.shared import by_batches, chunks_of, stored
 
-DEPTH = 40
 #: Stands for a whole page among its nodes.
 ALL = -1
 #: Share of a slot's characters inside links from which it is a menu.
@@ -79,16 +77,21 @@ def is_article(node):
 
 def articles(root):
     """Outermost articles that are not inside furniture; a main element that holds articles gives way to them."""
-    found, stack = [], [root]
+    return [a for node in _outermost([root], is_article) for a in (
+        node.tag != "article" and _outermost(node.children, lambda n: n.tag == "article") or [node])]
+
+
+def _outermost(nodes, wanted):
+    """Wanted elements in order, without those inside another or inside furniture."""
+    found, stack = [], list(reversed(nodes))
     while stack:
         node = stack.pop()
         if isinstance(node, str) or furniture(node, False):
             continue
-        if is_article(node):
-            inner = [] if node.tag == "article" else [a for c in node.children if isinstance(c, Node) for a in articles(c) if a.tag == "article"]
-            found += inner or [node]
-            continue
-        stack += reversed(node.children)
+        if wanted(node):
+            found.append(node)
+        else:
+            stack += reversed(node.children)
     return found
 
 
@@ -114,12 +117,10 @@ class Skeleton:
     @classmethod
     def of(cls, root):
         self = cls()
-        todo = [(self.add("#page"), [root], 0)]
+        todo = [(self.add("#page"), [root])]
         while todo:
-            at, nodes, depth = todo.pop()
+            at, nodes = todo.pop()
             self.members[at] = nodes
-            if depth == DEPTH:
-                continue
             groups = {}
             for node in nodes:
                 for child in node.children:
@@ -128,7 +129,7 @@ class Skeleton:
             for name, members in groups.items():
                 child = self.add(name)
                 self.children[at].append(child)
-                todo.append((child, members, depth + 1))
+                todo.append((child, members))
         return self
 
     def add(self, name):
@@ -147,36 +148,50 @@ class Skeleton:
         return self
 
 
-def match(a, b, i=0, j=0, known=None):
-    """Simple tree matching: the most pairs of nodes below i and j, equal nodes in equal order; (number, pairs of children)."""
+def match(a, b, known=None):
+    """Simple tree matching: the most pairs of nodes of two trees, equal nodes in equal order.
+
+    The number; ``known`` gets (number, pairs of children) of all pairs of
+    nodes that stand below equal ones.
+    """
     known = {} if known is None else known
-    if a.signs[i] != b.signs[j]:
+    if a.signs[0] != b.signs[0]:
         return 0
-    if (i, j) in known:
-        return known[i, j][0]
+    # from the roots down every pair that may count, then back up
+    pairs = [(0, 0, *_sides(a, b, 0, 0))]
+    for _, _, left, right in pairs:
+        names = {}
+        for q in right:
+            names.setdefault(b.signs[q], []).append(q)
+        pairs += [(p, q, *_sides(a, b, p, q)) for p in left for q in names[a.signs[p]]]
+    for i, j, left, right in reversed(pairs):
+        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for x, p in enumerate(left):
+            row, up = best[x + 1], best[x]
+            for y, q in enumerate(right):
+                most = max(row[y], up[y + 1])
+                if a.signs[p] == b.signs[q]:
+                    most = max(most, up[y] + known[p, q][0])
+                row[y + 1] = most
+        chosen, x, y = [], len(left), len(right)
+        while x and y:
+            if best[x][y] == best[x - 1][y]:
+                x -= 1
+            elif best[x][y] == best[x][y - 1]:
+                y -= 1
+            else:
+                x, y = x - 1, y - 1
+                chosen.append((left[x], right[y]))
+        known[i, j] = (best[-1][-1] + 1, chosen[::-1])
+    return known[0, 0][0]
+
+
+def _sides(a, b, i, j):
+    """Children of i and of j whose signs the other one has too."""
     names = {b.signs[y] for y in b.children[j]}
     left = [x for x in a.children[i] if a.signs[x] in names]
     names = {a.signs[x] for x in left}
-    right = [y for y in b.children[j] if b.signs[y] in names]
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for x, p in enumerate(left):
-        row, up = best[x + 1], best[x]
-        for y, q in enumerate(right):
-            most = max(row[y], up[y + 1])
-            if a.signs[p] == b.signs[q]:
-                most = max(most, up[y] + match(a, b, p, q, known))
-            row[y + 1] = most
-    pairs, x, y = [], len(left), len(right)
-    while x and y:
-        if best[x][y] == best[x - 1][y]:
-            x -= 1
-        elif best[x][y] == best[x][y - 1]:
-            y -= 1
-        else:
-            x, y = x - 1, y - 1
-            pairs.append((left[x], right[y]))
-    known[i, j] = (best[-1][-1] + 1, pairs[::-1])
-    return known[i, j][0]
+    return left, [y for y in b.children[j] if b.signs[y] in names]
 
 
 def aligned(page, pivot):
@@ -197,21 +212,24 @@ def own_text(nodes):
     return " ".join(" ".join(c for n in nodes for c in n.children if isinstance(c, str)).split())
 
 
-def in_link(node):
-    while node is not None:
-        if node.tag == "a":
-            return True
-        node = node.parent
-    return False
+def in_links(page):
+    """Whether each node of a page is a link or inside one."""
+    found = [False] * len(page.signs)
+    for i, children in enumerate(page.children):  # a child comes after its parent
+        found[i] = found[i] or page.members[i][0].tag == "a"
+        for c in children:
+            found[c] = found[i]
+    return found
 
 
 def observed(page, pivot):
     """(pivot node, hash of its text, characters, characters in links) of a page, for aligned nodes with text, and once for the page."""
     yield ALL, 0, 0, 0
+    links = in_links(page)
     for i, j in aligned(page, pivot).items():
         text = own_text(page.members[i])
         if text:
-            yield j, zlib.crc32(text.encode()) | len(text) << 32, len(text), len(text) if in_link(page.members[i][0]) else 0
+            yield j, zlib.crc32(text.encode()) | len(text) << 32, len(text), len(text) if links[i] else 0
 
 
 class Wrapper:
@@ -238,18 +256,23 @@ class Wrapper:
             links[i] += sum(links[c] for c in pivot.children[i])
         self.menus = {i for i in order if chars[i] and links[i] > LINKS * chars[i]}
 
-    def marked(self, at=0):
+    def marked(self):
         """Pivot nodes marked as articles, outermost ones, articles before the main element around them."""
-        for child in self.pivot.children[at]:
-            node = unsigned(self.pivot.signs[child])
-            if furniture(node, False):
+        nodes = [unsigned(name) for name in self.pivot.signs]
+        for at in self._outermost(nodes, 0, is_article):
+            yield from nodes[at].tag != "article" and self._outermost(nodes, at, lambda n: n.tag == "article") or [at]
+
+    def _outermost(self, nodes, at, wanted):
+        found, stack = [], list(self.pivot.children[at])
+        while stack:
+            i = stack.pop()
+            if furniture(nodes[i], False):
                 continue
-            if not is_article(node):
-                yield from self.marked(child)
-            elif node.tag == "article":
-                yield child
+            if wanted(nodes[i]):
+                found.append(i)
             else:
-                yield from [c for c in self.marked(child) if self.pivot.signs[c].partition(".")[0] == "article"] or [child]
+                stack += self.pivot.children[i]
+        return found
 
     def main_text(self, root):
         """Blocks of the main text of a page."""

@@ -88,6 +88,25 @@ def test_what_only_the_pivot_holds(spark):
         assert got[copies, f"http://odd/{copies}"] == "Title 0\nText 0"
 
 
+def test_deep_pages(spark):
+    # the frame is below many levels, and a node with a constant text of its own has the story below it
+    body = "<div class=story>Read this<p>Text {n}{n}</p></div><div class=more>All stories <a href=/{n}>one more {n}</a></div>"
+    for around in ("<div>" * 39, "<b>" * 60, "<div>" * 4000):
+        rows = [(i, f"http://d/{i}", around + FRAME.format(n=i, body=body.format(n=i))) for i in range(4)]
+        got = run(spark, rows)
+        assert {i: t for (i, _), t in got.items()} == {i: f"Text {i}{i}" for i in range(4)}
+    around = "<div>" * 38 + "<div class=story>Read this<div>"
+    got = run(spark, [(i, f"http://d/{i}", f"{around}Text {i}<i>, slanted {i}</i>") for i in range(4)])
+    assert {i: t for (i, _), t in got.items()} == {i: f"Text {i}, slanted {i}" for i in range(4)}
+
+
+def test_marks_at_any_depth():
+    assert [n.tag for n in op.articles(parse("<main>" * 3000 + "<article>a</article>"))] == ["article"]
+    assert [n.raw.strip() for n in op.articles(parse("<main id=x><main id=y><p>a"))] == ["id=x"]
+    pivot = op.Skeleton.of(parse("<div>" * 3000 + "<main><p>a"))
+    assert op.Wrapper(pivot, []).regions == {3001}
+
+
 def test_articles_and_furniture_inside(spark):
     body = """<main><article class="post"><header><h1>Head {n}</h1></header><p>One<script>x</script> two</p><div class="ad">Buy</div>
     <p>Same on all pages</p><form><label>Name</label></form><div class="share-buttons">Share</div><section id="comments"><p>First!</p></section></article></main>"""
