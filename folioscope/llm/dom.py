@@ -47,6 +47,14 @@ class Node:
         return self._marks
 
 
+    def names(self):
+        """The values of the same attributes, parted at white space only: (name, words) pairs of whole names."""
+        for name, *values in ATTRIBUTE.findall(self.raw):
+            for value in entities.unescape("".join(values)).split():
+                value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
+                yield name.lower(), [w for w in re.split(r"[^a-z]+", value.lower()) if w]
+
+
 def _open_until(node, names, stops):
     """The nearest open element with one of the names, looked for up to one of ``stops``."""
     while node is not None:

@@ -12,8 +12,9 @@ meets only its host's skeleton, so a host may hold any share of the pages.
 A slot is no content if it is marked or shaped as page furniture: menus,
 headers, footers, sidebars, notices, adverts, forms, comments, or mostly links.
 If the pivot has a slot marked as an article, what a page has there is its
-content, all of it, without such parts inside; so is an article of the page
-that has no counterpart.  Otherwise the content is all that varies from page
+content, all of it, without such parts inside, which there are told by a whole
+class, id or role and not by one word of it; so is an article of the page that
+has no counterpart.  Otherwise the content is all that varies from page
 to page or has no counterpart.  A page without peers has its article, or else
 all that isn't furniture.
 
@@ -48,6 +49,11 @@ FURNITURE_WORDS = frozenset(
     "notice notices notification notifications popup modal overlay sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer masthead comment comments commentlist reply replies respond disqus share sharing social related recommended newsletter subscribe "
     "subscription signup login pagination pager widget widgets skip toolbar banner banners".split())
+#: What a part of a page is called beside such a word: with them alone it is still a name of furniture.
+PART_WORDS = frozenset(
+    "area articles bar block box btn button buttons container count form icon icons inner item items link links list outer panel posts row slot "
+    "stories tools tray unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: These count outside an article only: an article may have a header of its own.
 PAGE_ONLY_WORDS = frozenset("header topbar".split())
 ARTICLE_ROLES = frozenset("main article".split())
@@ -55,7 +61,11 @@ ARTICLE_ITEMS = frozenset("articlebody".split())
 
 
 def furniture(node, inside):
-    """Whether an element is marked as something else than main text; ``inside`` an article a header is its own."""
+    """Whether an element is marked as something else than main text.
+
+    ``inside`` an article a header is its own, and one word of a longer name
+    says nothing: it may be that of a section, such as related-work.
+    """
     if node.tag in FURNITURE_TAGS or node.tag == "header" and not inside:
         return True
     if node.tag in ("body", "html", "article", "main"):
@@ -63,12 +73,21 @@ def furniture(node, inside):
     for name, word in node.marks:
         if name == "role":
             if word in FURNITURE_ROLES or word == "banner" and not inside:
-                return True
+                return not inside or any(named(node.tag, *n) for n in node.names())
         elif name in ("class", "id") and (word in FURNITURE_WORDS or word in PAGE_ONLY_WORDS and not inside):
-            return True
+            return not inside or any(named(node.tag, *n) for n in node.names())
     return False
 
 
+def named(tag, name, words):
+    """Whether a whole class, id or role is a name of furniture; the id of a heading is made of its text and is none."""
+    if name == "role":
+        return len(words) == 1 and words[0] in FURNITURE_ROLES
+    if name == "itemprop" or name == "id" and tag in HEADINGS:
+        return False
+    return not FURNITURE_WORDS.isdisjoint(words) and all(w in FURNITURE_WORDS or w in PART_WORDS for w in words)
+
+
 def is_article(node):
     return node.tag in ("article", "main") or any(
         (name == "role" and word in ARTICLE_ROLES) or (name == "itemprop" and "".join(w for n, w in node.marks if n == name) in ARTICLE_ITEMS)

@@ -115,6 +115,19 @@ def test_articles_and_furniture_inside(spark):
     assert got == {(i, f"https://a.b/{i}"): f"Head {i}\nOne two\nSame on all pages" for i in range(3)}
 
 
+def test_names_inside_an_article():
+    def text(body):
+        return "|".join(op.Wrapper().main_text(parse(f"<nav>Menu</nav><article><p>Start</p>{body}<p>End</p></article>")))
+    for kept in ("<h2 id='related-work'>X</h2>", "<section id=social-impact>X</section>", "<section id='notice-period'>X</section>",
+                 "<section id='modal-verbs'>X</section>", "<h2 id='comments'>X</h2>", "<div class='body banner-years'>X</div>",
+                 "<div class='shareOfMarket' id=x-2>X</div>", "<section role='doc-status'>X</section>"):
+        assert text(kept) == "Start|X|End", kept
+    for gone in ("<div class=ad>X</div>", "<div class='share-buttons big'>X</div>", "<div class='x shareButtons'>X</div>", "<section id=comments>X</section>",
+                 "<div id='ad-slot-3'>X</div>", "<div class=cookie-notice>X</div>", "<div role=status>X</div>", "<ul class=related_links><li>X</ul>", "<aside>X</aside>"):
+        assert text(gone) == "Start|End", gone
+    assert op.Wrapper().main_text(parse("<p>a</p><div id=related-work>X</div>")) == ["a"]  # outside an article a word is enough
+
+
 def test_edges(spark):
     page = FRAME.format(n=1, body="<p>Alone</p>")
     rows = [(1, None, page), (2, "nohost", "<p>x</p>"), (3, "http://h/1", None), (4, "http://h/2", ""), (None, "http://h/3", "<div>n</div>"),
