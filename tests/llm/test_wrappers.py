@@ -4,6 +4,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from folioscope.llm import queries
 from folioscope.llm import wrappers as op
@@ -149,3 +150,11 @@ def test_query_against_patterns(spark, folder):
     pages = queries.table(spark, folder, "pages").collect()
     want = sorted((p.page_id, p.url, plain(p.html), len(plain(p.html))) for p in pages)
     assert sorted(tuple(r) for r in queries.op10_html_extraction(spark, folder).collect()) == want
+
+
+def test_given_pages_without_their_marks(spark):
+    pages = queries.table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url", "html")
+    bare = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    assert bare.where("html RLIKE '(?i)<(article|main)|itemprop|role='").count() == 0
+    want = sorted((p.page_id, p.url, plain(p.html)) for p in pages.collect())
+    assert sorted(tuple(r) for r in op.extracted(bare).collect()) == want
