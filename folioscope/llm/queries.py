@@ -9,7 +9,8 @@ from collections import Counter
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, decontaminate, licenses, line_crf, simhash, substrings, toxicity, warc, wrappers
+from folioscope.functions.arith import once
+from folioscope.llm import bpe, chat, decontaminate, fill_middle, licenses, line_crf, line_runs, periodic, simhash, substrings, toxicity, warc, wrappers
 
 
 def table(spark, folder, name):
@@ -231,9 +232,94 @@ def op10_html_extraction(spark, folder):
     return found.select(F.col("page").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_fill_in_middle(spark, folder):
+    """Every document cut at random between tokens and rearranged, as lengths and digests, and what is rebuilt from that."""
+    done = fill_middle.transformed(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM documents
+), t AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+         CAST('0x' || substr(hash, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(hash, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(hash, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(hash, 25, 8) AS BIGINT) AS h4 FROM d
+), forms AS (
+  SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS low,
+         greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(w[1:low], '') AS prefix, array_to_string(w[low + 1:high], '') AS middle,
+         array_to_string(w[high + 1:n], '') AS suffix FROM forms
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def planted(docs):
+    """Documents of which one in ten repeats a part of its words up to its end, as the hash of its id says."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    chosen = h % 10 == 0
+    docs = docs.select("doc_id", "text", h.alias("h"))
+    words = F.when(chosen, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))
+    g, n = F.expr("h div 10"), F.size("words")
+    first = (F.col("g") % n).cast("int")
+    period = (1 + F.floor((n - F.col("first")) / (3 + F.col("g") % 8))).cast("int")
+    rest = n - F.col("first")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("first") + 1, F.col("period")), F.ceil(rest / F.col("period")).cast("int")))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("first")), F.slice(again, F.lit(1), rest)), " ")
+    docs = once(once(once(docs, words=words, g=g), first=F.when(n > 0, first)), period=F.when(F.col("first").isNotNull(), period))
+    return docs.select("doc_id", F.when(F.col("period").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark, folder):
+    """Runs of words that repeat with a period, in every document after one in ten was made periodic."""
+    found = periodic.periodic_runs(planted(table(spark, folder, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.start.alias("start"), best.length.alias("length"), best.period.alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_line_dedup(spark, folder):
+    """Every document without the long lines that five documents have, but for the last of these."""
+    left = line_runs.without_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, row_number() OVER () AS r FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d
+), k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), often AS (
+  SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT doc_id, count(*) AS n_lines, count(owner) FILTER (owner <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (owner IS NULL OR owner = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN often USING (key) GROUP BY r, doc_id
+"""
+
+
 QUERIES = {"op1_chat": op1_chat, "op2_simhash": op2_simhash, "op3_decontamination": op3_decontamination, "op4_byte_bpe": op4_byte_bpe,
            "op5_licenses": op5_licenses,
            "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity,
-           "op8_quality_lines": op8_quality_lines, "op9_warc": op9_warc, "op10_html_extraction": op10_html_extraction}
+           "op8_quality_lines": op8_quality_lines, "op9_warc": op9_warc, "op10_html_extraction": op10_html_extraction,
+           "op11_fill_in_middle": op11_fill_in_middle, "op12_periodic_runs": op12_periodic_runs, "op13_line_dedup": op13_line_dedup}
 
-ORACLES = {"op1_chat": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_licenses": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL}
+ORACLES = {"op1_chat": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_licenses": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL,
+           "op11_fill_in_middle": OP11_SQL, "op13_line_dedup": OP13_SQL}

@@ -25,15 +25,15 @@ def shared_folder(spark):
     return folder.rstrip("/")
 
 
-def stored(df, name):
-    """Writes an intermediate table to the shared folder and reads it back.
+def stored(df, name, by=()):
+    """Writes an intermediate table to the shared folder, in a folder for each value of ``by``, and reads it back.
 
     This cuts the lineage: whatever executor is lost, later steps read the
     table again and need not make it anew.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*([by] if isinstance(by, str) else by)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
