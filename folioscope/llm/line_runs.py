@@ -169,9 +169,10 @@ def without_repeated_lines(docs, text="text", doc="doc_id", keep=("doc_id",), ke
     for number in range(batches):
         index.add(found.where(F.col("batch") == number))
     often = stored(index.total().where(F.col("n") >= documents).select(*KEY, "owner"), "repeated-lines")
-    gone = found.join(often, KEY).where(~F.col("doc").eqNullSafe(F.col("owner"))).select("doc", F.struct(*KEY).alias("key"))
+    # merge joins at every size: what a small table broadcasts a large one cannot
+    gone = found.join(often.hint("merge"), KEY).where(~F.col("doc").eqNullSafe(F.col("owner"))).select("doc", F.struct(*KEY).alias("key"))
     gone = stored(gone.groupBy("doc").agg(F.collect_set("key").alias("gone")), "dropped-lines")
-    rows = source.join(gone, source["doc"].eqNullSafe(gone["doc"]), "left").drop("doc")
+    rows = source.join(gone.hint("merge"), source["doc"].eqNullSafe(gone["doc"]), "left").drop("doc")
     k = len(keep)
     schema = T.StructType([*rows.schema[:k], *T.StructType.fromDDL(f"n_lines long, n_dropped long, {kept} string")])
 
