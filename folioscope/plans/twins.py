@@ -401,6 +401,67 @@ def form_reports(spark, folder):
                     "text", after, F.lit("The end.")).alias("text"))
 
 
+REPORT_SHAPES = 12
+REPORT_LEAD = "The year went by in steady words, and what follows says in a calm voice how it went, where it led and what came of it in the end, month by month.\n"
+
+
+def report_body(text="text"):
+    """A document's text eight times over, behind an introduction and before a closing line."""
+    return F.concat(F.lit(REPORT_LEAD * 6), F.repeat(F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")), 8), F.lit("End of part.\n"))
+
+
+def filed_documents(spark, folder):
+    """Each document as a filing of one of twelve shapes, with the exhibits that it needs: where its parts are depends on its number."""
+    body, d = F.col("body"), F.col("doc_id")
+    mdna = "Management's Discussion and Analysis"
+    item5 = "Item 5. Operating and Financial Review and Prospects\n"
+    item6 = "Item 6. Directors, Senior Management and Employees\nThe end.\n"
+    item78 = f"Item 7. {mdna} 20 Item 8. Financial Statements 31\n"
+
+    def doc(shape, form, kind, position, *pieces):
+        text = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+        return F.when(d % REPORT_SHAPES == shape, F.struct(F.lit(form).alias("form_type"), F.lit(kind).alias("document_type"),
+                                                           F.lit(position).alias("position"), text.alias("text")))
+
+    docs = [
+        doc(0, "10-K", "primary", 0, item78, "Item 1. Business\n", body, "Item 1A. Risk Factors\n", body, "Item 1B. Unresolved Staff Comments\nNone.\n",
+            f"Item 7. {mdna} of Operations\n", body, "Item 7A. Quantitative Disclosures\nThe end.\n"),
+        doc(1, "10-K/A", "primary", 0, item78, f"Item 7. {mdna}. It appears on pages 46-160.\nItem 8. Financial Statements\nNone.\n{mdna}\n"
+            f"The following is {mdna} of the financial condition.\n", body, "Management's report on internal control\nThe end.\n"),
+        doc(2, "10-K", "primary", 0, f"Item 7. {mdna}. See the annual report.\nItem 8. Financial Statements\nNone.\n"),
+        doc(2, "10-K", "EX-21", 2, f"{mdna} of financial condition\n", body, "Management's report on internal control\n"),
+        doc(2, "10-K", "EX-13.1", 3, f"{mdna} of financial condition\n", body, "Management's report on internal control\nControls.\n"),
+        doc(3, "10-K", "primary", 0, f"Item 7. {mdna}. Information is found in the annual report under \"Financial Review.\" That is it.\n"
+            "Item 8. Financial Statements\nNone.\n"),
+        doc(3, "10-K", "EX-13", 1, "Exhibit 13 Financial Review 2 Overview 2 Performance 5 Management 20\nThis report, including the Financial Review, "
+            "looks ahead.\n", "Financial Review Overview\n", body, "Management's report on internal control\nControls.\n"),
+        doc(4, "10-KT", "primary", 0, "About us.\n", body, f"{mdna.upper()} OVERVIEW\n", body, "Report of Independent Registered Public Accounting Firm\n"),
+        doc(5, "20-F", "primary", 0, "Item 3. Key Information\nFigures.\nRisk Factors\n", body, "Item 4. Information on the Company\n", body, item5, body, item6),
+        doc(6, "20-F", "primary", 0, item5, "The information in the annual report included as exhibit 15.1 to this form is incorporated by reference.\n", REPORT_LEAD, item6),
+        doc(6, "20-F", "EX-15.2", 1, "Financial Review Background\n", body, body, "Corporate Governance Contents\nThe end.\n"),
+        doc(6, "20-F", "EX-15.1", 2, "Financial Review Background\n", body, "Corporate Governance Contents\nThe end.\n"),
+        doc(7, "20-F", "primary", 0, "OPERATING AND FINANCIAL REVIEW AND PROSPECTS 129 Overview 129 Results 133\n", REPORT_LEAD,
+            "Business overview Corporate governance Financial statements Operating and financial review and prospects General facts Financial statements\n",
+            body, "OPERATING AND FINANCIAL REVIEW AND PROSPECTS Overview\n", body, "CORPORATE GOVERNANCE Board of Directors.\n"),
+        doc(8, "40-F", "primary", 0, "FORM 40-F\n99-3 Management's Discussion and Analysis\nThe documents follow, see Exhibit 99.2: Management's Discussion and Analysis.\n"),
+        doc(8, "40-F", "EX-99.1", 1, "ANNUAL INFORMATION FORM\nFebruary 25, 2026\nGeneral Development of the Business\n4\nRisk Factors\n20\nDividends\n22\n"
+            "General Development of the Business\n", body, "Risk Factors\n", REPORT_LEAD * 20, "Dividends\n", body),
+        doc(8, "40-F", "EX-99.2", 2, "Management's Statement of Responsibility for Financial Reporting\n", body),
+        doc(8, "40-F", "EX-99.3", 3, "Management's Discussion\nand Analysis\nFebruary 25, 2026\nThis Management's Discussion and Analysis (MD&A) follows.\n", body,
+            "Risk Factors That May Affect Future Results\n", body, "GLOSSARY\nAIF\nAnnual Information Form\nMD&A\nManagement's Discussion and Analysis\n"),
+        doc(9, "10-Q", "primary", 0, "Item 1.\nFinancial Statements.\n94\nItem 2.\nManagement's Discussion and Analysis of Financial Condition.\n"
+            "Consolidated Financial Highlights\n3\nExecutive Overview\n5\nItem 3.\nQuantitative and Qualitative Disclosures.\n201\nThe Group\n"
+            "Consolidated financial highlights (unaudited)\n", body, "Consolidated statements of income (unaudited)\nRevenue 100\n"),
+        doc(10, "6-K", "primary", 0, "Management's Discussion and Analysis\nThis Management's Discussion and Analysis is a report.\n", body,
+            "GLOSSARY\nLoss: what is lost.\nINTERIM CONSOLIDATED BALANCE SHEET\nAssets 1,000\n"),
+        doc(11, "10-Q", "primary", 0, f"Item 2. {mdna} 20 Item 3. Quantitative 31\nItem 2. {mdna}\n", body, "Item 3. Quantitative Disclosures\nNone.\n"
+            "Item 1A. Risk Factors\n", REPORT_LEAD * 2, "Item 6. Exhibits\n"),
+    ]
+    rows = texts(spark, folder, "documents").select("doc_id", report_body().alias("body"))
+    rows = rows.select(F.col("doc_id").alias("filing_id"), F.inline(F.array_compact(F.array(*docs))))
+    return rows.select("filing_id", F.concat_ws("/", "filing_id", "position").alias("document_id"), "form_type", "document_type", "position", "text")
+
+
 FAMILY_CONCEPTS = {"commitment": "us-gaap:PurchaseObligation", "guarantee": "us-gaap:GuaranteeObligationsMaximumExposure",
                    "debt": "us-gaap:DebtInstrumentFaceAmount", "investment": "us-gaap:EquityMethodInvestments"}
 FAMILY_AXES = {"commitment": "us-gaap:CommitmentsAxis", "guarantee": "us-gaap:GuaranteesAxis", "debt": "us-gaap:DebtInstrumentAxis",
