@@ -357,13 +357,14 @@ def index_pages(spark, folder):
     return o.withColumn("html", body)
 
 
-REPORT_PAGES = 24
+REPORT_PAGES, PEOPLE_PAGE = 24, 11
 
 
 def annual_reports(spark, folder):
     """Each document as a report of 24 numbered pages, its words dealt out evenly, with a cross-reference table at its end.
 
-    The cited pages depend on the document's number.
+    The cited pages depend on the document's number.  One chapter is cited by
+    its first page only; the pages behind continue its title.
     """
     docs = texts(spark, folder, "documents")
     words = F.split(F.translate("text", "\n", " "), " ")
@@ -373,7 +374,9 @@ def annual_reports(spark, folder):
         first = F.floor((n - 1) * F.size("words") / REPORT_PAGES).cast("int")
         last = F.floor(n * F.size("words") / REPORT_PAGES).cast("int")
         body = F.array_join(F.slice("words", first + 1, last - first), " ")
-        return F.concat_ws("\n", F.concat(F.lit("Report of "), "source"), n.cast("string"), F.concat(F.lit("Part "), n.cast("string"), F.lit(": "), body))
+        title = F.when(n == PEOPLE_PAGE, "Our People").when((n > PEOPLE_PAGE) & (n <= F.col("doc_id") % 4 + PEOPLE_PAGE), "OUR PEOPLE (continued)").when(
+            n == PEOPLE_PAGE + 5, "Our people, cont'd")
+        return F.concat_ws("\n", F.concat(F.lit("Report of "), "source"), n.cast("string"), title, F.concat(F.lit("Part "), n.cast("string"), F.lit(": "), body))
 
     def pages(first, count):
         return F.concat((first).cast("string"), F.lit("-"), (first + count - 1).cast("string"))
@@ -382,7 +385,7 @@ def annual_reports(spark, folder):
     table = F.concat(
         F.lit("Form 20-F cross-reference Item 3 D. Risk factors Our risks "), pages(d % 5 + 1, 3),
         F.lit(" Item 4. Information on the Company B. Business overview Our business "), pages(d % 3 + 6, 4),
-        F.lit(", Note 12 Governance 3 C. Organizational structure Item 5. Operating and Financial Review and Prospects A. Operating results Our strategy "),
+        F.lit(f", Our people {PEOPLE_PAGE}, Note 12 Governance 3 C. Organizational structure Item 5. Operating and Financial Review and Prospects A. Operating results Our strategy "),
         pages(d % 2 + 4, 3), F.lit(" Financial review "), pages(d % 4 + 8, 4),
         F.lit(" B. Liquidity and capital resources 23 D. Trend information Outlook 14 and 17 E. Critical estimates 2 "
               "Item 18. Financial statements Consolidated financial statements "), pages(F.lit(18) - d % 3, 12), F.lit(" Item 19. Exhibits"))
