@@ -8,7 +8,7 @@ are sums of exact cents, so both engines agree to the last bit.
 
 from pyspark.sql import functions as F
 
-from ..functions.arith import gather, literal_map
+from ..functions.arith import gather, literal_map, once
 from ..functions.fixed_values import METRIC_TABLE
 from ..operators.wording import sentence_rows
 
@@ -372,7 +372,7 @@ def annual_reports(spark, folder):
     """
     docs = texts(spark, folder, "documents")
     words = F.split(F.translate("text", "\n", " "), " ")
-    rows = docs.select("doc_id", "source", words.alias("words"))
+    rows = once(docs.select("doc_id", "source", "text"), words=words)
 
     def page(n):
         first = F.floor((n - 1) * F.size("words") / REPORT_PAGES).cast("int")
@@ -394,7 +394,7 @@ def annual_reports(spark, folder):
         F.lit(" B. Liquidity and capital resources 23 D. Trend information Outlook 14 and 17 E. Critical estimates 2 "
               "Item 18. Financial statements Consolidated financial statements "), pages(F.lit(18) - d % 3, 12), F.lit(" Item 19. Exhibits"))
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(REPORT_PAGES)), page), "\n")
-    return rows.select("doc_id", F.concat(body, F.lit("\n"), table).alias("text"))
+    return once(rows.drop("text"), text=F.concat(body, F.lit("\n"), table)).select("doc_id", "text")
 
 
 def form_reports(spark, folder):
@@ -464,7 +464,7 @@ def filed_documents(spark, folder):
         doc(11, "10-Q", "primary", 0, f"Item 2. {mdna} 20 Item 3. Quantitative 31\nItem 2. {mdna}\n", body, "Item 3. Quantitative Disclosures\nNone.\n"
             "Item 1A. Risk Factors\n", REPORT_LEAD * 2, "Item 6. Exhibits\n"),
     ]
-    rows = texts(spark, folder, "documents").select("doc_id", report_body().alias("body"))
+    rows = once(texts(spark, folder, "documents").select("doc_id", "text"), body=report_body())
     rows = rows.select(F.col("doc_id").alias("filing_id"), F.inline(F.array_compact(F.array(*docs))))
     return rows.select("filing_id", F.concat_ws("/", "filing_id", "position").alias("document_id"), "form_type", "document_type", "position", "text")
 
