@@ -11,6 +11,7 @@ from folioscope.operators import numeric_changes as nc
 from folioscope.operators import renames as rn
 from folioscope.plans import metrics, twins
 from folioscope.plans import views as pv
+from folioscope.session import checkpointed
 
 from .changes import _scored, day
 from .views import VIEWS, sql
@@ -134,10 +135,20 @@ def possible_replacements(spark, d):
     return p.select("company_id", "category", "removed_key", "added_key", F.col("position").cast("long").alias("position"))
 
 
+def _groups(spark, d):
+    facts, filings = twins.facts(spark, d), twins.filings(spark, d)
+    revenue = facts.groupBy("company_id").agg(F.max("value").alias("revenue"))
+    return gr.grouped(twins.mixed_changes(checkpointed(_scored(spark, d))), revenue)
+
+
 def grouped_changes(spark, d):
-    c = twins.change_rows(_scored(spark, d))
-    revenue = twins.facts(spark, d).groupBy("company_id").agg(F.max("value").alias("revenue"))
-    return gr.grouped(c, revenue).select("company_id", "change_id", "group_id", "group_score", F.col("members").cast("long").alias("members"))
+    return _groups(spark, d).select(
+        "company_id", "change_id", "group_id", "group_score", "group_tier", F.array_join("group_reasons", ", ").alias("reasons"),
+        F.col("members").cast("long").alias("members"), F.col("group_place").cast("long").alias("group_place"))
+
+
+def group_counts(spark, d):
+    return gr.group_counts(_groups(spark, d))
 
 
 def audit_candidates(spark, d):
@@ -174,7 +185,7 @@ def audit_decisions(spark, d):
 
 QUERIES = {f.__name__: f for f in [
     rename_bridge, rename_by_words, alias_chain, capital_items, capital_sections, breakdown_view, one_off_items, mix_with_other, unusual_figures,
-    explained_figures, payment_notes, blank_reasons, omitted_rows, share_sets, first_itemized, possible_replacements, grouped_changes,
+    explained_figures, payment_notes, blank_reasons, omitted_rows, share_sets, first_itemized, possible_replacements, grouped_changes, group_counts,
     audit_candidates, severe_sentences, audit_decisions]}
 
 VIEWS.update({
@@ -244,6 +255,55 @@ VIEWS.update({
         WHERE change_type <> 'repeated'""",
 })
 
+_GENERIC = ", ".join(f"'{w}'" for w in fv.GROUP_GENERIC_WORDS)
+
+
+def _stems(column):
+    return f"list_distinct(list_transform(list_filter(regexp_extract_all(lower({column}), '[a-z]{{5,}}'), lambda w: w NOT IN ({_GENERIC})), lambda w: w[1:6]))"
+
+
+#: Groups one change after the other, as the rule is told; what is grouped in rounds must come to the same.
+VIEWS.update({
+    "mixed_change": f"""
+        SELECT company_id, fact_key || '|' || period_type || v.mark AS change_id, v.kind AS kind, category, change_type, {_stems("CASE WHEN v.kind = 'narrative' THEN 'The guarantees of the year amount to ' ELSE replace(replace(fact_key, '.', ' '), '_', ' ') END")} AS stems,
+               value * v.factor AS value, base_value, round(score * v.share, 3) AS score, tier, v.kind = 'narrative' AS is_text,
+               CASE WHEN v.kind = 'numeric' AND category = 'investment' THEN 'investment:' || change_type END AS itemized
+        FROM scored, (SELECT unnest([{{mark: '', kind: 'numeric', factor: 1.0::double, share: 1.0::double}},
+                                     {{mark: '|b', kind: 'numeric', factor: 1.004::double, share: 0.9::double}},
+                                     {{mark: '|c', kind: 'numeric', factor: 1.0085::double, share: 0.8::double}},
+                                     {{mark: '|w', kind: 'narrative', factor: 1.002::double, share: 1.2::double}}]) AS v) AS vv
+        WHERE change_type <> 'repeated'""",
+    "placed_change": f"""
+        SELECT m.*, row_number() OVER (PARTITION BY m.company_id ORDER BY is_text::int, score DESC, change_id) AS place,
+               CASE WHEN value <> 0 AND abs(value) >= abs(revenue) * {fv.GROUP_FLOOR_SHARE}::double THEN value END AS amount
+        FROM mixed_change AS m JOIN (SELECT company_id, max(value) AS revenue FROM fact GROUP BY ALL) AS r USING (company_id)""",
+    "change_home": f"""
+        WITH RECURSIVE fold AS (
+            SELECT DISTINCT company_id, 0::bigint AS place, ''::varchar AS change_id, 0::bigint AS home,
+                   []::struct(place bigint, category varchar, change_type varchar, itemized varchar, stems varchar[], v double, b double)[] AS leads
+            FROM placed_change
+            UNION ALL
+            SELECT company_id, place, change_id, coalesce(h, place) AS home,
+                   CASE WHEN h IS NULL AND NOT is_text THEN list_append(leads, me) ELSE leads END AS leads
+            FROM (
+                SELECT r.company_id, r.place, r.change_id, r.is_text, f.leads,
+                       {{place: r.place, category: r.category, change_type: r.change_type, itemized: r.itemized, stems: r.stems, v: r.value, b: r.base_value}} AS me,
+                       list_filter(f.leads, lambda l: CASE WHEN r.itemized IS NOT NULL THEN coalesce(l.itemized = r.itemized, false) ELSE
+                           coalesce(CASE WHEN r.is_text THEN list_has_any(l.stems, r.stems) ELSE l.category = r.category AND l.change_type = r.change_type END
+                           AND (coalesce(l.v <> 0 AND abs(r.amount - l.v) <= greatest(abs(r.amount), abs(l.v)) * {fv.GROUP_TOLERANCE}::double, false)
+                                OR coalesce(l.b <> 0 AND abs(r.amount - l.b) <= greatest(abs(r.amount), abs(l.b)) * {fv.GROUP_TOLERANCE}::double, false)), false)
+                           END)[1].place AS h
+                FROM fold AS f JOIN placed_change AS r ON r.company_id = f.company_id AND r.place = f.place + 1) AS x)
+        SELECT company_id, place, change_id, home FROM fold WHERE place > 0""",
+    "change_group": """
+        SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY group_score DESC, home) AS group_place FROM (
+            SELECT h.company_id, h.home, min_by(c.change_id, c.place) AS group_id, min_by(c.change_type, c.place) AS group_type,
+                   max(c.score) AS group_score, max_by(c.tier, (c.score, -c.place)) AS group_tier, min_by(c.category, c.place) AS lead_category,
+                   min_by(c.kind, c.place) AS lead_kind, max_by(c.category, (c.score, -c.place)) AS top_category,
+                   max_by(c.kind, (c.score, -c.place)) AS top_kind, count(*) AS members
+            FROM change_home AS h JOIN placed_change AS c USING (company_id, place) GROUP BY h.company_id, h.home) AS x""",
+})
+
 _NEGATION = text.NEGATION.replace("'", "''")
 
 ORACLES = {
@@ -360,6 +420,17 @@ ORACLES = {
         GROUP BY conv_id""",
 }
 
+ORACLES["grouped_changes"] = sql("""
+    SELECT h.company_id, h.change_id, group_id, group_score, group_tier, members, group_place,
+           array_to_string(list_filter(['is ' || lead_kind, 'of ' || lead_category, CASE WHEN top_kind <> lead_kind THEN 'is ' || top_kind END,
+                                        CASE WHEN top_category <> lead_category THEN 'of ' || top_category END], lambda x: x IS NOT NULL), ', ') AS reasons
+    FROM change_home AS h JOIN change_group AS g ON g.company_id = h.company_id AND g.home = h.home""")
+ORACLES["group_counts"] = sql("""
+    SELECT company_id, count(*) FILTER (group_tier = 'top') AS top, count(*) FILTER (group_tier = 'notable') AS notable,
+           count(*) FILTER (group_tier = 'background') AS background, count(*) FILTER (group_type = 'new') AS "new",
+           count(*) FILTER (group_type = 'changed') AS changed, count(*) FILTER (group_type = 'removed') AS removed,
+           greatest(count(*) FILTER (group_tier = 'background') - 40, 0) AS hidden
+    FROM change_group GROUP BY company_id""")
 ORACLES["capital_sections"] = sql("""
     SELECT company_id, section, fact_key, period_type, row_number() OVER (
                PARTITION BY company_id, section ORDER BY abs(value) DESC, length(fact_key), fact_key) AS place, 0 AS more

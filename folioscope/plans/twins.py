@@ -297,6 +297,27 @@ def change_rows(changes):
         F.lit(None).cast("string").alias("first_itemized"))
 
 
+def mixed_changes(changes):
+    """Scored changes with what groups fold: nearly equal amounts, lines of a concept that is new altogether, and wording that quotes an amount."""
+    rows = changes.where(F.col("change_type") != "repeated").select(
+        "company_id", F.concat_ws("|", "fact_key", "period_type").alias("change_id"), "kind", "category", "change_type", "label",
+        F.lit(None).cast("string").alias("text"), "value", "base_value", "unit", "currency", "score", "tier")
+    itemized = F.when(F.col("category") == "investment", F.concat(F.lit("investment:"), "change_type"))
+    said = F.concat(F.lit("The guarantees of the year amount to "), F.col("value").cast("string"))
+
+    def made(mark, factor, score, kind=F.col("kind"), text=F.col("text"), itemized=itemized):
+        return F.struct(
+            F.concat("change_id", F.lit(mark)).alias("change_id"), kind.alias("kind"), text.alias("text"), (F.col("value") * factor).alias("value"),
+            F.round(F.col("score") * score, 3).alias("score"), itemized.alias("first_itemized"))
+
+    wording = made("|w", 1.002, 1.2, F.lit("narrative"), said, F.lit(None).cast("string"))
+    versions = F.inline(F.array(made("", 1.0, 1.0), made("|b", 1.004, 0.9), made("|c", 1.0085, 0.8), wording))
+    rows = rows.select("company_id", "category", "change_type", "label", "base_value", "unit", "currency", "tier", F.col("change_id"), "kind", "text", "value", "score")
+    rest = ["company_id", "category", "change_type", "label", "base_value", "unit", "currency", "tier"]
+    reasons = F.array(F.concat(F.lit("is "), "kind"), F.concat(F.lit("of "), "category"))
+    return rows.select(*rest, versions).withColumn("reasons", reasons)
+
+
 def tagged_documents(spark, folder):
     """The facts of a filing as one tagged XHTML document: contexts, units, a statement table and a note.
 
