@@ -273,37 +273,49 @@ VIEWS.update({
                                      {{mark: '|c', kind: 'numeric', factor: 1.0085::double, share: 0.8::double}},
                                      {{mark: '|w', kind: 'narrative', factor: 1.002::double, share: 1.2::double}}]) AS v) AS vv
         WHERE change_type <> 'repeated'""",
-    "placed_change": f"""
-        SELECT m.*, row_number() OVER (PARTITION BY m.company_id ORDER BY is_text::int, score DESC, change_id) AS place,
-               CASE WHEN value <> 0 AND abs(value) >= abs(revenue) * {fv.GROUP_FLOOR_SHARE}::double THEN value END AS amount
-        FROM mixed_change AS m JOIN (SELECT company_id, max(value) AS revenue FROM fact GROUP BY ALL) AS r USING (company_id)""",
-    "change_home": f"""
-        WITH RECURSIVE fold AS (
-            SELECT DISTINCT company_id, 0::bigint AS place, ''::varchar AS change_id, 0::bigint AS home,
-                   []::struct(place bigint, category varchar, change_type varchar, itemized varchar, stems varchar[], v double, b double)[] AS leads
-            FROM placed_change
-            UNION ALL
-            SELECT company_id, place, change_id, coalesce(h, place) AS home,
-                   CASE WHEN h IS NULL AND NOT is_text THEN list_append(leads, me) ELSE leads END AS leads
-            FROM (
-                SELECT r.company_id, r.place, r.change_id, r.is_text, f.leads,
-                       {{place: r.place, category: r.category, change_type: r.change_type, itemized: r.itemized, stems: r.stems, v: r.value, b: r.base_value}} AS me,
-                       list_filter(f.leads, lambda l: CASE WHEN r.itemized IS NOT NULL THEN coalesce(l.itemized = r.itemized, false) ELSE
-                           coalesce(CASE WHEN r.is_text THEN list_has_any(l.stems, r.stems) ELSE l.category = r.category AND l.change_type = r.change_type END
-                           AND (coalesce(l.v <> 0 AND abs(r.amount - l.v) <= greatest(abs(r.amount), abs(l.v)) * {fv.GROUP_TOLERANCE}::double, false)
-                                OR coalesce(l.b <> 0 AND abs(r.amount - l.b) <= greatest(abs(r.amount), abs(l.b)) * {fv.GROUP_TOLERANCE}::double, false)), false)
-                           END)[1].place AS h
-                FROM fold AS f JOIN placed_change AS r ON r.company_id = f.company_id AND r.place = f.place + 1) AS x)
-        SELECT company_id, place, change_id, home FROM fold WHERE place > 0""",
-    "change_group": """
-        SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY group_score DESC, home) AS group_place FROM (
-            SELECT h.company_id, h.home, min_by(c.change_id, c.place) AS group_id, min_by(c.change_type, c.place) AS group_type,
-                   max(c.score) AS group_score, max_by(c.tier, (c.score, -c.place)) AS group_tier, min_by(c.category, c.place) AS lead_category,
-                   min_by(c.kind, c.place) AS lead_kind, max_by(c.category, (c.score, -c.place)) AS top_category,
-                   max_by(c.kind, (c.score, -c.place)) AS top_kind, count(*) AS members
-            FROM change_home AS h JOIN placed_change AS c USING (company_id, place) GROUP BY h.company_id, h.home) AS x""",
 })
 
+
+def group_views(name, rows):
+    """Views of the places, homes and groups of the changes in the view ``rows``, called after ``name``."""
+    return {
+        f"placed_{name}": f"""
+            SELECT m.*, row_number() OVER (PARTITION BY m.company_id ORDER BY is_text::int, score DESC, change_id) AS place,
+                   CASE WHEN value <> 0 AND abs(value) >= abs(revenue) * {fv.GROUP_FLOOR_SHARE}::double THEN value END AS amount
+            FROM {rows} AS m JOIN {name}_revenue AS r USING (company_id)""",
+        f"{name}_home": f"""
+            WITH RECURSIVE fold AS (
+                SELECT DISTINCT company_id, 0::bigint AS place, ''::varchar AS change_id, 0::bigint AS home,
+                       []::struct(place bigint, category varchar, change_type varchar, itemized varchar, stems varchar[], v double, b double)[] AS leads
+                FROM placed_{name}
+                UNION ALL
+                SELECT company_id, place, change_id, coalesce(h, place) AS home,
+                       CASE WHEN h IS NULL AND NOT is_text THEN list_append(leads, me) ELSE leads END AS leads
+                FROM (
+                    SELECT r.company_id, r.place, r.change_id, r.is_text, f.leads,
+                           {{place: r.place, category: r.category, change_type: r.change_type, itemized: r.itemized, stems: r.stems, v: r.value, b: r.base_value}} AS me,
+                           list_filter(f.leads, lambda l: CASE WHEN r.itemized IS NOT NULL THEN coalesce(l.itemized = r.itemized, false) ELSE
+                               coalesce(CASE WHEN r.is_text THEN list_has_any(l.stems, r.stems) ELSE l.category = r.category AND l.change_type = r.change_type END
+                               AND (coalesce(l.v <> 0 AND abs(r.amount - l.v) <= greatest(abs(r.amount), abs(l.v)) * {fv.GROUP_TOLERANCE}::double, false)
+                                    OR coalesce(l.b <> 0 AND abs(r.amount - l.b) <= greatest(abs(r.amount), abs(l.b)) * {fv.GROUP_TOLERANCE}::double, false)), false)
+                               END)[1].place AS h
+                    FROM fold AS f JOIN placed_{name} AS r ON r.company_id = f.company_id AND r.place = f.place + 1) AS x)
+            SELECT company_id, place, change_id, home FROM fold WHERE place > 0""",
+        f"{name}_group": f"""
+            SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY group_score DESC, home) AS group_place FROM (
+                SELECT h.company_id, h.home, min_by(c.change_id, c.place) AS group_id, min_by(c.change_type, c.place) AS group_type,
+                       max(c.score) AS group_score, max_by(c.tier, (c.score, -c.place)) AS group_tier, min_by(c.category, c.place) AS lead_category,
+                       min_by(c.kind, c.place) AS lead_kind, max_by(c.category, (c.score, -c.place)) AS top_category,
+                       max_by(c.kind, (c.score, -c.place)) AS top_kind, count(*) AS members,
+                       string_agg(c.change_id, ', ' ORDER BY c.change_id) FILTER (c.place <> h.home) AS related,
+                       min_by(c.value, c.place) AS lead_value, min_by({{b: c.base_value}}, c.place).b AS lead_base
+                FROM {name}_home AS h JOIN placed_{name} AS c USING (company_id, place) GROUP BY h.company_id, h.home) AS x""",
+    }
+
+
+VIEWS["change_revenue"] = "SELECT company_id, max(value) AS revenue FROM fact GROUP BY ALL"
+VIEWS.update(group_views("change", "mixed_change"))
+
 _NEGATION = text.NEGATION.replace("'", "''")
 
 ORACLES = {
