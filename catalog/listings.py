@@ -82,7 +82,8 @@ def amendment_links(spark, d):
 
 
 def text_retention(spark, d):
-    return fo.retained_filings(twins.listing(spark, d))
+    other = (F.col("filing_id") % 5 == 0) & ~F.col("is_annual")
+    return fo.retained_filings(twins.listing(spark, d).withColumn("form_type", F.when(other, "8-K").otherwise(F.col("form_type"))))
 
 
 def fact_counts(spark, d):
@@ -98,14 +99,14 @@ def eviction_list(spark, d):
 
 def _coverage(spark, d):
     sections = twins.table(spark, d, "labels").join(twins.table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id").select(
-        (F.col("doc_id") % 50).alias("filing_id"),
+        F.floor(F.col("doc_id") / 50).cast("long").alias("filing_id"),
         F.when(F.col("lang") == "en", F.array(F.lit("commitments"), F.lit("contingencies"))).when(F.col("lang") == "fr", F.array(F.lit("debt")))
         .when(F.col("lang") == "de", F.array(F.lit("risk_factors"))).otherwise(F.array(F.lit("management_discussion"))).alias("categories"),
         F.when(F.col("quality") == 1, 0.95).otherwise(0.5).alias("confidence"))
-    filings = twins.table(spark, d, "documents").select((F.col("doc_id") % 50).alias("filing_id")).distinct().select(
+    filings = twins.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 50).cast("long").alias("filing_id")).distinct().select(
         "filing_id", (F.col("filing_id") % 2 == 0).alias("is_annual"), F.when(F.col("filing_id") % 2 == 0, "10-K").otherwise("10-Q").alias("form_type"),
         (F.col("filing_id") % 3 > 0).alias("has_tags"))
-    metrics = twins.table(spark, d, "labels").select((F.col("doc_id") % 50).alias("filing_id"), F.when(
+    metrics = twins.table(spark, d, "labels").select(F.floor(F.col("doc_id") / 50).cast("long").alias("filing_id"), F.when(
         F.col("doc_id") % 7 == 1, "revenue").when(F.col("doc_id") % 7 == 2, "net_income").otherwise("total_assets").alias("metric"))
     return fo.coverage_report(filings, sections, metrics), filings
 
@@ -210,18 +211,18 @@ VIEWS.update({
             SELECT company_id, report_date, epoch(filing_date) AS filing_date FROM readable WHERE annual_form AND NOT amended AND k <= 3) AS q
         GROUP BY company_id""",
     "cov_section": """
-        SELECT doc_id % 50 AS filing_id, unnest(CASE lang WHEN 'en' THEN ['commitments', 'contingencies'] WHEN 'fr' THEN ['debt']
+        SELECT doc_id // 50 AS filing_id, unnest(CASE lang WHEN 'en' THEN ['commitments', 'contingencies'] WHEN 'fr' THEN ['debt']
                WHEN 'de' THEN ['risk_factors'] ELSE ['management_discussion'] END) AS category,
                CASE WHEN quality = 1 THEN 0.95::double ELSE 0.5::double END AS confidence
         FROM labels JOIN documents USING (doc_id)""",
-    "cov_filing": "SELECT DISTINCT doc_id % 50 AS filing_id FROM documents",
+    "cov_filing": "SELECT DISTINCT doc_id // 50 AS filing_id FROM documents",
     "cov_expected": """
         SELECT filing_id, unnest(CASE WHEN filing_id % 2 = 0
                THEN ['management_discussion', 'risk_factors', 'commitments', 'debt', 'income_taxes', 'segment_information', 'business']
                ELSE ['management_discussion', 'commitments', 'debt'] END) AS category FROM cov_filing""",
     "cov_found": "SELECT filing_id, category, max(confidence) AS confidence FROM cov_section GROUP BY ALL",
     "cov_metric": """
-        SELECT DISTINCT doc_id % 50 AS filing_id, CASE doc_id % 7 WHEN 1 THEN 'revenue' WHEN 2 THEN 'net_income' ELSE 'total_assets' END AS metric
+        SELECT DISTINCT doc_id // 50 AS filing_id, CASE doc_id % 7 WHEN 1 THEN 'revenue' WHEN 2 THEN 'net_income' ELSE 'total_assets' END AS metric
         FROM labels""",
     "cov_report": """
         SELECT coalesce(e.filing_id, f.filing_id) AS filing_id, coalesce(e.category, f.category) AS category,
@@ -311,7 +312,7 @@ ORACLES = {
     "text_retention": sql("""
         SELECT company_id, filing_id FROM (
             SELECT *, row_number() OVER (PARTITION BY company_id, annual_form ORDER BY report_date DESC, filing_date DESC, filing_id DESC) AS n
-            FROM listed WHERE NOT amended) AS x
+            FROM listed WHERE CASE WHEN filing_id % 5 = 0 AND NOT annual_form THEN false ELSE NOT amended END) AS x
         WHERE n <= 2"""),
     "fact_counts": sql("""
         SELECT f.filing_id, count(x.fact_id) AS fact_count FROM filing AS f

@@ -29,9 +29,8 @@ def rename_by_words(spark, d):
 
 
 def alias_chain(spark, d):
-    p = twins.table(spark, d, "part").where(F.col("p_retailprice").isNotNull())
-    links = p.where("p_partkey % 5 > 0").select(
-        (F.col("p_size").cast("long") % 7).alias("company_id"), F.col("p_partkey").cast("string").alias("old_key"),
+    links = twins.table(spark, d, "part").select(
+        F.floor(F.col("p_partkey") / 7).cast("long").alias("company_id"), F.col("p_partkey").cast("string").alias("old_key"),
         F.when(F.col("p_partkey") % 10 == 9, F.col("p_partkey") - 3).otherwise(F.col("p_partkey") + 1).cast("string").alias("new_key"))
     return rn.newest_keys(links)
 
@@ -326,9 +325,9 @@ ORACLES = {
     "rename_by_words": sql("SELECT company_id, old_key, new_key FROM rword"),
     "alias_chain": """
         WITH RECURSIVE link AS (
-            SELECT p_size % 7 AS company_id, p_partkey::varchar AS old_key,
+            SELECT p_partkey // 7 AS company_id, p_partkey::varchar AS old_key,
                    (CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 3 ELSE p_partkey + 1 END)::varchar AS new_key
-            FROM part WHERE p_partkey % 5 > 0),
+            FROM part),
         walk AS (
             SELECT company_id, old_key, new_key AS key, [old_key, new_key] AS seen FROM link
             UNION ALL

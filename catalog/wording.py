@@ -120,8 +120,7 @@ VIEWS.update({
                 SELECT l.doc_id, f.first_id, count(*) AS votes
                 FROM doc_line AS l JOIN (SELECT line, min(doc_id) AS first_id FROM doc_line GROUP BY line) AS f ON f.line = l.line
                 WHERE length(l.line) > 60 AND f.first_id < l.doc_id GROUP BY ALL) AS v
-            GROUP BY doc_id) AS b USING (doc_id)
-        WHERE coalesce(b.base_id, doc_id - 8) >= 0""",
+            GROUP BY doc_id) AS b USING (doc_id)""",
     "new_sentence": """
         SELECT pair_id, pos, s, exact, masked FROM doc_pair JOIN fingerprint ON doc_id = pair_id""",
     "base_sentence": """

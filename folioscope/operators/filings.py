@@ -9,6 +9,7 @@ from .latest import pick, top_n
 SUPPORTED_FORMS = ["10-K", "10-K/A", "10-KT", "10-Q", "10-Q/A", "20-F", "20-F/A", "40-F", "40-F/A", "6-K", "6-K/A"]
 TAGGED_FORMS = ["6-K", "6-K/A"]
 ANNUAL_FORMS = ["10-K", "10-KT", "20-F", "40-F"]
+INTERIM_FORMS = ["10-Q", "6-K"]
 EXPECTED_ANNUAL = ["management_discussion", "risk_factors", "commitments", "debt", "income_taxes", "segment_information", "business"]
 EXPECTED_INTERIM = ["management_discussion", "commitments", "debt"]
 
@@ -137,11 +138,12 @@ def fact_counts(filings, facts):
 
 
 def retained_filings(filings, annual=2, interim=2):
-    """Filings whose section text is kept: the latest annual and interim originals."""
+    """Filings whose section text is kept: the latest annual and interim originals (W11).  A filing that is neither takes no slot."""
     own = filings.where(~is_amendment("form_type"))
+    interim_report = ~F.col("is_annual") & base_form("form_type").isin(INTERIM_FORMS)
     order = [F.col("period_end").desc_nulls_last(), F.desc("filing_date"), F.desc("filing_id")]
     keep = top_n(own.where("is_annual"), ["company_id"], order, annual, "_rank").unionByName(
-        top_n(own.where(~F.col("is_annual")), ["company_id"], order, interim, "_rank"))
+        top_n(own.where(interim_report), ["company_id"], order, interim, "_rank"))
     return keep.select("company_id", "filing_id")
 
 

@@ -81,23 +81,41 @@ def renamed_lines(facts, filings):
     return by_value.unionByName(by_words)
 
 
+def _followed(edges, rounds):
+    """Where each key stands after 2 ** ``rounds`` links, or at the end of its chain: company_id, old_key, key.  Each round doubles the reach."""
+    at = edges.select("company_id", "old_key", F.col("new_key").alias("key"))
+    for _ in range(rounds):
+        ahead = at.select("company_id", F.col("old_key").alias("key"), F.col("key").alias("_on"))
+        both = checkpointed(at.join(ahead, ["company_id", "key"], "left"))
+        at = both.select("company_id", "old_key", F.coalesce("_on", "key").alias("key"))
+        if both.where("_on IS NOT NULL").isEmpty():
+            break
+    return at
+
+
 def newest_keys(links):
-    """old key -> newest key along chains of renames, safe against cycles.
+    """old key -> newest key along chains of renames.
 
-    Each round follows one more link for the keys that can still move; the number
-    of rounds is the length of the longest chain, at most the number of filings.
+    Pointers are doubled: after as many rounds as the number of a company's
+    links has binary digits every key is at the end of its chain, or on a
+    cycle.  A key that comes to a cycle goes round it once, so its newest key is
+    the one before the key at which it came to it.
     """
     edges = checkpointed(links.groupBy("company_id", "old_key").agg(F.min("new_key").alias("new_key")))
-    step = edges.select("company_id", F.col("old_key").alias("key"), F.col("new_key").alias("next"))
-    moving = edges.select("company_id", "old_key", F.col("new_key").alias("key"), F.array("old_key", "new_key").alias("seen"))
-    done = None
-    while True:
-        ahead = moving.join(step, ["company_id", "key"], "left")
-        moves = F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next"))
-        ahead = checkpointed(ahead.withColumn("moves", F.coalesce(moves, F.lit(False))))
-        stopped = ahead.where(~F.col("moves")).select("company_id", "old_key", F.col("key").alias("newest_key"))
-        done = stopped if done is None else done.unionByName(stopped)
-        moving = ahead.where("moves").select("company_id", "old_key", F.col("next").alias("key"),
-                                             F.concat("seen", F.array("next")).alias("seen"))
-        if moving.isEmpty():
-            return done
+    longest = edges.groupBy("company_id").count().agg(F.max("count")).first()[0] or 0
+    rounds = longest.bit_length()
+    at = checkpointed(_followed(edges, rounds))
+    # what still has a link after that many steps is on a cycle
+    going = edges.select("company_id", F.col("old_key").alias("key"))
+    circling = checkpointed(at.join(going, ["company_id", "key"], "left_semi"))
+    ended = at.join(going, ["company_id", "key"], "left_anti").select("company_id", "old_key", F.col("key").alias("newest_key"))
+    cycle = checkpointed(circling.select("company_id", "key").distinct())
+    if cycle.isEmpty():
+        return ended
+    # the way to a cycle ends at its first key on it
+    on = cycle.select("company_id", F.col("key").alias("old_key"))
+    towards = edges.join(circling.select("company_id", "old_key"), ["company_id", "old_key"], "left_semi").join(on, ["company_id", "old_key"], "left_anti")
+    entry = _followed(towards, rounds).unionByName(on.withColumn("key", F.col("old_key")))
+    before = edges.join(on, ["company_id", "old_key"], "left_semi").select("company_id", F.col("new_key").alias("key"), F.col("old_key").alias("newest_key"))
+    round_ = entry.join(before, ["company_id", "key"]).select("company_id", "old_key", "newest_key")
+    return ended.unionByName(round_)

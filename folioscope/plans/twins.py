@@ -146,8 +146,7 @@ def section_pairs(spark, folder):
     votes = lines.join(first, "h").where(F.col("first_id") < F.col("doc_id")).groupBy("doc_id", "first_id").agg(
         F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("doc_id").agg(F.max_by("first_id", F.struct("votes", (-F.col("first_id")).alias("f"))).alias("base_id"))
-    return docs.select("doc_id").join(best, "doc_id", "left").withColumn("base_id", F.coalesce("base_id", F.col("doc_id") - 8)).where(
-        F.col("base_id") >= 0)
+    return docs.select("doc_id").join(best, "doc_id", "left").withColumn("base_id", F.coalesce("base_id", F.col("doc_id") - 8))
 
 
 def diff_inputs(spark, folder):

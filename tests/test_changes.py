@@ -101,3 +101,23 @@ def test_renames_one_to_one_and_chains(spark):
     assert [(r.old_key, r.new_key) for r in got] == [("commitment.c.supply", "commitment.c.supply_and_capacity")]
     links = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "x", "y"), (1, "y", "x")], "company_id long, old_key string, new_key string")
     assert {r.old_key: r.newest_key for r in renames.newest_keys(links).collect()} == {"a": "c", "b": "c", "x": "y", "y": "x"}
+
+
+def test_long_chains_and_cycles(spark):
+    import random
+    rng = random.Random(2)
+    chain = [(1, f"k{i}", f"k{i + 1}") for i in range(1000)]
+    ring = [(2, f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [(2, f"t{i}", f"t{i + 1}" if i < 20 else "r3") for i in range(21)] + [(2, "own", "own")]
+    wild = [(3, str(i), str(rng.randrange(60))) for i in range(50)]
+    links = chain + ring + wild
+    got = {(r.company_id, r.old_key): r.newest_key for r in renames.newest_keys(
+        spark.createDataFrame(links, "company_id long, old_key string, new_key string")).collect()}
+    step = {(c, a): b for c, a, b in links}
+    want = {}
+    for c, a, _ in links:
+        seen = [a]
+        while (c, seen[-1]) in step and step[c, seen[-1]] not in seen:
+            seen.append(step[c, seen[-1]])
+        want[c, a] = seen[-1]
+    assert got == want
+    assert renames.newest_keys(spark.createDataFrame([], "company_id long, old_key string, new_key string")).count() == 0
