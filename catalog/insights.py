@@ -35,15 +35,6 @@ def scored_wording(spark, d):
     return kept.select("company_id", "category", "change_type", "score", "tier", "change_id", F.col("place").cast("long").alias("place"))
 
 
-def company_snapshots(spark, d):
-    facts, filings = twins.facts(spark, d), twins.filings(spark, d)
-    rows = metrics.column_table(facts, filings)
-    capital = pv.capital_sections(pv.capital_items(pv.sectioned(facts), pv.capital_context(filings)))
-    s = pv.snapshots(metrics.company_profile(rows), metrics.financial_table(rows), metrics.financial_table(rows, "quarterly"),
-                     capital, nc.ranked(_scored(spark, d)).select("company_id", "tier", "tier_position", "fact_key", "change_type", "score", "reasons"))
-    return s.select("company_id", F.col("snapshot_version").cast("long").alias("snapshot_version"), F.length("payload").cast("long").alias("chars"))
-
-
 def digest_lines(spark, d):
     t = metrics.financial_table(metrics.column_table(twins.facts(spark, d), twins.filings(spark, d)))
     return ins.digest_lines(t, ["revenue", "net_income", "free_cash_flow"]).select("company_id", "line")
@@ -109,7 +100,7 @@ def rewrite_list(spark, d):
 
 
 QUERIES = {f.__name__: f for f in [
-    wording_changes, scored_wording, company_snapshots, digest_lines, base_reports, interim_notes, period_months, fiscal_labels, currency_detection,
+    wording_changes, scored_wording, digest_lines, base_reports, interim_notes, period_months, fiscal_labels, currency_detection,
     registrant_names, index_documents, snapshot_freshness, rewrite_list]}
 
 ORACLES = {

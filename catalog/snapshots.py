@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from folioscope.plans import snapshot, twins
 
+from .changes import ORACLES as CHANGES
 from .views import VIEWS, sql
 from .views_pages import ORACLES as PAGES
 from .views_pages import group_views
@@ -56,7 +57,13 @@ def snapshot_changes(spark, d):
         F.array_join(F.transform("related", lambda r: r.change_id), ", ").alias("related"))
 
 
-QUERIES = {"snapshot_company": snapshot_company, "snapshot_filings": snapshot_filings, "snapshot_annual": _cells("annual"), "snapshot_interim": _cells("interim"),
+def company_snapshots(spark, d):
+    """Every company's whole document, by the names of its parts."""
+    parts = snapshot.parts_table(snapshot.Inputs(twins.filings(spark, d), twins.facts(spark, d)))
+    return snapshot.documents(parts).select("company_id", F.array_join(F.array_sort(F.json_object_keys("document")), ",").alias("parts"))
+
+
+QUERIES = {"company_snapshots": company_snapshots, "snapshot_company": snapshot_company, "snapshot_filings": snapshot_filings, "snapshot_annual": _cells("annual"), "snapshot_interim": _cells("interim"),
            "snapshot_capital": snapshot_capital, "snapshot_breakdowns": snapshot_breakdowns, "snapshot_bridges": snapshot_bridges,
            "snapshot_changes": snapshot_changes}
 
@@ -124,3 +131,9 @@ ORACLES["snapshot_changes"] = sql("""
     SELECT company_id, group_id AS change_id, group_score AS score, group_tier AS tier, group_type AS change_type, lead_value AS value, lead_base AS base_value,
            members, related FROM plain_group""")
 ORACLES["snapshot_breakdowns"] = f"SELECT company_id, family, place, fact_key, value, prior_value, share_of_revenue FROM ({PAGES['breakdown_view']}) AS b"
+_PRESENT = {"company": ORACLES["snapshot_company"], "filings": ORACLES["snapshot_filings"], "annual": ORACLES["snapshot_annual"], "interim": ORACLES["snapshot_interim"],
+            "capital": ORACLES["snapshot_capital"], "bridges": ORACLES["snapshot_bridges"]}
+_CHANGED = f"SELECT company_id FROM ({ORACLES['snapshot_changes']}) AS n UNION SELECT company_id FROM ({CHANGES['derived_ratio_changes']}) AS r"
+ORACLES["company_snapshots"] = "SELECT company_id, string_agg(part, ',' ORDER BY part) AS parts FROM (" + " UNION ALL ".join([
+    *(f"SELECT DISTINCT company_id, '{name}' AS part FROM ({text}) AS p" for name, text in _PRESENT.items()),
+    *(f"SELECT DISTINCT company_id, '{name}' AS part FROM ({_CHANGED}) AS p" for name in ("changes", "change_counts"))]) + ") AS x GROUP BY company_id"

@@ -18,6 +18,10 @@ from .views import VIEWS, sql
 from .wording import _TRIGGER_LIST
 
 
+_PHRASES = [phrase for _, phrase, _ in fv.TRIGGERS]
+_PHRASE_LIST = "[" + ", ".join("'" + phrase.replace("'", "''") + "'" for phrase in _PHRASES) + "]"
+
+
 def rename_bridge(spark, d):
     return rn.bridged_by_value(twins.renamed_facts(spark, d)).select("company_id", "old_key", "new_key")
 
@@ -157,11 +161,18 @@ def audit_candidates(spark, d):
     def point(position, name, refs):
         return F.struct(F.lit(position).alias("position"), F.concat(F.lit(f"{name} "), "s_name").alias("headline"), refs.alias("refs"))
 
-    points = twins.table(spark, d, "supplier").select(F.col("s_suppkey").alias("company_id"), F.inline(F.array(
+    # a summary names eight phrases, which ones depends on its number
+    named = F.slice(F.array(*map(F.lit, _PHRASES)), (F.col("s_suppkey") % len(_PHRASES) + 1).cast("int"), 8)
+    detail = F.array_join(named, ", ")
+    points = twins.table(spark, d, "supplier").select(F.col("s_suppkey").alias("company_id"), F.concat(F.lit("They report a "), detail).alias("detail"), F.inline(F.array(
         point(1, "1", by_label), point(0, "0", by_id), point(2, "0", by_label))))
-    covered = au.covered_changes(c, points)
-    items = au.audit_items(covered.select("company_id", F.lit("change").alias("kind"), F.col("change_id").alias("item_id"), "score", "covered_by"))
-    return items.select("company_id", "item_id", "score", F.array_join("covered_by", ", ").alias("covered_by"))
+    changes = au.covered_changes(c, points).select("company_id", F.lit("change").alias("kind"), F.col("change_id").alias("item_id"), "score", "covered_by")
+    # a company's report is the document of its number
+    sections = twins.sections(spark, d).select(F.col("doc_id").alias("company_id"), F.lit(0).alias("section_order"), "text")
+    language = au.covered_language(au.severe_sentences(sections), points).select(
+        "company_id", F.lit("language").alias("kind"), "item_id", F.col("weight").alias("score"), "covered_by")
+    items = au.audit_items(changes.unionByName(language))
+    return items.select("company_id", "kind", "item_id", "score", F.array_join("covered_by", ", ").alias("covered_by"))
 
 
 def severe_sentences(spark, d):
@@ -254,6 +265,10 @@ VIEWS.update({
         WHERE change_type <> 'repeated'""",
 })
 
+def _words(column):
+    return f"list_distinct(list_transform(regexp_extract_all(lower({column}), '[a-z]{{5,}}'), lambda w: w[1:6]))"
+
+
 _GENERIC = ", ".join(f"'{w}'" for w in fv.GROUP_GENERIC_WORDS)
 
 
@@ -403,14 +418,25 @@ ORACLES = {
             SELECT * FROM share_set AS s WHERE s.company_id = c.company_id AND s.basis = c.basis AND s.filing_id <> c.filing_id
             ORDER BY (s.filing_id = CASE WHEN x.latest_annual THEN x.annual_filing ELSE x.previous_filing END)::int DESC, s.filing_id DESC
             LIMIT 1) AS b ON true"""),
-    "audit_candidates": sql("""
-        SELECT company_id, change_id AS item_id, score, covered_by FROM (
-            SELECT *, row_number() OVER (PARTITION BY company_id, covered_by IS NULL ORDER BY score DESC, change_id) AS n FROM (
-                SELECT c.company_id, c.change_id, c.score, CASE WHEN c.label = 'metric revenue' THEN '0 ' || s_name || ', 1 ' || s_name
+    "audit_candidates": sql(f"""
+        SELECT company_id, kind, item_id, score, covered_by FROM (
+            SELECT *, row_number() OVER (PARTITION BY company_id, kind, covered_by IS NULL ORDER BY score DESC, item_id) AS n FROM (
+                SELECT c.company_id, 'change' AS kind, c.change_id AS item_id, c.score, CASE WHEN c.label = 'metric revenue' THEN '0 ' || s_name || ', 1 ' || s_name
                             WHEN c.change_id = 'debt.line_18|instant' THEN '0 ' || s_name END AS covered_by
                 FROM changed_row AS c LEFT JOIN supplier ON s_suppkey = c.company_id
-                WHERE c.tier = 'top' OR c.subsequent = 1 OR (c.change_type = 'new' AND c.category = 'debt')) AS a) AS b
-        WHERE covered_by IS NOT NULL OR n <= 12"""),
+                WHERE c.tier = 'top' OR c.subsequent = 1 OR (c.change_type = 'new' AND c.category = 'debt')
+                UNION ALL
+                SELECT doc_id AS company_id, 'language' AS kind, left(sha1(s), 16) AS item_id, weight AS score,
+                       CASE WHEN len(list_filter(stems, lambda x: NOT list_contains(coalesce(said, []), x))) = 0 THEN '(summary wording)' END AS covered_by
+                FROM (SELECT doc_id, phrase, min_by(s, pos) AS s, any_value(w) AS weight, {_words("phrase")} AS stems FROM (
+                          SELECT doc_id, pos, s, t.phrase AS phrase, t.w AS w FROM sentence, (SELECT unnest({_TRIGGER_LIST}) AS t) AS tt
+                          WHERE t.w >= 0.6 AND regexp_matches(s, '(?i)' || t.p) AND regexp_matches(s, '(?i){fv.REALIZED}')
+                            AND NOT regexp_matches(s, '(?i){fv.HYPOTHETICAL}') AND NOT regexp_matches(s, '{_NEGATION}')
+                            AND NOT (t.phrase = 'restatement' AND regexp_matches(s, '(?i){fv.PRESENTATION_RESTATEMENT}'))) AS told
+                      GROUP BY doc_id, phrase) AS severe
+                LEFT JOIN (SELECT s_suppkey, {_words(f"'0 1 ' || s_name || ' They report a ' || array_to_string({_PHRASE_LIST}[s_suppkey % {len(_PHRASES)} + 1:s_suppkey % {len(_PHRASES)} + 8], ', ')")} AS said FROM supplier) AS p
+                          ON s_suppkey = doc_id) AS a) AS b
+        WHERE covered_by IS NOT NULL OR n <= CASE kind WHEN 'change' THEN 12 ELSE 6 END"""),
     "severe_sentences": sql(f"""
         SELECT company_id, phrase, section_order, sha1(s) AS hash, w AS weight FROM (
             SELECT source AS company_id, t.phrase AS phrase, t.w AS w, doc_id AS section_order, s,

@@ -39,6 +39,30 @@ def severe_sentences(sections, key="company_id", order="section_order"):
     return marked.groupBy(key, F.col("t.phrase").alias("phrase")).agg(first.alias("s")).select(key, "phrase", "s.*")
 
 
+def word_stems(text):
+    """The first six letters of each word of five letters or more."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{5,}"), F.lit(0))
+    return F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 6)))
+
+
+def covered_language(sentences, points, key="company_id"):
+    """Severe sentences with whether the company's summary names their phrase: all its stems occur in the points (C14).
+
+    Phrases meet summaries by stem: an index of the stems of each company's
+    points, one row a stem, is asked for the stems of its phrases, so the work
+    grows with the stems and not with phrases times summaries.  ``points``:
+    company_id, headline, detail.
+    """
+    said = F.concat_ws(" ", "headline", "detail")
+    index = points.select(key, F.explode(word_stems(said)).alias("stem")).distinct().withColumn("_said", F.lit(True))
+    asked = sentences.select(key, "phrase", F.explode_outer(word_stems(F.col("phrase"))).alias("stem"))
+    missing = asked.where(F.col("stem").isNotNull()).join(index, [key, "stem"], "left").groupBy(key, "phrase").agg(
+        F.max(F.col("_said").isNull()).alias("_missing"))
+    rows = sentences.join(missing, [key, "phrase"], "left")
+    covered = F.when(~F.coalesce("_missing", F.lit(False)), F.array(F.lit("(summary wording)")))
+    return rows.withColumn("covered_by", covered).withColumn("item_id", F.substring(F.sha1("sentence"), 1, 16)).drop("_missing")
+
+
 def audit_items(candidates, keys=("company_id",)):
     """All covered candidates, and the first uncovered ones per kind.
 

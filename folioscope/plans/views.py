@@ -290,23 +290,3 @@ def half_year_labels(facts):
     """Half-yearly issuers' second-quarter labels read as half years."""
     half = (F.col("fiscal_period") == "Q2") & ((F.col("period_type") == "instant") | (F.coalesce("period_months", F.lit(0)) >= 6))
     return facts.withColumn("fiscal_period", F.when(half, "H1").otherwise(F.col("fiscal_period")))
-
-
-def snapshots(profiles, annual_table, interim_table, capital, changes, version=1):
-    """One nested document per company.
-
-    Every part is bounded by its own row limits (five years, eight quarters, 25
-    items a section, trimmed changes), so a company's document fits in one row.
-    """
-    def part(df, name, order):
-        cols = [c for c in df.columns if c != "company_id"]
-        return df.groupBy("company_id").agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in cols if c not in order]))).alias(name))
-
-    out = profiles
-    for df, name, order in ((annual_table, "annual", ["row_order", "age"]), (interim_table, "interim", ["row_order", "age"]),
-                            (capital, "capital", ["section", "place"]), (changes, "changes", ["tier", "tier_position"])):
-        out = out.join(part(df, name, order), "company_id", "left")
-    payload = F.to_json(F.struct(*[c for c in out.columns if c != "company_id"]))
-    return out.select("company_id", F.lit(version).alias("snapshot_version"), payload.alias("payload"))
-
-

@@ -64,11 +64,6 @@ def with_status(facts, changes):
         "materiality_score", F.coalesce("_score", F.col("materiality_score"))).drop("_status", "_score")
 
 
-def current_snapshots(snapshots, snapshot_version, parser_version):
-    """Stored documents at the current versions."""
-    return snapshots.where((F.col("snapshot_version") == snapshot_version) & (F.col("parser_version") == parser_version))
-
-
 def merge_companion(facts, companions):
     """A companion filing's facts under its annual report, with prefixed ids."""
     linked = facts.join(companions.select(F.col("filing_id"), F.col("annual_filing_id")).distinct(), "filing_id")
@@ -77,5 +72,3 @@ def merge_companion(facts, companions):
         "filing_id", F.col("annual_filing_id")).drop("annual_filing_id")
     rest = facts.join(companions.select("filing_id").distinct(), "filing_id", "left_anti")
     return rest.unionByName(moved.select(*rest.columns))
-
-

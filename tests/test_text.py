@@ -90,3 +90,12 @@ def test_entities_become_their_characters(spark):
     rows = [("caf&eacute; &#8208; &#x2019; &#937; &#x1F600; &Omega; &amp;lt; &nope; &#0; &#xD800; &nbsp;end &amp;amp;",)]
     got = spark.createDataFrame(rows, "html string").select(html.text_of("html")).first()[0]
     assert got == "café ‐ ' Ω 😀 Ω &lt; &nope; &#0; &#xD800; end &amp;"
+
+
+def test_language_that_the_summary_names(spark):
+    from folioscope.operators import audit
+    sentences = spark.createDataFrame([(1, "going concern", "a"), (1, "default", "b"), (2, "default", "c"), (3, "no", "d")], "company_id long, phrase string, sentence string")
+    points = spark.createDataFrame([(1, "Doubts about GOING on", "There is concern."), (1, "Other", None), (2, None, "Defaulted")],
+                                   "company_id long, headline string, detail string")
+    got = {(r.company_id, r.phrase): r.covered_by for r in audit.covered_language(sentences, points).collect()}
+    assert got == {(1, "going concern"): ["(summary wording)"], (1, "default"): None, (2, "default"): ["(summary wording)"], (3, "no"): ["(summary wording)"]}
