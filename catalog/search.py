@@ -41,8 +41,23 @@ def term_statistics(spark, d):
 
 
 def bm25_top_passages(spark, d):
-    r = s.rank_passages(_chunks(spark, d), twins.questions(spark, d))
-    return r.select("question_id", "chunk_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+    r = s.rank_passages(s.passage_index(_chunks(spark, d)), twins.questions(spark, d))
+    return r.select("question_id", F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+def _paragraphs(spark, d):
+    lines = twins.texts(spark, d, "documents").select(F.col("source").alias("pool"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "chunk"))
+    return lines.where(F.length("chunk") >= 80).select("pool", F.concat_ws("-", "doc_id", "pos").alias("chunk_id"), "chunk")
+
+
+def paragraph_terms(spark, d):
+    index = s.passage_index(_paragraphs(spark, d))
+    return index.terms.select("pool", "term", "df", F.round("idf", 9).alias("idf"), F.round("most", 9).alias("most"))
+
+
+def bm25_paragraphs(spark, d):
+    r = s.rank_passages(s.passage_index(_paragraphs(spark, d)), twins.questions(spark, d))
+    return r.select("question_id", F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 def recent_turns(spark, d):
@@ -111,7 +126,7 @@ def text_prose_budget(spark, d):
 
 
 QUERIES = {f.__name__: f for f in [
-    company_search, section_chunks, term_statistics, bm25_top_passages, recent_turns, quote_in_source, figure_claims, source_figures,
+    company_search, section_chunks, term_statistics, bm25_top_passages, paragraph_terms, bm25_paragraphs, recent_turns, quote_in_source, figure_claims, source_figures,
     verified_items, segment_reconcile, citation_check, merge_headlines, corpus_stats, text_prose_budget]}
 
 _NUM = fig.NUMBER
@@ -149,7 +164,42 @@ VIEWS.update({
             SELECT DISTINCT unnest([p_name, substring(p_name, 3, 5), p_brand, p_type[1:3], 'b', p_type[1:2] || p_size]) AS query FROM part) AS q""",
 })
 
+VIEWS.update({
+    "para": f"""
+        SELECT pool, chunk_id, length(line) AS chars, {_TERMS.format('line')} AS terms FROM (
+            SELECT source AS pool, doc_id || '-' || i AS chunk_id, lines[i + 1] AS line FROM (
+                SELECT source, doc_id, lines, unnest(range(len(lines))) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS lines FROM documents) AS a) AS b) AS c
+        WHERE length(line) >= 80""",
+    "para_pool": "SELECT pool, count(*) AS n, avg(len(terms)) AS average FROM para GROUP BY pool",
+    "para_term": """
+        SELECT t.*, tf * 2.2::double / (tf + (length / average * 0.75::double + 0.25::double) * 1.2::double) AS part FROM (
+            SELECT pool, chunk_id, chars, len(terms) AS length, term, count(*) AS tf FROM (SELECT *, unnest(terms) AS term FROM para) AS x GROUP BY ALL) AS t
+        JOIN para_pool USING (pool)""",
+    "para_stat": """
+        SELECT pool, term, df, most, ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) AS idf
+        FROM (SELECT pool, term, count(*) AS df, max(part) AS most FROM para_term GROUP BY ALL) AS x JOIN para_pool USING (pool)""",
+    "ask_turn": """
+        SELECT t.conv_id || '-' || t.turn AS question_id, 'src' || (t.conv_id % 20) AS pool, t.text[1:500] AS question, b.text[1:500] AS follow_up
+        FROM conversations AS t LEFT JOIN conversations AS b ON b.conv_id = t.conv_id AND b.role = 'user' AND b.turn + 2 = t.turn WHERE t.role = 'user'""",
+    "ask_term": f"""
+        SELECT question_id, pool, term, max(weight) AS weight FROM (
+            SELECT question_id, pool, unnest({_TERMS.format('question')}) AS term, 1.0::double AS weight FROM ask_turn
+            UNION ALL
+            SELECT question_id, pool, unnest({_TERMS.format("coalesce(follow_up, '')")}), 0.5::double FROM ask_turn) AS x
+        GROUP BY ALL""",
+    "para_score": """
+        SELECT question_id, chunk_id, any_value(chars) AS chars, round(sum(weight * idf * part), 9) AS score
+        FROM ask_term JOIN para_stat USING (pool, term) JOIN para_term USING (pool, term) GROUP BY ALL""",
+})
+
 ORACLES = {
+    "paragraph_terms": sql("SELECT pool, term, df, round(idf, 9) AS idf, round(most, 9) AS most FROM para_stat"),
+    "bm25_paragraphs": sql("""
+        SELECT question_id, chunk_id, round(score, 6) AS score, place FROM (
+            SELECT *, sum(chars) OVER (PARTITION BY question_id ORDER BY place) AS size FROM (
+                SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS place FROM para_score WHERE score > 0) AS a
+            WHERE place <= 8) AS b
+        WHERE size <= 7000"""),
     "company_search": sql("""
         SELECT query, position, rank, place FROM (
             SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, position) AS place FROM (

@@ -1,10 +1,13 @@
 """Company search, passages of sections, and ranking of passages for a question."""
 
-from pyspark.sql import Window
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arith import col, once
+from ..session import checkpointed
 from .latest import top_n
 
 # FIXED VALUES: retrieval.
@@ -72,37 +75,85 @@ def search_terms(text):
 
 
 def postings(passages, pool="pool", key="chunk_id", text="chunk"):
-    """(pool, chunk, term, tf, length): one row per distinct term of a passage."""
+    """(pool, chunk, term, tf, length, chars, lead): one row per distinct term of a passage; ``lead`` marks one row of each passage."""
     rows = once(passages.select(pool, key, F.col(text)), terms=search_terms(text))
-    tf = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")))
-    return rows.select(pool, key, F.size("terms").alias("length"), F.length(text).alias("chars"), F.inline_outer(tf))
+    tf = F.transform(F.array_distinct("terms"), lambda t, i: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf"), (i == 0).alias("lead")))
+    rows = rows.select(pool, key, F.size("terms").alias("length"), F.length(text).alias("chars"), F.inline_outer(tf))
+    return rows.withColumn("lead", F.coalesce("lead", F.lit(True)))
+
+
+#: Parts that the postings of a term are dealt into, so that a term that most passages have is no single task.
+SLICES = 16
+#: What sums of doubles may differ by.
+EPSILON = 1e-7
+
+
+class PassageIndex(NamedTuple):
+    """A stored inverted index: its postings, the terms of each pool with their frequency and the most they can add, the pools."""
+
+    postings: DataFrame
+    terms: DataFrame
+    pools: DataFrame
+
 
+def _saturated(average="average"):
+    return F.col("tf") * 2.2 / (F.col("tf") + (F.col("length") / F.col(average) * 0.75 + 0.25) * 1.2)
 
-def rank_passages(passages, questions, pool="pool", key="chunk_id", text="chunk"):
-    """The passages answering each question: BM25, best eight within 7 000 characters.
+
+def passage_index(passages, pool="pool", key="chunk_id", text="chunk"):
+    """Passages as an inverted index, built once for all questions."""
+    rows = postings(passages, pool, key, text).select(F.col(pool).alias("pool"), F.col(key).alias("key"), "term", "tf", "length", "chars", "lead")
+    rows = checkpointed(rows.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(SLICES)).cast("int")))
+    own = F.when(F.col("lead"), F.col("length"))
+    pools = checkpointed(rows.groupBy("pool").agg(F.count(own).alias("n"), (F.sum(own) / F.count(own)).alias("average")))
+    terms = rows.where(F.col("term").isNotNull()).join(pools, "pool").groupBy("pool", "term").agg(
+        F.count(F.lit(1)).alias("df"), F.max(_saturated()).alias("most"))
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = checkpointed(terms.join(pools, "pool").select("pool", "term", "df", "average", "most", idf.alias("idf")))
+    return PassageIndex(rows.drop("lead"), terms, pools)
+
+
+def _met(asked, index):
+    """The postings of asked terms, with what each adds to its question's score; postings of a term come from all its slices."""
+    dealt = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return dealt.join(index.postings, ["pool", "term", "slice"]).withColumn("part", F.col("w") * _saturated())
+
+
+def rank_passages(index, questions, pool="pool"):
+    """The passages answering each question: BM25, best eight within 7 000 characters.
 
     ``questions``: question_id, pool, question, follow_up (the question before,
-    at half weight).  Term statistics are counted per (pool, term) with partial
-    aggregation; scores are summed map-side before the shuffle by question.
+    at half weight).  The eighth best score by each question's strongest term
+    alone is a floor.  Terms that cannot reach it together need not be looked up:
+    passages are found by the others, dropped where even all the rest would
+    not bring them to the floor, and only for those left the rest is fetched by
+    passage.  So a common term is read as far as it can matter.
     """
-    index = postings(passages, pool, key, text)
-    lengths = index.select(pool, key, "length").distinct().groupBy(pool).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
-    frequency = index.where(F.col("term").isNotNull()).groupBy(pool, "term").agg(F.count(F.lit(1)).alias("df"))
     weights = F.concat(
         F.transform(F.array_distinct(search_terms("question")), lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("weight"))),
         F.transform(F.array_distinct(search_terms(F.coalesce("follow_up", F.lit("")))), lambda t: F.struct(t.alias("term"), F.lit(0.5).alias("weight"))))
-    asked = questions.select("question_id", pool, F.inline_outer(weights)).where(F.col("term").isNotNull()).groupBy(
-        "question_id", pool, "term").agg(F.max("weight").alias("weight"))
-    asked = asked.join(frequency, [pool, "term"]).join(lengths, pool)
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = asked.select("question_id", pool, "term", "average", (F.col("weight") * idf).alias("w"))
-    part = F.col("w") * F.col("tf") * 2.2 / (F.col("tf") + (F.col("length") / F.col("average") * 0.75 + 0.25) * 1.2)
-    scored = asked.join(index, [pool, "term"]).groupBy("question_id", key).agg(
-        F.sum(part).alias("score"), F.first("chars").alias("chars")).where(F.col("score") > 0)
-    best = top_n(scored.withColumn("score", F.round("score", 9)), ["question_id"], [F.desc("score"), F.col(key)], MAX_PASSAGES, "place")
+    asked = questions.select("question_id", F.col(pool).alias("pool"), F.inline_outer(weights)).where(F.col("term").isNotNull()).groupBy(
+        "question_id", "pool", "term").agg(F.max("weight").alias("weight"))
+    asked = asked.join(index.terms, ["pool", "term"]).withColumn("w", F.col("weight") * F.col("idf")).withColumn("bound", F.col("w") * F.col("most"))
+    asked = checkpointed(asked.select("question_id", "pool", "term", "average", "w", "bound"))
+    question = Window.partitionBy("question_id")
+    strongest = F.row_number().over(question.orderBy(F.desc("bound"), "term"))
+    first = _met(asked.withColumn("_n", strongest).where("_n = 1").drop("_n"), index)
+    best = top_n(first.select("question_id", "key", "part"), ["question_id"], [F.desc("part"), F.col("key")], MAX_PASSAGES, "_place")
+    floor = best.where(F.col("_place") == MAX_PASSAGES).select("question_id", F.col("part").alias("floor"))
+    below = F.sum("bound").over(question.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    asked = asked.join(floor, "question_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - EPSILON)
+    asked = checkpointed(asked.withColumn("needed", below >= F.col("floor")))
+    rest = asked.groupBy("question_id").agg(F.sum(F.when(F.col("needed"), 0.0).otherwise(F.col("bound"))).alias("rest"))
+    found = _met(asked.where("needed"), index).groupBy("question_id", "pool", "key").agg(
+        F.sum("part").alias("sure"), F.first("chars").alias("chars"), F.first("floor").alias("floor"))
+    found = checkpointed(found.join(rest, "question_id").where(F.col("sure") + F.col("rest") >= F.col("floor")))
+    more = found.select("question_id", "key").join(asked.where("NOT needed"), "question_id").join(
+        index.postings, ["pool", "key", "term"]).groupBy("question_id", "key").agg(F.sum(F.col("w") * _saturated()).alias("more"))
+    scored = found.join(more, ["question_id", "key"], "left").withColumn("score", F.round(F.col("sure") + F.coalesce("more", F.lit(0.0)), 9)).where("score > 0")
+    ranked = top_n(scored.select("question_id", "key", "score", "chars"), ["question_id"], [F.desc("score"), F.col("key")], MAX_PASSAGES, "place")
     running = Window.partitionBy("question_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return best.withColumn("size", F.sum("chars").over(running)).where(F.col("size") <= PASSAGE_BUDGET).drop("size")
+    return ranked.withColumn("size", F.sum("chars").over(running)).where(F.col("size") <= PASSAGE_BUDGET).drop("size")
 
 
 def recent_turns(turns, key="conv_id"):
