@@ -75,6 +75,14 @@ def keyed(docs, text, doc, length=LENGTH):
     return by_batches(rows, run, fields)
 
 
+def stored_by(rows, column, name):
+    """Rows written to the shared folder, in a folder for each value of a column, and read back."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.partitionBy(column).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 class Run(NamedTuple):
     """A run as a bucketed table, and the folder of its files."""
 
@@ -164,7 +172,7 @@ def without_repeated_lines(docs, text="text", doc="doc_id", keep=("doc_id",), ke
     """
     spark, keep = docs.sparkSession, list(keep)
     source = docs.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keep)], F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
-    found = stored(keyed(dealt(source.select("doc", "text"), "doc", batches), "text", "doc", length), "line-keys", by="batch")
+    found = stored_by(keyed(dealt(source.select("doc", "text"), "doc", batches), "text", "doc", length), "batch", "line-keys")
     index = LineRuns(spark, fanout)
     for number in range(batches):
         index.add(found.where(F.col("batch") == number))
