@@ -2,6 +2,7 @@
 
 import html as entities
 import re
+from bisect import bisect_left
 
 #: Fixed values of the HTML language: elements without content, elements whose content is no markup, elements that start a block of text,
 #: and for an element the open ones that it ends.
@@ -21,8 +22,11 @@ ENDS = {
     "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}),
 }
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)>""", re.S)
+#: What a mark-up character begins: a comment, a declaration, or the name of a tag.
+OPENING = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: The rest of most tags; whatever is longer or stranger is scanned by ``TagEnds``.
+PLAIN_REST = re.compile(r"""[^<>"']*(?:(?:"[^"<>]{0,200}"|'[^'<>]{0,200}')[^<>"']*){0,50}>""")
+SPECIAL = re.compile(r"""["'>]""")
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -55,57 +59,135 @@ class Node:
                 yield name.lower(), [w for w in re.split(r"[^a-z]+", value.lower()) if w]
 
 
-def _open_until(node, names, stops):
-    """The nearest open element with one of the names, looked for up to one of ``stops``."""
-    while node is not None:
-        if node.tag in names:
-            return node
-        if node.tag in stops:
-            return None
-        node = node.parent
-    return None
+class TagEnds:
+    """Where tags of one page end: at the first ``>`` outside quotes, or at the first of all where quotes don't close.
+
+    A scan goes from quote to closing quote; what follows depends on the place
+    alone, so it is remembered for each place, and all scans of a page together
+    take as many steps as it has quotes.
+    """
+
+    def __init__(self, text):
+        self.text = text
+        self.at = [m.start() for m in SPECIAL.finditer(text)]
+        self.places = {mark: [p for p in self.at if text[p] == mark] for mark in "\"'>"}
+        self.known = {}
+
+    def _next(self, mark, start):
+        places = self.places[mark]
+        i = bisect_left(places, start)
+        return places[i] if i < len(places) else -1
+
+    def _outside(self, start):
+        passed, end = [], -1
+        while True:
+            i = bisect_left(self.at, start)
+            if i == len(self.at):
+                break
+            place = self.at[i]
+            if place in self.known:
+                end = self.known[place]
+                break
+            passed.append(place)
+            mark = self.text[place]
+            if mark == ">":
+                end = place
+                break
+            close = self._next(mark, place + 1)
+            if close < 0:
+                break
+            start = close + 1
+        for place in passed:
+            self.known[place] = end
+        return end
+
+    def after(self, start):
+        """Where the tag whose name ends at ``start`` ends, or -1."""
+        end = self._outside(start)
+        return end if end >= 0 else self._next(">", start)
+
+
+class Path:
+    """The open elements from the page down, with the depths at which each tag is open; no step looks at more than it closes."""
+
+    def __init__(self, root):
+        self.nodes, self.depths = [root], {}
+
+    @property
+    def now(self):
+        return self.nodes[-1]
+
+    def open(self, node):
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def nearest(self, tags):
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def close(self, tags, stops=()):
+        """Closes the nearest open element with one of the tags, unless a stop is nearer; whether there was one."""
+        depth = self.nearest(tags)
+        if not depth or depth < self.nearest(stops):
+            return False
+        while len(self.nodes) > depth:
+            self.depths[self.nodes.pop().tag].pop()
+        return True
+
+
+P_STOPS = ("table", "td", "th", "button")
 
 
 def parse(text):
-    """The tree of a page; any text gives one.  Elements that are not closed end where their parent does."""
+    """The tree of a page in time that grows with its length; any text gives one.  Elements that are not closed end where their parent does."""
     root = Node("#page", "", None)
-    now, at, n = root, 0, len(text)
-    find = TOKEN.search
+    path, at, n, ends = Path(root), 0, len(text), None
+    find, rest, said = OPENING.search, PLAIN_REST.match, 0
     while at < n:
         m = find(text, at)
         if m is None:
-            now.children.append(text[at:])
             break
-        if m.start() > at:
-            now.children.append(text[at:m.start()])
         at = m.end()
+        if m[2]:
+            plain = rest(text, at)
+            if plain:
+                stop = plain.end()
+            else:
+                ends = ends or TagEnds(text)
+                stop = ends.after(at) + 1
+                if not stop:  # no tag, since nothing ends it
+                    at = m.start() + 1
+                    continue
+            raw, at = text[at:stop - 1], stop
+        if m.start() > said:
+            path.now.children.append(text[said:m.start()])
+        said = at
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            found = _open_until(now, (tag,), ())
-            if found is not None and found is not root:
-                now = found.parent
+            path.close((tag,))
             continue
         if tag in ENDS_P:
-            found = _open_until(now, ("p",), ("table", "td", "th", "button", "#page"))
-            if found is not None:
-                now = found.parent
+            path.close(("p",), P_STOPS)
         if tag in ENDS:
-            names, stops = ENDS[tag]
-            while (found := _open_until(now, names, stops)) is not None:
-                now = found.parent
-        node = Node(tag, m[3], now)
-        now.children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+            while path.close(*ENDS[tag]):
+                pass
+        node = Node(tag, raw, path.now)
+        path.now.children.append(node)
+        if tag in VOID or raw.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(text, at)
-            if end.start() > at:
-                node.children.append(text[at:end.start()])
-            at = max(end.end(), at)
+            # the first end tag counts if anything closes it; if not, no later one is closed either
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(text, at)
+            close = text.find(">", end.end()) if end else -1
+            stop = end.start() if close >= 0 else n
+            if stop > at:
+                node.children.append(text[at:stop])
+            at = said = close + 1 if close >= 0 else n
             continue
-        now = node
+        path.open(node)
+    if said < n:
+        path.now.children.append(text[said:])
     return root
 
 

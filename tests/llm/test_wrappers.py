@@ -1,12 +1,14 @@
 import html
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioscope.llm import queries
+from folioscope.llm import dom, queries
 from folioscope.llm import wrappers as op
 from folioscope.llm.dom import blocks, parse
 
@@ -158,3 +160,83 @@ def test_given_pages_without_their_marks(spark):
     assert bare.where("html RLIKE '(?i)<(article|main)|itemprop|role='").count() == 0
     want = sorted((p.page_id, p.url, plain(p.html)) for p in pages.collect())
     assert sorted(tuple(r) for r in op.extracted(bare).collect()) == want
+
+
+WHOLE_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)>""", re.S)
+
+
+def plain_tree(text):
+    """The tree as the rules tell it, climbing from each element, by one expression for all tokens."""
+    root = dom.Node("#page", "", None)
+    now, at, n = root, 0, len(text)
+
+    def nearest(node, names, stops):
+        while node is not None and node.tag not in names:
+            node = None if node.tag in stops else node.parent
+        return node
+
+    while at < n:
+        m = WHOLE_TOKEN.search(text, at)
+        if m is None or m.start() > at:
+            now.children.append(text[at:m.start() if m else n])
+        if m is None:
+            break
+        at = m.end()
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            now = getattr(nearest(now, (tag,), ()), "parent", now)
+            continue
+        if tag in dom.ENDS_P:
+            now = getattr(nearest(now, ("p",), ("table", "td", "th", "button")), "parent", now)
+        if tag in dom.ENDS:
+            while (found := nearest(now, *dom.ENDS[tag])) is not None:
+                now = found.parent
+        node = dom.Node(tag, m[3], now)
+        now.children.append(node)
+        if tag in dom.VOID or m[3].endswith("/") and tag not in dom.BLOCK and tag not in dom.RAW:
+            continue
+        if tag in dom.RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(text, at)
+            if end.start() > at:
+                node.children.append(text[at:end.start()])
+            at = max(end.end(), at)
+            continue
+        now = node
+    return root
+
+
+def listed(node):
+    """A tree as nested lists; strings that follow one another are one."""
+    out, text = [], ""
+    for child in [*node.children, None]:
+        if isinstance(child, str):
+            text += child
+            continue
+        out += [text] if text else []
+        text = ""
+        if child is not None:
+            out.append((child.tag, child.raw, listed(child)))
+    return out
+
+
+def test_trees_of_any_markup():
+    rng = random.Random(12)
+    pieces = ["<", ">", "/", '"', "'", "=", " ", "a", "x", "<p>", "<div class='b c'>", "</div>", "<li>", "<ul>", "</ul>", "<table>", "<td>", "<tr>", "</p>", "<b>", "</i>",
+              "<script>", "</script", "</script>", "<!--", "-->", "<!d", '<a href="x>y">', "<a b='", "<br/>", "<img ", "<textarea>", "</textarea >", "<p" + " k='v'" * 60 + ">",
+              '<a t="' + "z" * 300 + '">']
+    for _ in range(6000):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 14)))
+        assert listed(dom.parse(text)) == listed(plain_tree(text)), text
+
+
+@pytest.mark.parametrize("text", [
+    '<a "' * 250_000, '<a "' * 250_000 + ">", "<b>" * 160_000 + "</i>" * 130_000, "<ul><li>" * 125_000, "<p><table><td>" + "<div>" * 200_000, "<a " * 330_000, "<a '\"" * 200_000,
+    "<script>" + "</script " * 110_000, "<!--" * 250_000, "<" * 1_000_000, "<p>" * 330_000, "<tr><td>" * 125_000, "<a b=\"<\" c='>'>" * 60_000],
+    ids=lambda t: t[:12].replace(" ", "_"))
+def test_a_megabyte_of_hostile_markup_takes_seconds(text):
+    start = time.time()
+    dom.parse(text)
+    assert time.time() - start < 8
