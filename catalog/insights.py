@@ -12,7 +12,6 @@ from folioscope.plans import metrics, twins
 from folioscope.plans import views as pv
 from folioscope.sources import listings as ls
 
-from .changes import _scored
 from .views import sql
 
 
