@@ -482,3 +482,10 @@ ORACLES["omitted_rows"] = sql(f"""
                 THEN 'only_in_annual_reports' ELSE 'not_found' END AS reason
     FROM (SELECT company_id, unnest([{", ".join(f"'{k}'" for k in pv.KEY_ROWS)}]) AS k FROM profile WHERE NOT is_bank) AS x
     WHERE NOT EXISTS (SELECT 1 FROM shown AS s WHERE s.company_id = x.company_id AND s.k = x.k AND NOT s.annual)""")
+
+ORACLES["explained_figures"] = f"""
+    SELECT u.company_id, row_key, u.fiscal_year, u.fiscal_period, kind, CASE WHEN abs(i.value) >= abs(u.excess) * 0.4::double THEN i.value END AS item_value
+    FROM (SELECT *, value - coalesce((before + after) / 2, before, after) AS excess FROM ({ORACLES["unusual_figures"]}) AS a) AS u
+    LEFT JOIN (SELECT company_id, fiscal_year, fiscal_period, value > 30000 AS charge, max_by(value, (abs(value), fact_key)) AS value
+               FROM ({ORACLES["one_off_items"]}) AS b WHERE value <> 0 GROUP BY ALL) AS i
+         ON i.company_id = u.company_id AND i.fiscal_year = u.fiscal_year AND i.fiscal_period = u.fiscal_period AND i.charge = (u.excess < 0)"""
