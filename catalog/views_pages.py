@@ -13,6 +13,7 @@ from folioscope.plans import metrics, twins
 from folioscope.plans import views as pv
 from folioscope.session import checkpointed
 
+from .changes import ORACLES as CHANGES
 from .changes import _scored, day
 from .views import VIEWS, sql
 from .wording import _TRIGGER_LIST
@@ -132,8 +133,13 @@ def first_itemized(spark, d):
 
 
 def possible_replacements(spark, d):
+    """Every second disclosure line goes by another name in a company's latest report."""
     facts, filings = twins.facts(spark, d), twins.filings(spark, d)
-    one = facts.withColumn("xbrl_concept", F.col("category"))
+    latest = filings.groupBy("company_id").agg(F.max("filing_id").alias("_latest"))
+    line = F.element_at(F.split("fact_key", "_"), -1).try_cast("int")
+    renamed = F.col("canonical_metric").isNull() & (line % 2 == 0) & (F.col("filing_id") == F.col("_latest"))
+    one = facts.join(latest, "company_id").withColumn("xbrl_concept", F.col("category")).withColumn(
+        "fact_key", F.when(renamed, F.concat("fact_key", F.lit("_renamed"))).otherwise(F.col("fact_key"))).drop("_latest")
     p = nc.possible_replacements(nc.numeric_changes(one, filings))
     return p.select("company_id", "category", "removed_key", "added_key", F.col("position").cast("long").alias("position"))
 
@@ -489,3 +495,16 @@ ORACLES["explained_figures"] = f"""
     LEFT JOIN (SELECT company_id, fiscal_year, fiscal_period, value > 30000 AS charge, max_by(value, (abs(value), fact_key)) AS value
                FROM ({ORACLES["one_off_items"]}) AS b WHERE value <> 0 GROUP BY ALL) AS i
          ON i.company_id = u.company_id AND i.fiscal_year = u.fiscal_year AND i.fiscal_period = u.fiscal_period AND i.charge = (u.excess < 0)"""
+
+_RENAMED = """SELECT f.* REPLACE (CASE WHEN canonical_metric IS NULL AND try_cast(string_split(fact_key, '_')[-1] AS int) % 2 = 0 AND filing_id = latest
+                                       THEN fact_key || '_renamed' ELSE fact_key END AS fact_key)
+              FROM fact_before AS f JOIN (SELECT company_id AS c, max(filing_id) AS latest FROM fact_before GROUP BY ALL) AS l ON c = company_id"""
+ORACLES["possible_replacements"] = """
+    SELECT company_id, category, removed_key, added_key, position FROM (
+        SELECT r.company_id, r.category, r.fact_key AS removed_key, a.fact_key AS added_key,
+               row_number() OVER (PARTITION BY r.company_id, r.category, r.fact_key ORDER BY a.fact_key) AS position
+        FROM (SELECT DISTINCT company_id, category, fact_key FROM ({0}) AS x WHERE change_type = 'removed') AS r
+        JOIN (SELECT DISTINCT company_id, category, fact_key FROM ({0}) AS y WHERE change_type = 'new') AS a
+             ON a.company_id = r.company_id AND a.category = r.category) AS p
+    WHERE position <= 4""".format(CHANGES["numeric_changes"].replace(
+        f"fact AS MATERIALIZED ({VIEWS['fact']})", f"fact_before AS MATERIALIZED ({VIEWS['fact']}), fact AS MATERIALIZED ({_RENAMED})"))
