@@ -124,10 +124,13 @@ def share_sets(spark, d):
 
 
 def first_itemized(spark, d):
+    """Every disclosure line is there twice; debt and guarantees are tagged in a company's latest report only."""
     facts, filings = twins.facts(spark, d), twins.filings(spark, d)
     bases = fo.report_bases(filings)
-    one = facts.withColumn("xbrl_concept", F.concat(F.col("category"), F.col("period_type"))).where(
-        ~((F.col("category") == "debt") & (F.col("fiscal_year") < 2001)))
+    twice = facts.where("canonical_metric IS NULL").withColumns({"fact_key": F.concat("fact_key", F.lit("_b")), "fact_id": F.concat("fact_id", F.lit("b"))})
+    latest = filings.groupBy("company_id").agg(F.max("filing_id").alias("_latest"))
+    late = F.col("category").isin("debt", "guarantee") & (F.col("filing_id") != F.col("_latest"))
+    one = facts.unionByName(twice).join(latest, "company_id").where(~late).drop("_latest").withColumn("xbrl_concept", F.col("category"))
     changes = nc.numeric_changes(one, filings, bases=bases)
     return nc.first_itemized(changes, one, bases).select("company_id", "fact_key", "change_type", "first_itemized")
 
@@ -508,3 +511,14 @@ ORACLES["possible_replacements"] = """
              ON a.company_id = r.company_id AND a.category = r.category) AS p
     WHERE position <= 4""".format(CHANGES["numeric_changes"].replace(
         f"fact AS MATERIALIZED ({VIEWS['fact']})", f"fact_before AS MATERIALIZED ({VIEWS['fact']}), fact AS MATERIALIZED ({_RENAMED})"))
+
+_TWICE = """SELECT f.* FROM (SELECT * FROM fact_before UNION ALL
+                             SELECT * REPLACE (fact_key || '_b' AS fact_key, fact_id || 'b' AS fact_id) FROM fact_before WHERE canonical_metric IS NULL) AS f
+            JOIN (SELECT company_id AS c, max(filing_id) AS latest FROM fact_before GROUP BY ALL) AS l ON c = company_id
+            WHERE NOT (category IN ('debt', 'guarantee') AND filing_id <> latest)"""
+ORACLES["first_itemized"] = sql("""
+    SELECT company_id, fact_key, change_type, CASE WHEN change_type = 'new' AND fresh AND n >= 3 THEN category || ':' || category END AS first_itemized FROM (
+        SELECT c.*, count(*) FILTER (c.change_type = 'new') OVER (PARTITION BY c.company_id, c.category) AS n,
+               NOT EXISTS (SELECT 1 FROM fact AS f WHERE f.company_id = c.company_id AND f.category = c.category AND f.filing_id <> b.latest_filing) AS fresh
+        FROM change AS c JOIN bases AS b ON b.company_id = c.company_id WHERE c.change_type IS NOT NULL) AS x""").replace(
+    f"fact AS MATERIALIZED ({VIEWS['fact']})", f"fact_before AS MATERIALIZED ({VIEWS['fact']}), fact AS MATERIALIZED ({_TWICE})")
