@@ -22,10 +22,10 @@ ENDS = {
     "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}),
 }
 
-#: What a mark-up character begins: a comment, a declaration, or the name of a tag.
-OPENING = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
-#: The rest of most tags; whatever is longer or stranger is scanned by ``TagEnds``.
-PLAIN_REST = re.compile(r"""[^<>"']*(?:(?:"[^"<>]{0,200}"|'[^'<>]{0,200}')[^<>"']*){0,50}>""")
+#: What a mark-up character begins: a comment, a declaration, or a tag: its name, and its rest if that is plain.  Rests that are longer or
+#: stranger are scanned by ``TagEnds``.
+OPENING = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:([^<>"']*(?:(?:"[^"<>]{0,200}"|'[^'<>]{0,200}')[^<>"']*){0,50})>)?""", re.S)
 SPECIAL = re.compile(r"""["'>]""")
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -113,24 +113,26 @@ class Path:
     def __init__(self, root):
         self.nodes, self.depths = [root], {}
 
-    @property
-    def now(self):
-        return self.nodes[-1]
-
     def open(self, node):
         self.depths.setdefault(node.tag, []).append(len(self.nodes))
         self.nodes.append(node)
 
-    def nearest(self, tags):
-        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
-
     def close(self, tags, stops=()):
         """Closes the nearest open element with one of the tags, unless a stop is nearer; whether there was one."""
-        depth = self.nearest(tags)
-        if not depth or depth < self.nearest(stops):
+        depths, depth = self.depths, 0
+        for tag in tags:
+            at = depths.get(tag)
+            if at and at[-1] > depth:
+                depth = at[-1]
+        if not depth:
             return False
-        while len(self.nodes) > depth:
-            self.depths[self.nodes.pop().tag].pop()
+        for tag in stops:
+            at = depths.get(tag)
+            if at and at[-1] > depth:
+                return False
+        nodes = self.nodes
+        while len(nodes) > depth:
+            depths[nodes.pop().tag].pop()
         return True
 
 
@@ -141,30 +143,27 @@ def parse(text):
     """The tree of a page in time that grows with its length; any text gives one.  Elements that are not closed end where their parent does."""
     root = Node("#page", "", None)
     path, at, n, ends = Path(root), 0, len(text), None
-    find, rest, said = OPENING.search, PLAIN_REST.match, 0
+    find, said, nodes = OPENING.search, 0, path.nodes
     while at < n:
         m = find(text, at)
         if m is None:
             break
-        at = m.end()
-        if m[2]:
-            plain = rest(text, at)
-            if plain:
-                stop = plain.end()
-            else:
-                ends = ends or TagEnds(text)
-                stop = ends.after(at) + 1
-                if not stop:  # no tag, since nothing ends it
-                    at = m.start() + 1
-                    continue
+        start, at = m.span()
+        slash, name, raw = m.groups()
+        if name and raw is None:
+            ends = ends or TagEnds(text)
+            stop = ends.after(at) + 1
+            if not stop:  # no tag, since nothing ends it
+                at = start + 1
+                continue
             raw, at = text[at:stop - 1], stop
-        if m.start() > said:
-            path.now.children.append(text[said:m.start()])
+        if start > said:
+            nodes[-1].children.append(text[said:start])
         said = at
-        if not m[2]:
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if slash:
             path.close((tag,))
             continue
         if tag in ENDS_P:
@@ -172,8 +171,9 @@ def parse(text):
         if tag in ENDS:
             while path.close(*ENDS[tag]):
                 pass
-        node = Node(tag, raw, path.now)
-        path.now.children.append(node)
+        now = nodes[-1]
+        node = Node(tag, raw, now)
+        now.children.append(node)
         if tag in VOID or raw.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
@@ -187,7 +187,7 @@ def parse(text):
             continue
         path.open(node)
     if said < n:
-        path.now.children.append(text[said:])
+        nodes[-1].children.append(text[said:])
     return root
 
 
