@@ -54,3 +54,34 @@ def once(df, **columns):
 def gather(df, *keys):
     """One shuffle by ``keys``; adaptive execution chooses the number of tasks."""
     return df.repartition(*keys)
+
+
+def folded(items, state, step, out_type):
+    """The outputs of a left fold over an array, in order, as one array.
+
+    ``step(state, item)`` gives the next state (named as in ``state``) and an
+    array of outputs.  An array is copied whenever it is appended to, so outputs
+    are appended block by block: with blocks of the square root of the length, an
+    array of a million items costs a thousandth of what one growing array would.
+    """
+    none = F.array().cast(f"array<{out_type}>")
+
+    def bound(value, use):
+        """``use`` of a value that is computed once however often it is read."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def one(acc, item):
+        after, outputs = step(acc.state, item)
+        return F.struct(after.alias("state"), F.concat(acc.out, outputs).alias("out"))
+
+    def over(x):
+        def block(acc, start):
+            inner = F.aggregate(F.slice(x["items"], start, x["size"]), F.struct(acc.state.alias("state"), none.alias("out")), one)
+            return bound(inner, lambda y: F.struct(y.state.alias("state"), F.concat(acc.out, F.array(y.out)).alias("out")))
+
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(x["n"], F.lit(1)), x["size"]), lambda i: i <= x["n"])
+        blocks = F.struct(state.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("out"))
+        return F.aggregate(starts, blocks, block, lambda acc: F.struct(acc.state.alias("state"), F.flatten(acc.out).alias("out")))
+
+    sized = bound(items, lambda i: F.struct(i.alias("items"), F.size(i).alias("n"), F.greatest(F.ceil(F.sqrt(F.size(i))), F.lit(1)).cast("int").alias("size")))
+    return bound(sized, over)

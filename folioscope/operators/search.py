@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arith import col, once
+from ..functions.arith import col, folded, once
 from ..session import checkpointed
 from .latest import top_n
 
@@ -52,15 +52,17 @@ def chunk_texts(text):
     """Prose lines merged into passages of about 900 characters; a short tail is dropped."""
     lines = F.transform(F.split(F.regexp_replace(T.plain_spaces(text), T.PAGE_FURNITURE, ""), "\n"), lambda x: F.trim(x))
     prose = F.filter(lines, lambda x: (x != "") & ~(x.rlike(r"\d") & T.is_tabular(x)))
-    start = F.struct(F.lit("").alias("buffer"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
 
-    def step(acc, line):
-        full = (acc.buffer != "") & (F.length(acc.buffer) + F.length(line) > CHUNK_CHARS)
-        joined = F.when(full | (acc.buffer == ""), line).otherwise(F.concat(acc.buffer, F.lit(" "), line))
-        return F.struct(joined.alias("buffer"), F.when(full, F.concat(acc.out, F.array(acc.buffer))).otherwise(acc.out).alias("out"))
+    def step(state, line):
+        buffer = state["buffer"]
+        full = (buffer != "") & (F.length(buffer) + F.length(line) > CHUNK_CHARS)
+        joined = F.when(full | (buffer == ""), line).otherwise(F.concat(buffer, F.lit(" "), line))
+        return F.struct(joined.alias("buffer")), F.when(full, F.array(buffer)).otherwise(none)
 
-    return F.aggregate(prose, start, step, lambda acc: F.when(
-        F.length(acc.buffer) >= MIN_TAIL, F.concat(acc.out, F.array(acc.buffer))).otherwise(acc.out))
+    done = F.transform(F.array(folded(prose, F.struct(F.lit("").alias("buffer")), step, "string")), lambda x: F.when(
+        F.length(x.state.buffer) >= MIN_TAIL, F.concat(x.out, F.array(x.state.buffer))).otherwise(x.out))
+    return F.element_at(done, 1)
 
 
 def chunks(sections, keys, text="text"):
