@@ -9,6 +9,7 @@ from folioscope.operators import verify as v
 from folioscope.plans import twins
 
 from .views import VIEWS, sql
+from .wording import tabular
 
 
 def _companies(spark, d):
@@ -192,14 +193,44 @@ VIEWS.update({
         FROM ask_term JOIN para_stat USING (pool, term) JOIN para_term USING (pool, term) GROUP BY ALL""",
 })
 
-ORACLES = {
-    "paragraph_terms": sql("SELECT pool, term, df, round(idf, 9) AS idf, round(most, 9) AS most FROM para_stat"),
-    "bm25_paragraphs": sql("""
+VIEWS.update({
+    "prose_line": rf"""
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, line FROM (
+            SELECT doc_id, unnest(range(len(lines))) AS i, trim(unnest(lines)) AS line FROM (
+                SELECT doc_id, string_split(regexp_replace(translate(text, '{T.WIDE_SPACES}', '{' ' * len(T.WIDE_SPACES)}'), '{T.PAGE_FURNITURE}', '', 'g'), chr(10)) AS lines
+                FROM section) AS a) AS b
+        WHERE line <> '' AND NOT ({tabular('line')})""",
+    "packed": f"""
+        WITH RECURSIVE r AS (
+            SELECT DISTINCT doc_id, 0::bigint AS i, '' AS buffer, NULL::varchar AS done, 0 AS ordinal FROM prose_line
+            UNION ALL
+            SELECT doc_id, i, CASE WHEN closes OR buffer = '' THEN line ELSE buffer || ' ' || line END, CASE WHEN closes THEN buffer END,
+                   ordinal + closes::int FROM (
+                SELECT r.doc_id, l.i, r.buffer, r.ordinal, l.line, r.buffer <> '' AND length(r.buffer) + length(l.line) > {s.CHUNK_CHARS} AS closes
+                FROM r JOIN prose_line AS l ON l.doc_id = r.doc_id AND l.i = r.i + 1) AS x)
+        SELECT doc_id, ordinal - 1 AS ordinal, done AS chunk FROM r WHERE done IS NOT NULL
+        UNION ALL
+        SELECT * FROM (SELECT doc_id, arg_max(ordinal, i) AS ordinal, arg_max(buffer, i) AS chunk FROM r GROUP BY doc_id) AS t WHERE length(chunk) >= {s.MIN_TAIL}""",
+    "chk": f"""
+        SELECT d.source AS pool, p.doc_id || '-' || p.ordinal AS chunk_id, length(chunk) AS chars, chunk, {_TERMS.format('chunk')} AS terms
+        FROM packed AS p JOIN documents AS d USING (doc_id)""",
+})
+# the statistics and scores of paragraphs, said of chunks
+VIEWS.update({name.replace("para", "chk"): VIEWS[name].replace("para", "chk") for name in ("para_pool", "para_term", "para_stat", "para_score")})
+
+_BEST = """
         SELECT question_id, chunk_id, round(score, 6) AS score, place FROM (
             SELECT *, sum(chars) OVER (PARTITION BY question_id ORDER BY place) AS size FROM (
-                SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS place FROM para_score WHERE score > 0) AS a
+                SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS place FROM {} WHERE score > 0) AS a
             WHERE place <= 8) AS b
-        WHERE size <= 7000"""),
+        WHERE size <= 7000"""
+
+ORACLES = {
+    "section_chunks": sql("SELECT pool, chunk_id, chars, sha1(chunk) AS hash FROM chk"),
+    "term_statistics": sql("SELECT pool, term, count(*) AS df, sum(tf)::bigint AS tf FROM chk_term GROUP BY ALL"),
+    "bm25_top_passages": sql(_BEST.format("chk_score")),
+    "paragraph_terms": sql("SELECT pool, term, df, round(idf, 9) AS idf, round(most, 9) AS most FROM para_stat"),
+    "bm25_paragraphs": sql(_BEST.format("para_score")),
     "company_search": sql("""
         SELECT query, position, rank, place FROM (
             SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, position) AS place FROM (

@@ -92,10 +92,10 @@ def _mark(source):
 def _sentences(source):
     return (f"list_filter(list_transform(string_split({_mark(source)}, chr(10)), "
             r"lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 40 "
-            f"AND NOT regexp_matches(x, '(?i){fv.BOILERPLATE}') AND NOT ({_tabular('x')}))")
+            f"AND NOT regexp_matches(x, '(?i){fv.BOILERPLATE}') AND NOT ({tabular('x')}))")
 
 
-def _tabular(x):
+def tabular(x):
     tokens = rf"string_split_regex(trim({x}), '\s+')"
     figures = rf"len(list_filter({tokens}, lambda t: regexp_matches(t, '{T.FIGURE}')))"
     end = "[.!?:;][”\"'')]*$"
@@ -161,7 +161,48 @@ VIEWS.update({
 _TRIGGER_LIST = "[" + ", ".join(
     "{p: '" + p.replace("'", "''") + f"', phrase: '{phrase}', w: {weight}::double" + "}" for p, phrase, weight in fv.TRIGGERS) + "]"
 
+VIEWS.update({
+    "run_step": f"""
+        WITH RECURSIVE r AS (
+            SELECT DISTINCT pair_id, -1::bigint AS pos, 0 AS n, 0 AS size, 0 AS mine, '' AS s, '' AS status FROM final_status
+            UNION ALL
+            SELECT pair_id, pos, CASE WHEN closes THEN n + 1 ELSE n END, CASE WHEN closes THEN 0 ELSE grown END, n, s, status FROM (
+                SELECT f.pair_id, f.pos, r.n, r.size + length(f.s) AS grown, f.s, f.status,
+                       f.status <> 'new' OR r.size + length(f.s) >= {fv.PASSAGE_CHARS} AS closes
+                FROM r JOIN final_status AS f ON f.pair_id = r.pair_id AND f.pos = r.pos + 1) AS x)
+        SELECT pair_id, pos, mine, s FROM r WHERE status = 'new'""",
+    "unused_base": """
+        SELECT b.pair_id, b.pos, b.s, b.exact FROM unmatched_base AS b
+        WHERE NOT EXISTS (SELECT 1 FROM similar_pair AS m WHERE m.pair_id = b.pair_id AND m.old_exact = b.exact)""",
+    "passage": f"""
+        SELECT pair_id, 'new' AS change_type, 'wording' AS kind, min(pos) AS position, string_agg(s, ' ' ORDER BY pos)[1:{fv.PASSAGE_CHARS}] AS text,
+               NULL::varchar AS base_text FROM run_step GROUP BY pair_id, mine
+        UNION ALL
+        SELECT pair_id, 'changed', CASE status WHEN 'numbers' THEN 'numbers' ELSE 'wording' END, pos, s, old_text
+        FROM final_status WHERE status IN ('numbers', 'reworded')
+        UNION ALL
+        SELECT pair_id, 'removed', 'wording', min(pos) + coalesce(any_value(news), 0), string_agg(s, ' ' ORDER BY pos)[1:{fv.PASSAGE_CHARS}], NULL
+        FROM (SELECT *, pos - row_number() OVER (PARTITION BY pair_id ORDER BY pos) AS island FROM unused_base) AS u
+        LEFT JOIN (SELECT pair_id, count(*) AS news FROM final_status GROUP BY pair_id) AS c USING (pair_id)
+        WHERE pair_id % 2 = 0 GROUP BY pair_id, island""",
+    "passage_trigger": f"""
+        SELECT pair_id, change_type, position, count(*) AS n_triggers, max(weight) AS top_weight FROM (
+            SELECT pair_id, change_type, position, t.p, max(CASE WHEN realized THEN t.w ELSE round(t.w * 0.5::double, 3) END) AS weight
+            FROM (SELECT *, regexp_matches(u, '(?i){fv.REALIZED}') AND NOT regexp_matches(u, '(?i){fv.HYPOTHETICAL}') AS realized FROM (
+                      SELECT pair_id, change_type, position, unnest(CASE WHEN len(units) > 0 THEN units ELSE [text] END) AS u FROM (
+                          SELECT *, {_sentences('text')} AS units FROM passage) AS a) AS b) AS c,
+                 (SELECT unnest({_TRIGGER_LIST}) AS t) AS d
+            WHERE regexp_matches(u, '(?i)' || t.p)
+              AND NOT (t.phrase = 'restatement' AND regexp_matches(u, '(?i){fv.PRESENTATION_RESTATEMENT}')) GROUP BY ALL) AS e
+        GROUP BY ALL""",
+})
+
 ORACLES = {
+    "section_passages": sql(f"""
+        SELECT pair_id, change_type, kind, position, sha1(text) AS text_hash, coalesce(n_triggers, 0) AS n_triggers, top_weight,
+               (base_text IS NOT NULL AND regexp_matches(coalesce(base_text, ''), '(?i){fv.HYPOTHETICAL}')
+                AND NOT regexp_matches(text, '(?i){fv.HYPOTHETICAL}') AND regexp_matches(text, '(?i){fv.REALIZED}'))::int AS modality_shift
+        FROM passage LEFT JOIN passage_trigger USING (pair_id, change_type, position)"""),
     "sentence_fingerprints": sql("SELECT doc_id, pos, length(s) AS chars, exact, masked FROM fingerprint"),
     "sentence_status": sql("SELECT pair_id, pos, status, sha1(old_text) AS old_hash FROM final_status"),
     "diff_counts": sql("""
