@@ -17,37 +17,90 @@ it its of on or our so than that the their them then there these they this to up
 while who why will with would you your about any company companies filing filings tell me please much many""".split()
 
 
-def search_companies(companies, queries, k=10):
+#: Letters and spaces of the longest query that is answered from stored lists alone: three letters, spaced.
+SHORT = 5
+#: Parts that the postings of a term are dealt into, so that a term that most passages (or names) have is no single task.
+SLICES = 16
+
+
+class CompanyIndex(NamedTuple):
+    """Stored lists: the best of every short beginning and piece, the names by piece, how many names have a piece."""
+
+    levels: DataFrame
+    names: DataFrame
+    frequency: DataFrame
+
+
+def _pieces(compact):
+    """The three-letter pieces of a compact name, each once."""
+    last = F.greatest(F.length(compact) - 2, F.lit(0))
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(compact, i, F.lit(3))))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def company_index(companies, k=10):
+    """What company search reads.
+
+    ``companies``: position, ticker, norm_name, compact_name.  Each beginning of a
+    ticker, each short beginning of a name or of the rest of it from a word on,
+    and each piece keeps its best k companies: a list a key, whatever the number
+    of companies, reduced before the shuffle.
+    """
+    def starts(mark, value, rank, limit, exact=None):
+        most = F.least(F.length(value), F.lit(limit))
+        cut = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+        return F.transform(cut, lambda n: F.struct(
+            F.concat(F.lit(mark), F.substr(value, F.lit(1), n)).alias("key"),
+            (F.when(n == F.length(value), exact).otherwise(rank) if exact is not None else F.lit(rank)).alias("rank")))
+
+    name, compact = F.col("norm_name"), F.col("compact_name")
+    words = F.split(name, " ")
+    rests = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.lit(SHORT)), " "))
+    inside = F.flatten(F.transform(rests, lambda rest: starts("w:", rest, 3, SHORT)))
+    pieces = F.transform(_pieces(compact), lambda g: F.struct(F.concat(F.lit("g:"), g).alias("key"), F.lit(4).alias("rank")))
+    keys = F.array_distinct(F.concat(starts("t:", F.col("ticker"), 1, 2**30, exact=0), starts("n:", name, 2, SHORT), inside, pieces))
+    offered = companies.select("position", "ticker", F.inline(keys))
+    levels = checkpointed(top_n(offered, ["key"], ["rank", "position"], k, "_place").drop("_place"))
+    by_piece = companies.select("position", "ticker", "norm_name", "compact_name", F.explode(_pieces(compact)).alias("piece"))
+    names = checkpointed(by_piece.withColumn("slice", F.pmod(F.xxhash64("position"), F.lit(SLICES)).cast("int")))
+    return CompanyIndex(levels, names, checkpointed(names.groupBy("piece").agg(F.count(F.lit(1)).alias("df"))))
+
+
+def find_companies(index, queries, k=10):
     """The best k companies per query: exact ticker, ticker prefix, name start, word start, part of the name.
 
-    ``companies``: position, ticker, norm_name, compact_name; ``queries``:
-    query.  Candidates meet on a short key (ticker, first letter of a word, or a
-    three-letter piece of the compact name) and are then ranked by the full rule.
+    ``k`` is at most what the index was built with.  A query of up to three
+    letters reads its stored lists only.  That is exact: a company missing from
+    the list of its rank has k others before it there, and each of these comes out
+    with that rank or a better one.  A longer query meets names on its rarest
+    piece and checks them by the full rule; its ticker ranks come from the lists.
     """
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("compact_name") - 2, F.lit(1))), lambda i: F.concat(
-        F.lit("g:"), F.substr(F.col("compact_name"), i, F.lit(3))))
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("ticker"), F.lit(1))), lambda n: F.concat(
-        F.lit("t:"), F.substr(F.col("ticker"), F.lit(1), n)))
-    initials = F.transform(F.split("norm_name", " "), lambda w: F.concat(F.lit("w:"), F.substring(w, 1, 1)))
-    offered = companies.select("position", "ticker", "norm_name", "compact_name", F.explode_outer(
-        F.array_distinct(F.concat(grams, prefixes, initials))).alias("key"))
     q = once(queries.select("query").distinct(), ticker_q=F.replace(F.upper(F.trim("query")), F.lit("."), F.lit("-")),
              name_q=T.normalized_name("query")).where(F.col("ticker_q") != "")
     q = q.withColumn("compact_q", F.replace("name_q", F.lit(" "), F.lit("")))
-    by_name = F.when(F.length("compact_q") >= 3, F.concat(F.lit("g:"), F.substring("compact_q", 1, 3))).when(
-        F.col("name_q") != "", F.concat(F.lit("w:"), F.substring("name_q", 1, 1)))
-    asked = q.withColumn("key", F.explode_outer(F.array_compact(F.array(F.concat(F.lit("t:"), F.col("ticker_q")), by_name))))
+    letters = F.length("compact_q")
+    short = letters.between(1, 3)
+    keys = F.array_compact(F.array(
+        F.concat(F.lit("t:"), "ticker_q"), F.when(short, F.concat(F.lit("n:"), "name_q")), F.when(short, F.concat(F.lit("w:"), "name_q")),
+        F.when(letters == 3, F.concat(F.lit("g:"), "compact_q"))))
+    listed = q.select("query", F.explode(keys).alias("key")).join(index.levels, "key").select("query", "position", "ticker", "rank")
+    long = q.where(letters > 3)
+    rarest = long.select("query", F.explode(_pieces(F.col("compact_q"))).alias("piece")).join(index.frequency, "piece", "left").groupBy("query").agg(
+        F.min_by("piece", F.struct(F.coalesce("df", F.lit(0)), F.col("piece"))).alias("piece"))
+    asked = long.join(rarest, "query").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
     name, asked_name = F.col("norm_name"), F.col("name_q")
-    rank = (
-        F.when(F.col("ticker") == F.col("ticker_q"), 0).when(F.startswith("ticker", F.col("ticker_q")), 1)
-        .when((asked_name != "") & F.startswith(name, asked_name), 2)
-        .when((asked_name != "") & F.contains(F.concat(F.lit(" "), name), F.concat(F.lit(" "), asked_name)), 3)
-        .when((F.length("compact_q") >= 3) & F.contains(F.col("compact_name"), F.col("compact_q")), 4))
-    hits = offered.join(asked, "key").withColumn("rank", rank).where(F.col("rank").isNotNull())
-    hits = hits.select("query", "position", "ticker", "rank").distinct()
+    rank = (F.when(F.startswith(name, asked_name), 2).when(F.contains(F.concat(F.lit(" "), name), F.concat(F.lit(" "), asked_name)), 3)
+            .when(F.contains(F.col("compact_name"), F.col("compact_q")), 4))
+    met = asked.join(index.names, ["piece", "slice"]).select("query", "position", "ticker", rank.alias("rank")).where(F.col("rank").isNotNull())
+    hits = listed.unionByName(met).groupBy("query", "position", "ticker").agg(F.min("rank").alias("rank"))
     return top_n(hits, ["query"], ["rank", "position"], k, "place")
 
 
+def search_companies(companies, queries, k=10):
+    """Company search over an index built for it."""
+    return find_companies(company_index(companies, k), queries, k)
+
+
 def chunk_texts(text):
     """Prose lines merged into passages of about 900 characters; a short tail is dropped."""
     lines = F.transform(F.split(F.regexp_replace(T.plain_spaces(text), T.PAGE_FURNITURE, ""), "\n"), lambda x: F.trim(x))
@@ -84,8 +137,6 @@ def postings(passages, pool="pool", key="chunk_id", text="chunk"):
     return rows.withColumn("lead", F.coalesce("lead", F.lit(True)))
 
 
-#: Parts that the postings of a term are dealt into, so that a term that most passages have is no single task.
-SLICES = 16
 #: What sums of doubles may differ by.
 EPSILON = 1e-7
 
