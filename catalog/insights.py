@@ -12,7 +12,8 @@ from folioscope.plans import metrics, twins
 from folioscope.plans import views as pv
 from folioscope.sources import listings as ls
 
-from .views import sql
+from .search import VIEWS, sql
+from .wording import outline_line
 
 
 def _wording(spark, d):
@@ -39,6 +40,26 @@ def digest_lines(spark, d):
     return ins.digest_lines(t, ["revenue", "net_income", "free_cash_flow"]).select("company_id", "line")
 
 
+#: Budgets small enough that the documents exceed them.
+BUDGETS = {"business": 600, "discussion_annual": 1500, "discussion_interim": 900, "risk_outline": 500, "risk_changes": 1200, "risk_updates": 700}
+
+
+def extraction_inputs(spark, d):
+    docs = twins.sections(spark, d)
+    annual = F.col("doc_id") % 2 == 0
+    filings = docs.select(
+        F.col("doc_id").alias("filing_id"), F.col("source").alias("company_id"), F.when(annual, "10-K").otherwise("10-Q").alias("form_type"),
+        (F.col("doc_id") % 20 + 2000).cast("int").alias("fiscal_year"), F.when(annual, "FY").otherwise("Q1").alias("fiscal_period"),
+        F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 9000).cast("int")).alias("period_end"), annual.alias("is_annual"))
+    companies = twins.table(spark, d, "documents").select(F.col("source").alias("company_id")).distinct().select(
+        "company_id", F.concat(F.lit("Company "), "company_id").alias("name"), F.upper("company_id").alias("ticker"), F.lit(None).cast("string").alias("reporting_currency"))
+    kinds = F.array_compact(F.array(F.lit("management_discussion"), F.when(F.col("doc_id") % 3 > 0, "business"), F.when(F.col("doc_id") % 5 > 0, "risk_factors")))
+    sections = docs.select(F.col("doc_id").alias("filing_id"), F.lit(1).alias("ordinal"), "text", F.explode(kinds).alias("category"))
+    bases = twins.section_pairs(spark, d).select(F.col("doc_id").alias("filing_id"), F.col("base_id").alias("base_filing_id"))
+    out = ins.extraction_inputs(companies, filings, sections, bases, BUDGETS)
+    return out.select("company_id", "filing_id", F.length("text").cast("long").alias("chars"), F.sha1("text").alias("hash"))
+
+
 def base_reports(spark, d):
     changes = nc.numeric_changes(twins.facts(spark, d), twins.filings(spark, d)).where(F.col("change_type") == "changed")
     return ins.base_report(changes, twins.filings(spark, d)).select("company_id", "fact_key", "period_type", "base_period_label", "base_report_id")
@@ -99,10 +120,58 @@ def rewrite_list(spark, d):
 
 
 QUERIES = {f.__name__: f for f in [
-    wording_changes, scored_wording, digest_lines, base_reports, interim_notes, period_months, fiscal_labels, currency_detection,
+    wording_changes, scored_wording, digest_lines, extraction_inputs, base_reports, interim_notes, period_months, fiscal_labels, currency_detection,
     registrant_names, index_documents, snapshot_freshness, rewrite_list]}
 
+def _prose(limit):
+    """The leading lines of each section text within a budget."""
+    return f"""(SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM (
+                SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS running FROM prose_line) AS p
+            WHERE running <= {limit + 1} GROUP BY doc_id)"""
+
+
+VIEWS.update({
+    "titled": f"""
+        SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS i FROM (
+            SELECT doc_id, i, trim(regexp_replace(trim(line), '^[•●▪\\- ]+', '')) AS l FROM (
+                SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM section) AS a) AS b) AS c
+        WHERE {outline_line('l')} GROUP BY doc_id, l""",
+    "outlined": f"""
+        WITH RECURSIVE r AS (
+            SELECT DISTINCT doc_id, 0::bigint AS i, 0 AS size, NULL::varchar AS l FROM titled
+            UNION ALL
+            SELECT doc_id, i, CASE WHEN fits THEN size + length(l) + 3 ELSE size END, CASE WHEN fits THEN l END FROM (
+                SELECT r.doc_id, t.i, r.size, t.l, r.size + length(t.l) <= {BUDGETS['risk_outline']} AS fits
+                FROM r JOIN titled AS t ON t.doc_id = r.doc_id AND t.i = r.i + 1) AS x)
+        SELECT doc_id, string_agg('- ' || l, chr(10) ORDER BY i) AS t FROM r WHERE l IS NOT NULL GROUP BY doc_id""",
+    "risk_block": f"""
+        SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY n) AS t FROM (
+            SELECT *, sum(length(block) + 2) OVER (PARTITION BY doc_id ORDER BY n) AS running FROM (
+                SELECT pair_id AS doc_id, '[' || change_type || '] ' || text AS block, row_number() OVER (
+                           PARTITION BY pair_id ORDER BY (change_type <> 'new')::int, -coalesce(top_weight, 0), position) AS n
+                FROM passage LEFT JOIN passage_trigger USING (pair_id, change_type, position)
+                WHERE kind <> 'numbers' AND change_type <> 'removed') AS a) AS b
+        WHERE running <= {BUDGETS['risk_changes'] + 2} GROUP BY doc_id""",
+})
+
 ORACLES = {
+    "extraction_inputs": sql(f"""
+        SELECT company_id, filing_id, length(t) AS chars, sha1(t) AS hash FROM (
+            SELECT d.source AS company_id, d.doc_id AS filing_id, concat_ws(chr(10) || chr(10),
+                       'COMPANY: Company ' || d.source || ' (' || upper(d.source) || '). FILING: ' || CASE WHEN d.doc_id % 2 = 0 THEN '10-K for FY' ELSE '10-Q for Q1 FY' END
+                       || (d.doc_id % 20 + 2000) || ', period ended ' || (DATE '2000-01-01' + (d.doc_id % 9000)::int)::date || '. Reporting currency: unknown.',
+                       CASE WHEN d.doc_id % 3 > 0 THEN '=== BUSINESS DESCRIPTION ===' || chr(10) || coalesce(b.t, '') END,
+                       '=== MANAGEMENT''S DISCUSSION AND ANALYSIS ===' || chr(10) || coalesce(CASE WHEN d.doc_id % 2 = 0 THEN ma.t ELSE mi.t END, ''),
+                       CASE WHEN d.doc_id % 5 > 0 AND d.doc_id % 2 = 0 THEN '=== RISK FACTORS: OUTLINE ===' || chr(10) || coalesce(o.t, '') END,
+                       CASE WHEN d.doc_id % 5 > 0 AND d.doc_id % 2 = 0 AND f.doc_id % 5 > 0 THEN '=== NEW OR CHANGED RISK FACTORS (since the ' || CASE WHEN f.doc_id % 2 = 0
+                           THEN '10-K for FY' ELSE '10-Q for Q1 FY' END || (f.doc_id % 20 + 2000) || ') ===' || chr(10) || k.t END,
+                       CASE WHEN d.doc_id % 5 > 0 AND d.doc_id % 2 = 1 THEN '=== RISK FACTOR UPDATES IN THIS QUARTERLY REPORT ===' || chr(10) || coalesce(u.t, '') END) AS t
+            FROM documents AS d JOIN doc_pair AS p ON p.pair_id = d.doc_id LEFT JOIN documents AS f ON f.doc_id = p.base_id
+            LEFT JOIN {_prose(BUDGETS['business'])} AS b ON b.doc_id = d.doc_id
+            LEFT JOIN {_prose(BUDGETS['discussion_annual'])} AS ma ON ma.doc_id = d.doc_id
+            LEFT JOIN {_prose(BUDGETS['discussion_interim'])} AS mi ON mi.doc_id = d.doc_id
+            LEFT JOIN {_prose(BUDGETS['risk_updates'])} AS u ON u.doc_id = d.doc_id
+            LEFT JOIN outlined AS o ON o.doc_id = d.doc_id LEFT JOIN risk_block AS k ON k.doc_id = d.doc_id) AS x"""),
     "digest_lines": sql("""
         SELECT company_id, replace(k, '_', ' ') || ': ' || string_agg('FY' || fy || ' ' || CASE WHEN v IS NULL THEN 'n/a' ELSE
                    CASE WHEN v < 0 THEN '-' ELSE '' END || '$' || CASE WHEN abs(v) >= 1e12 THEN printf('%.1fT', abs(v) / 1e12)

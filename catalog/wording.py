@@ -102,6 +102,10 @@ def tabular(x):
     return (f"(len({tokens}) >= 8 AND {figures} / len({tokens}) > 0.3) OR ({figures} > 0 AND NOT regexp_matches(trim({x}), '{end}'))")
 
 
+def outline_line(x):
+    return f"length({x}) BETWEEN 40 AND 400 AND regexp_matches({x}, '[.:]$') AND len({_sentences(x)}) = 1"
+
+
 VIEWS.update({
     "section": f"""
         SELECT doc_id, text || chr(10) || replace(replace({_NOTES}[doc_id % {len(twins.NOTES)} + 1], '{{n}}', (doc_id % 50 + 1)::varchar),
@@ -227,7 +231,7 @@ ORACLES = {
     "outline_lines": sql(f"""
         SELECT DISTINCT doc_id, sha1(l) AS line_hash FROM (
             SELECT doc_id, trim(regexp_replace(trim(line), '^[•●▪\\- ]+', '')) AS l FROM doc_line) AS x
-        WHERE length(l) BETWEEN 40 AND 400 AND regexp_matches(l, '[.:]$') AND len({_sentences('l')}) = 1"""),
+        WHERE {outline_line('l')}"""),
     "repeated_lines": """
         SELECT line, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) AS l
         WHERE length(line) BETWEEN 4 AND 120 AND NOT regexp_matches(line, '(?i)^(page\\s+)?\\d{1,3}$')

@@ -6,11 +6,12 @@ from ..functions import figures as fig
 from ..functions import fixed_values as fv
 from ..functions import labels
 from ..functions import text as T
-from ..functions.arith import col, lookup, once
+from ..functions.arith import col, folded, lookup, once
 from ..functions.periods import fiscal_label
 from ..functions.score import stable_id, with_score
 from .latest import top_n
 from .search import take_within
+from .wording import section_diff, sentence_rows
 
 # FIXED VALUES: note categories that score like a disclosure family; currencies as texts cite them; section budgets.
 STRATEGIC_KEY = {"commitments": "commitment", "guarantees": "guarantee"}
@@ -23,6 +24,8 @@ CURRENCIES = {
     "BRL": r"(?i)R\$|\bBRL(?![A-Za-z])|Brazilian reais|\breais\b", "AUD": r"(?i)A\$|\bAUD(?![A-Za-z])|Australian dollars?",
     "DKK": r"(?i)\bDKK(?![A-Za-z])|Danish kroner"}
 MIN_MENTIONS = 5
+INPUT_CHARS = {"business": 30_000, "discussion_annual": 45_000, "discussion_interim": 35_000, "risk_outline": 12_000, "risk_changes": 15_000,
+               "risk_updates": 20_000}
 PREDECESSOR = (r"([A-Z][A-Za-z0-9.&' -]{1,80}?),\s+an?\s+[A-Za-z ]{2,40}?(?:[Cc]orporation|[Cc]ompany)\s*(?:\([^)]{0,80}\)\s*)?,?\s+"
                r"(?:and\s+)?(?:the\s+)?[Pp]redecessor")
 
@@ -148,3 +151,78 @@ def ranked_insights(ranked, extracted):
     """Ranked statements with the extracted item they refer to, matched by filing and headline."""
     known = extracted.select("company_id", F.col("accession_number").alias("ref_filing"), F.col("headline").alias("ref_label"), F.col("detail").alias("extracted_detail"))
     return ranked.join(known, ["company_id", "ref_filing", "ref_label"], "left")
+
+
+def _within(lines, limit, extra, stops):
+    """The lines of an array that fit a budget of characters, each with ``extra`` more; the first that does not fit ends it, or is passed over."""
+    def step(state, line):
+        fits = state["open"] & (state["size"] + F.length(line) <= limit)
+        after = F.struct(F.when(fits, state["size"] + F.length(line) + extra).otherwise(state["size"]).alias("size"),
+                         (fits if stops else F.lit(True)).alias("open"))
+        return after, F.when(fits, F.array(line)).otherwise(F.array().cast("array<string>"))
+
+    return folded(lines, F.struct(F.lit(0).alias("size"), F.lit(True).alias("open")), step, "string")["out"]
+
+
+def prose(text, limit):
+    """The paragraphs of a text without tables and page furniture, until one would exceed the limit (C17)."""
+    lines = F.transform(F.split(F.regexp_replace(T.plain_spaces(text), T.PAGE_FURNITURE, ""), "\n"), lambda x: F.trim(x))
+    kept = F.filter(lines, lambda x: (x != "") & ~(x.rlike(r"\d") & T.is_tabular(x)))
+    return F.array_join(_within(kept, limit, 1, stops=True), "\n")
+
+
+def risk_outline(text, limit):
+    """The titles of a text's risks as a list; a title that no longer fits is passed over (C17)."""
+    return F.array_join(F.transform(_within(T.outline_lines(text), limit, 3, stops=False), lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
+def extraction_inputs(companies, filings, sections, bases, limits=None):
+    """The text that statements are extracted from, one row per filing (C17).
+
+    ``companies``: company_id, name, ticker, reporting_currency; ``filings``:
+    filing_id, company_id, form_type, fiscal_year, fiscal_period, period_end,
+    is_annual; ``sections``: filing_id, category, ordinal, text; ``bases``:
+    filing_id, base_filing_id (the annual report whose risks an annual report's
+    are compared with).  Sections of a category are read in their order.  Business,
+    discussion and risks follow each other, each within its own budget of
+    characters: an annual report shows its risk titles and what is new or reworded,
+    an interim one its updates.  A filing without texts has its heading alone.
+    """
+    limits = {**INPUT_CHARS, **(limits or {})}
+    wanted = ("business", "management_discussion", "risk_factors")
+    parts = {c: F.sort_array(F.collect_list(F.when((F.col("category") == c) & F.col("text").isNotNull(), F.struct("ordinal", "text")))) for c in wanted}
+    texts = sections.where(F.col("category").isin(*wanted)).groupBy("filing_id").agg(*[
+        F.nullif(F.array_join(F.transform(parts[c], lambda x: x.text), "\n"), F.lit("")).alias(c) for c in wanted])
+    report = F.coalesce(fiscal_label("fiscal_year", "fiscal_period"), F.col("period_end").cast("string"))
+    rows = filings.select("filing_id", "company_id", "form_type", "period_end", "is_annual", report.alias("label")).join(companies.select(
+        "company_id", "name", "ticker", "reporting_currency"), "company_id").join(texts, "filing_id", "left")
+
+    named = filings.select(F.col("filing_id").alias("base_filing_id"), F.col("form_type").alias("base_form"), fiscal_label("fiscal_year", "fiscal_period").alias("base_label"))
+    risks = texts.where(F.col("risk_factors").isNotNull())
+    annual = filings.where("is_annual").select("filing_id")
+    pairs = bases.select("filing_id", "base_filing_id").join(annual, "filing_id").join(risks.select("filing_id", F.col("risk_factors").alias("new")), "filing_id").join(
+        risks.select(F.col("filing_id").alias("base_filing_id"), F.col("risk_factors").alias("base")), "base_filing_id")
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("text")) for side in ("new", "base")])
+    sentences = sentence_rows(pairs.select("filing_id", F.lit(False).alias("same_kind"), F.inline(sides)), ["filing_id", "side", "same_kind"])
+    blocks = changed_risks(section_diff(sentences, "filing_id"), ["filing_id"], limits["risk_changes"])
+    weight = F.coalesce(F.array_max(F.transform("triggers", lambda t: t.weight)), F.lit(0.0))
+    place = F.struct((F.col("change_type") != "new").alias("kind"), (-weight).alias("weight"), "position", "block")
+    changed = blocks.groupBy("filing_id").agg(F.sort_array(F.collect_list(place)).alias("b")).select(
+        "filing_id", F.array_join(F.transform("b", lambda x: x.block), "\n\n").alias("changed"))
+    since = bases.select("filing_id", "base_filing_id").join(named, "base_filing_id").join(changed, "filing_id").select("filing_id", "base_form", "base_label", "changed")
+    rows = rows.join(since, "filing_id", "left")
+
+    def part(title, body, when):
+        return F.when(when, F.concat(F.lit(f"=== {title} ===\n"), body))
+
+    discussion, risk = F.col("management_discussion"), F.col("risk_factors")
+    heading = F.concat(F.lit("COMPANY: "), "name", F.lit(" ("), "ticker", F.lit("). FILING: "), "form_type", F.lit(" for "), "label", F.lit(", period ended "),
+                       F.col("period_end").cast("string"), F.lit(". Reporting currency: "), F.coalesce("reporting_currency", F.lit("unknown")), F.lit("."))
+    compared = F.concat(F.lit("=== NEW OR CHANGED RISK FACTORS (since the "), "base_form", F.lit(" for "), "base_label", F.lit(") ===\n"), "changed")
+    shown = F.array_compact(F.array(
+        heading, part("BUSINESS DESCRIPTION", prose("business", limits["business"]), F.col("business").isNotNull()),
+        part("MANAGEMENT'S DISCUSSION AND ANALYSIS", prose(discussion, F.when(F.col("is_annual"), limits["discussion_annual"]).otherwise(
+            limits["discussion_interim"])), discussion.isNotNull()),
+        part("RISK FACTORS: OUTLINE", risk_outline(risk, limits["risk_outline"]), risk.isNotNull() & F.col("is_annual")), compared,
+        part("RISK FACTOR UPDATES IN THIS QUARTERLY REPORT", prose(risk, limits["risk_updates"]), risk.isNotNull() & ~F.col("is_annual"))))
+    return rows.select("company_id", "filing_id", F.array_join(shown, "\n\n").alias("text"))
