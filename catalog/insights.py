@@ -60,6 +60,34 @@ def extraction_inputs(spark, d):
     return out.select("company_id", "filing_id", F.length("text").cast("long").alias("chars"), F.sha1("text").alias("hash"))
 
 
+FIELDS = ("segments", "strategy", "drivers", "outlook", "upside", "downside", "risks", "non_operating", "business_summary")
+
+
+def _extracted(spark, d):
+    """Every document as an extracted item; sources whose name ends in 3 have no annual report read."""
+    rank = F.col("doc_id") % 2
+    items = twins.texts(spark, d, "documents").select(
+        F.col("source").alias("company_id"), F.concat_ws("-", "source", rank).alias("accession_number"), rank.alias("filing_rank"),
+        ((rank == 1) & ~F.col("source").endswith("3")).alias("is_annual"), F.col("doc_id").alias("position"),
+        F.element_at(F.array(*map(F.lit, FIELDS)), (F.floor(F.col("doc_id") / 2) % len(FIELDS)).cast("int") + 1).alias("field"),
+        F.when(F.col("doc_id") % 4 == 0, F.upper(F.substring("text", 1, 3))).otherwise(F.substring("text", 1, 3)).alias("headline"),
+        F.sha1("text").alias("detail"))
+    return items, items.select("company_id", "accession_number", "filing_rank", "is_annual").distinct()
+
+
+def insight_lists(spark, d):
+    items, read = _extracted(spark, d)
+    out = ins.insight_lists(read, items.drop("filing_rank", "is_annual"))
+    return out.select("company_id", "field", "position", "headline", "detail", F.col("place").cast("long").alias("place"))
+
+
+def ranked_insights(spark, d):
+    items, _ = _extracted(spark, d)
+    ranked = items.select("company_id", F.col("position").alias("statement"), F.col("accession_number").alias("ref_filing"),
+                          F.lower("headline").alias("ref_label"))
+    return ins.ranked_insights(ranked, items.where("field = 'risks'")).select("company_id", "statement", "extracted_detail")
+
+
 def base_reports(spark, d):
     changes = nc.numeric_changes(twins.facts(spark, d), twins.filings(spark, d)).where(F.col("change_type") == "changed")
     return ins.base_report(changes, twins.filings(spark, d)).select("company_id", "fact_key", "period_type", "base_period_label", "base_report_id")
@@ -120,7 +148,7 @@ def rewrite_list(spark, d):
 
 
 QUERIES = {f.__name__: f for f in [
-    wording_changes, scored_wording, digest_lines, extraction_inputs, base_reports, interim_notes, period_months, fiscal_labels, currency_detection,
+    wording_changes, scored_wording, digest_lines, extraction_inputs, insight_lists, ranked_insights, base_reports, interim_notes, period_months, fiscal_labels, currency_detection,
     registrant_names, index_documents, snapshot_freshness, rewrite_list]}
 
 def _prose(limit):
@@ -154,7 +182,34 @@ VIEWS.update({
         WHERE running <= {BUDGETS['risk_changes'] + 2} GROUP BY doc_id""",
 })
 
+VIEWS.update({
+    "extracted": f"""
+        SELECT source AS company_id, doc_id % 2 AS filing_rank, doc_id % 2 = 1 AND source NOT LIKE '%3' AS is_annual, doc_id AS position,
+               {list(FIELDS)}[(doc_id // 2) % {len(FIELDS)} + 1] AS field,
+               CASE WHEN doc_id % 4 = 0 THEN upper(text[1:3]) ELSE text[1:3] END AS headline, sha1(text) AS detail FROM documents""",
+})
+
 ORACLES = {
+    "insight_lists": sql("""
+        WITH read AS (SELECT company_id, min(filing_rank) AS latest, min(filing_rank) FILTER (is_annual) AS annual FROM extracted GROUP BY company_id),
+        single AS (
+            SELECT e.* FROM extracted AS e JOIN read USING (company_id)
+            WHERE field IN ('drivers', 'upside', 'downside') AND filing_rank = latest OR field = 'segments' AND filing_rank = annual),
+        merged AS (
+            SELECT * FROM (
+                SELECT e.*, row_number() OVER (PARTITION BY company_id, field, lower(headline) ORDER BY filing_rank, position) AS n FROM extracted AS e JOIN read USING (company_id)
+                WHERE field IN ('strategy', 'outlook', 'non_operating', 'risks') OR field = 'segments' AND annual IS NULL) AS x
+            WHERE n = 1),
+        placed AS (
+            SELECT company_id, field, position, headline, detail, filing_rank, true AS is_single FROM single
+            UNION ALL SELECT company_id, field, position, headline, detail, filing_rank, false FROM merged)
+        SELECT company_id, field, position, headline, detail, place FROM (
+            SELECT *, row_number() OVER (PARTITION BY company_id, field ORDER BY filing_rank, position) AS place FROM placed) AS p
+        WHERE is_single OR place <= CASE field WHEN 'risks' THEN 16 ELSE 6 END"""),
+    "ranked_insights": sql("""
+        SELECT r.company_id, r.position AS statement, k.detail AS extracted_detail FROM extracted AS r LEFT JOIN (
+            SELECT company_id, filing_rank, headline, arg_max(detail, position) AS detail FROM extracted WHERE field = 'risks' GROUP BY ALL) AS k
+        ON k.company_id = r.company_id AND k.filing_rank = r.filing_rank AND k.headline = lower(r.headline)"""),
     "extraction_inputs": sql(f"""
         SELECT company_id, filing_id, length(t) AS chars, sha1(t) AS hash FROM (
             SELECT d.source AS company_id, d.doc_id AS filing_id, concat_ws(chr(10) || chr(10),

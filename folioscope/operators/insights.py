@@ -1,5 +1,6 @@
 """Ranking all changes together, and the text digests and merges built on them."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import figures as fig
@@ -9,7 +10,7 @@ from ..functions import text as T
 from ..functions.arith import col, folded, lookup, once
 from ..functions.periods import fiscal_label
 from ..functions.score import stable_id, with_score
-from .latest import top_n
+from .latest import pick, top_n
 from .search import take_within
 from .wording import section_diff, sentence_rows
 
@@ -24,6 +25,8 @@ CURRENCIES = {
     "BRL": r"(?i)R\$|\bBRL(?![A-Za-z])|Brazilian reais|\breais\b", "AUD": r"(?i)A\$|\bAUD(?![A-Za-z])|Australian dollars?",
     "DKK": r"(?i)\bDKK(?![A-Za-z])|Danish kroner"}
 MIN_MENTIONS = 5
+LATEST_LISTS = ("drivers", "upside", "downside")
+MERGED_LISTS = {"segments": 6, "strategy": 6, "outlook": 6, "non_operating": 6, "risks": 16}
 INPUT_CHARS = {"business": 30_000, "discussion_annual": 45_000, "discussion_interim": 35_000, "risk_outline": 12_000, "risk_changes": 15_000,
                "risk_updates": 20_000}
 PREDECESSOR = (r"([A-Z][A-Za-z0-9.&' -]{1,80}?),\s+an?\s+[A-Za-z ]{2,40}?(?:[Cc]orporation|[Cc]ompany)\s*(?:\([^)]{0,80}\)\s*)?,?\s+"
@@ -148,11 +151,36 @@ def digest_lines(table, rows, currency="USD", columns=2):
 
 
 def ranked_insights(ranked, extracted):
-    """Ranked statements with the extracted item they refer to, matched by filing and headline."""
-    known = extracted.select("company_id", F.col("accession_number").alias("ref_filing"), F.col("headline").alias("ref_label"), F.col("detail").alias("extracted_detail"))
+    """Ranked statements with the extracted item they refer to, by filing and headline; the last of equal ones."""
+    known = extracted.groupBy("company_id", F.col("accession_number").alias("ref_filing"), F.col("headline").alias("ref_label")).agg(
+        F.max_by("detail", "position").alias("extracted_detail"))
     return ranked.join(known, ["company_id", "ref_filing", "ref_label"], "left")
 
 
+def insight_lists(extractions, items):
+    """The lists of extracted items that a company shows.
+
+    ``extractions``: company_id, accession_number, filing_rank (0: the latest
+    filing), is_annual; ``items``: company_id, accession_number, field, position,
+    headline, detail.  Some lists come from the latest filing read, segments from
+    the annual report if one was read; the others run over all filings, the latest
+    first, a headline once whatever its case, up to a limit.  Other fields are left out.
+    """
+    read = extractions.groupBy("company_id").agg(
+        F.min("filing_rank").alias("latest"), F.min(F.when(F.col("is_annual"), F.col("filing_rank"))).alias("annual"))
+    rows = items.where(F.col("field").isin(*LATEST_LISTS, *MERGED_LISTS)).join(
+        extractions.select("company_id", "accession_number", "filing_rank"), ["company_id", "accession_number"]).join(read, "company_id")
+    from_annual = (F.col("field") == "segments") & F.col("annual").isNotNull()
+    single = F.col("field").isin(*LATEST_LISTS) | from_annual
+    rows = rows.where(F.when(from_annual, F.col("filing_rank") == F.col("annual")).when(single, F.col("filing_rank") == F.col("latest")).otherwise(True))
+    same = F.when(single, F.concat_ws("|", "accession_number", "position")).otherwise(F.lower("headline"))
+    rows = rows.select("company_id", "field", "accession_number", "filing_rank", "position", "headline", "detail", same.alias("same"),
+                       F.when(single, F.lit(None)).otherwise(lookup(MERGED_LISTS, "field")).alias("limit"))
+    first = pick(rows, ["company_id", "field", "same"], ["filing_rank", "position"], largest=False)
+    place = F.row_number().over(Window.partitionBy("company_id", "field").orderBy("filing_rank", "position"))
+    return first.withColumn("place", place).where(F.col("limit").isNull() | (F.col("place") <= F.col("limit"))).drop("same", "limit")
+
+
 def _within(lines, limit, extra, stops):
     """The lines of an array that fit a budget of characters, each with ``extra`` more; the first that does not fit ends it, or is passed over."""
     def step(state, line):
