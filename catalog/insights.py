@@ -81,6 +81,31 @@ def insight_lists(spark, d):
     return out.select("company_id", "field", "position", "headline", "detail", F.col("place").cast("long").alias("place"))
 
 
+def _digest(spark, d):
+    """Every document as a change and as an extracted item of its source."""
+    n = F.col("doc_id")
+    changes = twins.texts(spark, d, "documents").select(
+        F.col("source").alias("company_id"), n.cast("string").alias("change_id"), F.when(n % 4 == 0, "narrative").otherwise("numeric").alias("kind"),
+        F.when(n % 4 == 1, "removed").otherwise("changed").alias("change_type"), F.col("lang").alias("category_label"), F.concat(F.lit("Line "), n).alias("label"), "text",
+        (n % 40 / 8).alias("value"), F.when(n % 3 > 0, n % 24 / 8).alias("base_value"), F.when(n % 5 > 0, (n % 16 - 8) / 8).alias("change"),
+        F.when(n % 2 == 0, "ratio").otherwise("days").alias("unit"), F.lit("USD").alias("currency"), F.concat(F.lit("FY"), n % 20 + 2000).alias("period_label"),
+        F.concat(F.lit("FY"), n % 20 + 1999).alias("base_period_label"), (n % 100 / 100).alias("score"),
+        F.when(n % 7 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("flags"), F.when(n % 9 == 0, "noted").alias("note"))
+    items, _ = _extracted(spark, d)
+    items = items.withColumns({
+        "report": F.concat(F.lit("report "), "filing_rank"), "status": F.when(F.col("position") % 3 == 0, "unverified").otherwise("verified"),
+        "trend": F.lit("new"), "realized": F.col("position") % 4 < 2, "direction": F.lit("up")})
+    return ins.digest_changes(changes).unionByName(ins.digest_items(items))
+
+
+def digest_input(spark, d):
+    return _digest(spark, d).select("company_id", "block", "place", "ref", "key", F.sha1("line").alias("hash"))
+
+
+def digest_texts(spark, d):
+    return ins.digest_text(_digest(spark, d)).select("company_id", F.length("text").cast("long").alias("chars"), F.sha1("text").alias("hash"))
+
+
 def ranked_insights(spark, d):
     items, _ = _extracted(spark, d)
     ranked = items.select("company_id", F.col("position").alias("statement"), F.col("accession_number").alias("ref_filing"),
@@ -148,7 +173,7 @@ def rewrite_list(spark, d):
 
 
 QUERIES = {f.__name__: f for f in [
-    wording_changes, scored_wording, digest_lines, extraction_inputs, insight_lists, ranked_insights, base_reports, interim_notes, period_months, fiscal_labels, currency_detection,
+    wording_changes, scored_wording, digest_lines, extraction_inputs, insight_lists, ranked_insights, digest_input, digest_texts, base_reports, interim_notes, period_months, fiscal_labels, currency_detection,
     registrant_names, index_documents, snapshot_freshness, rewrite_list]}
 
 def _prose(limit):
@@ -189,7 +214,38 @@ VIEWS.update({
                CASE WHEN doc_id % 4 = 0 THEN upper(text[1:3]) ELSE text[1:3] END AS headline, sha1(text) AS detail FROM documents""",
 })
 
+VIEWS.update({
+    "digested": r"""
+        SELECT company_id, 0 AS block, 'FILING CHANGES, most material first' AS title, place, 'c' || place AS ref, n::varchar AS key,
+               'c' || place || ' score ' || printf('%.2f', n % 100 / 100.0::double) || CASE WHEN n % 7 = 0 THEN ' [a, b]' ELSE '' END || ': ' || CASE
+                   WHEN n % 4 = 0 THEN 'changed wording in ' || lang || ': "' || text[1:400] || '"'
+                   WHEN n % 4 = 1 THEN name || ' no longer disclosed; was ' || base
+                   ELSE 'changed: ' || name || ' ' || value || CASE WHEN n % 3 > 0 THEN ' from ' || base ELSE '' END || CASE WHEN n % 5 = 0 THEN ''
+                        WHEN n % 2 = 0 THEN printf(' (%+.1f points)', (n % 16 - 8) * 12.5::double) ELSE printf(' (%+.0f days)', CASE WHEN n % 16 < 8 THEN -floor((8 - n % 16) / 8.0::double + 0.5::double) ELSE floor((n % 16 - 8) / 8.0::double + 0.5::double) END) END
+                        || CASE WHEN n % 9 = 0 THEN '; noted' ELSE '' END END AS line
+        FROM (SELECT source AS company_id, doc_id AS n, lang, text, 'Line ' || doc_id || ' (' || lang || ')' AS name,
+                     CASE WHEN doc_id % 2 = 0 THEN printf('%.1f%%', doc_id % 40 * 12.5::double) ELSE printf('%.0f days', floor(doc_id % 40 / 8.0::double + 0.5::double)) END
+                         || ' (FY' || (doc_id % 20 + 2000) || ')' AS value,
+                     CASE WHEN doc_id % 3 = 0 THEN 'n/a' WHEN doc_id % 2 = 0 THEN printf('%.1f%%', doc_id % 24 * 12.5::double)
+                          ELSE printf('%.0f days', floor(doc_id % 24 / 8.0::double + 0.5::double)) END || ' (FY' || (doc_id % 20 + 1999) || ')' AS base,
+                     row_number() OVER (PARTITION BY source ORDER BY doc_id % 100 DESC, doc_id::varchar) AS place FROM documents) AS c
+        WHERE place <= 25
+        UNION ALL
+        SELECT company_id, filing_rank + 1, 'EXTRACTED FROM THE report ' || filing_rank || ' (verified quotes)',
+               row_number() OVER (PARTITION BY company_id, filing_rank ORDER BY list_position(['segments', 'strategy', 'drivers', 'outlook', 'upside', 'downside', 'risks', 'non_operating'], field), position),
+               ref, filing_rank || '|' || headline, ref || ' ' || field || CASE WHEN field = 'drivers' THEN ' [up]'
+                   WHEN field = 'risks' THEN CASE WHEN position % 4 < 2 THEN ' [new, has happened]' ELSE ' [new]' END ELSE '' END || ': ' || headline || ': ' || detail
+        FROM (SELECT *, CASE field WHEN 'strategy' THEN 'g' WHEN 'downside' THEN 'w' ELSE field[1:1] END
+                     || row_number() OVER (PARTITION BY company_id, field ORDER BY filing_rank, position) AS ref
+              FROM extracted WHERE position % 3 > 0 AND field <> 'business_summary') AS e""",
+})
+
 ORACLES = {
+    "digest_input": sql("SELECT company_id, block, place, ref, key, sha1(line) AS hash FROM digested"),
+    "digest_texts": sql("""
+        SELECT company_id, length(t) AS chars, sha1(t) AS hash FROM (
+            SELECT company_id, string_agg(CASE WHEN place = 1 THEN chr(10) || title || chr(10) ELSE '' END || line, chr(10) ORDER BY block, place) AS t
+            FROM digested GROUP BY company_id) AS x"""),
     "insight_lists": sql("""
         WITH read AS (SELECT company_id, min(filing_rank) AS latest, min(filing_rank) FILTER (is_annual) AS annual FROM extracted GROUP BY company_id),
         single AS (

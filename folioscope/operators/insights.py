@@ -25,6 +25,8 @@ CURRENCIES = {
     "BRL": r"(?i)R\$|\bBRL(?![A-Za-z])|Brazilian reais|\breais\b", "AUD": r"(?i)A\$|\bAUD(?![A-Za-z])|Australian dollars?",
     "DKK": r"(?i)\bDKK(?![A-Za-z])|Danish kroner"}
 MIN_MENTIONS = 5
+MAX_DIGEST_CHANGES, QUOTED_CHARS = 25, 400
+ID_PREFIX = {"segments": "s", "strategy": "g", "drivers": "d", "outlook": "o", "upside": "u", "downside": "w", "risks": "r", "non_operating": "n"}
 LATEST_LISTS = ("drivers", "upside", "downside")
 MERGED_LISTS = {"segments": 6, "strategy": 6, "outlook": 6, "non_operating": 6, "risks": 16}
 INPUT_CHARS = {"business": 30_000, "discussion_annual": 45_000, "discussion_interim": 35_000, "risk_outline": 12_000, "risk_changes": 15_000,
@@ -150,6 +152,71 @@ def digest_lines(table, rows, currency="USD", columns=2):
                                             F.array_join(F.transform("cs", lambda c: c.t), " | ")).alias("line"))
 
 
+def digest_value(value, unit, currency):
+    """A value as a digest words it: a percentage, days, an amount a share, or money."""
+    v, u = col(value), col(unit)
+    return (F.when(v.isNull(), "n/a").when(u.isin("ratio", "points"), F.format_string("%.1f%%", v * 100)).when(u == "days", F.format_string("%.0f days", v))
+            .when(u == "currency_per_share", F.format_string("%.2f per share", v)).otherwise(labels.money_text(v, currency)))
+
+
+def digest_changes(changes, most=MAX_DIGEST_CHANGES):
+    """The most material changes of a company as lines under ids c1, c2, ....
+
+    ``changes``: company_id, change_id, kind, change_type, category_label, label,
+    text, value, base_value, change, unit, currency, period_label,
+    base_period_label, score, flags, note.
+    """
+    top = top_n(changes, ["company_id"], [F.desc("score"), F.col("change_id")], most, "place")
+    c = F.col("change")
+    moved = (F.when(c.isNull(), "").when(F.col("unit").isin("ratio", "points"), F.format_string(" (%+.1f points)", c * 100))
+             .when(F.col("unit") == "days", F.format_string(" (%+.0f days)", c)).otherwise(F.format_string(" (%+.1f%%)", c * 100)))
+    name = F.concat(F.coalesce("label", F.lit("")), F.lit(" ("), F.coalesce("category_label", F.lit("")), F.lit(")"))
+
+    def shown(value, period):
+        return F.concat(digest_value(value, "unit", "currency"), F.lit(" ("), F.coalesce(period, F.lit("n/a")), F.lit(")"))
+
+    wording = F.concat("change_type", F.lit(" wording in "), F.coalesce("category_label", F.lit("")), F.lit(': "'),
+                       F.substring(F.coalesce("text", F.lit("")), 1, QUOTED_CHARS), F.lit('"'))
+    gone = F.concat(name, F.lit(" no longer disclosed; was "), shown("base_value", "base_period_label"))
+    base = F.when(F.col("base_value").isNotNull(), F.concat(F.lit(" from "), shown("base_value", "base_period_label"))).otherwise("")
+    note = F.when(F.col("note") != "", F.concat(F.lit("; "), "note")).otherwise("")
+    figures = F.concat("change_type", F.lit(": "), name, F.lit(" "), shown("value", "period_label"), base, moved, note)
+    flags = F.when(F.size("flags") > 0, F.concat(F.lit(" ["), F.array_join("flags", ", "), F.lit("]"))).otherwise("")
+    what = F.when(F.col("kind") == "narrative", wording).when(F.col("change_type") == "removed", gone).otherwise(figures)
+    ref = F.concat(F.lit("c"), "place")
+    return top.select("company_id", F.lit(0).alias("block"), F.lit("FILING CHANGES, most material first").alias("title"), F.col("place").cast("long").alias("place"),
+                      ref.alias("ref"), F.col("change_id").alias("key"),
+                      F.concat(ref, F.lit(" score "), F.format_string("%.2f", "score"), flags, F.lit(": "), what).alias("line"))
+
+
+def digest_items(extracted):
+    """Extracted items whose quotes were found as lines under ids; a letter's numbers run on over the filings.
+
+    ``extracted``: company_id, filing_rank, report, field, position, status,
+    trend, realized, direction, headline, detail.
+    """
+    order = F.array_position(F.array(*map(F.lit, ID_PREFIX)), F.col("field"))
+    rows = extracted.where((F.col("status") != "unverified") & F.col("field").isin(*ID_PREFIX)).withColumn("order", order)
+    number = F.row_number().over(Window.partitionBy("company_id", "field").orderBy("filing_rank", "position"))
+    place = F.row_number().over(Window.partitionBy("company_id", "filing_rank").orderBy("order", "position"))
+    ref = F.concat(lookup(ID_PREFIX, "field"), number)
+    extra = F.when(F.col("field") == "risks", F.concat(F.lit(" ["), F.coalesce("trend", F.lit("ongoing")), F.when(F.col("realized"), ", has happened").otherwise(""), F.lit("]"))).when(
+        F.col("field") == "drivers", F.concat(F.lit(" ["), F.coalesce("direction", F.lit("unclear")), F.lit("]"))).otherwise("")
+    rows = rows.withColumns({"ref": ref, "place": place.cast("long")})
+    return rows.select(
+        "company_id", (F.col("filing_rank") + 1).cast("int").alias("block"), F.concat(F.lit("EXTRACTED FROM THE "), "report", F.lit(" (verified quotes)")).alias("title"),
+        "place", "ref", F.concat_ws("|", "filing_rank", "headline").alias("key"),
+        F.concat("ref", F.lit(" "), "field", extra, F.lit(": "), F.coalesce("headline", F.lit("")), F.lit(": "), F.coalesce("detail", F.lit(""))).alias("line"))
+
+
+def digest_text(lines):
+    """One digest per company: its blocks in order, each under its title (C18).  A company has at most a few hundred lines."""
+    part = F.when(F.col("place") == 1, F.concat(F.lit("\n"), "title", F.lit("\n"), "line")).otherwise(F.col("line"))
+    rows = lines.select("company_id", F.struct("block", "place", part.alias("part")).alias("p"))
+    return rows.groupBy("company_id").agg(F.sort_array(F.collect_list("p")).alias("ps")).select(
+        "company_id", F.array_join(F.transform("ps", lambda x: x.part), "\n").alias("text"))
+
+
 def ranked_insights(ranked, extracted):
     """Ranked statements with the extracted item they refer to, by filing and headline; the last of equal ones."""
     known = extracted.groupBy("company_id", F.col("accession_number").alias("ref_filing"), F.col("headline").alias("ref_label")).agg(
