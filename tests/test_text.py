@@ -1,6 +1,9 @@
+import time
+
 from pyspark.sql import functions as F
 
 from folioscope.functions import figures, text
+from folioscope.functions import fixed_values as fv
 from folioscope.operators import search, verify, wording
 
 BASE = """We depend on a limited number of suppliers for key components of our products. Our revenue grew 12% because demand for accelerators was strong in all regions. \
@@ -99,3 +102,36 @@ def test_language_that_the_summary_names(spark):
                                    "company_id long, headline string, detail string")
     got = {(r.company_id, r.phrase): r.covered_by for r in audit.covered_language(sentences, points).collect()}
     assert got == {(1, "going concern"): ["(summary wording)"], (1, "default"): None, (2, "default"): ["(summary wording)"], (3, "no"): ["(summary wording)"]}
+
+
+def test_any_trigger_matches_where_one_of_its_patterns_does(spark):
+    plain = "(?i)" + "|".join(f"(?:{p})" for p, _, _ in fv.TRIGGERS)
+    said = [phrase for _, phrase, _ in fv.TRIGGERS] + [
+        "Restated", "prestated", "SUBSEQUENT to the end of the quarter", "subsequently", "significant non-refundable payment", "License Requirement",
+        "cyberattack", "in default", "defaulting", "defaults under", "materially adversely affect", "guarantor", "unable", "unable to", "ſubpoena",
+        "INVESTİGATION", "", "nothing", "event\nof default"]
+    rows = spark.createDataFrame([(f"{before}{s}{after}",) for s in said for before in ("", "x", "a ") for after in ("", "y", " b.")] + [(None,)], "text string")
+    got = rows.select(F.col("text").rlike(text.ANY_TRIGGER).alias("new"), F.col("text").rlike(plain).alias("plain")).collect()
+    assert all(r.new == r.plain for r in got) and any(r.new for r in got) and any(r.new is False for r in got)
+
+
+def test_looking_for_triggers_costs_less_than_trying_every_pattern(spark):
+    plain = "(?i)" + "|".join(f"(?:{p})" for p, _, _ in fv.TRIGGERS)
+    words = " ".join(["the merchant sold goods in every region and expected no restraint or unusual demand"] * 20000)
+    rows = spark.range(8).select(F.concat(F.lit(words), F.col("id").cast("string")).alias("text")).localCheckpoint()
+
+    def seconds(pattern):
+        begun = time.perf_counter()
+        assert rows.where(F.col("text").rlike(pattern)).count() == 0
+        return time.perf_counter() - begun
+
+    assert min(seconds(text.ANY_TRIGGER) for _ in range(2)) < min(seconds(plain) for _ in range(2)) / 2
+
+
+def test_breaks_and_wide_spaces_in_prose(spark):
+    texts = ["It cost EUR \n 5 and $\n7 more.\n\n  we paid it. The end came. • Next  • item", "one two three\nfour", "a \t\n b", "Inc. A. U.S. The rest.  (So it is", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = [r.p for r in rows.select("i", text.prose_text("text").alias("p")).orderBy("i").collect()]
+    assert got == ["It cost EUR 5 and $ 7 more. we paid it. The end came. • Next  • item", "one two three four", "a b", "Inc. A. U.S. The rest.  (So it is", "", ""]
+    cut = rows.where("i IN (0, 3)").select("i", F.regexp_replace("text", text.SENTENCE_BREAK, "|").alias("p")).orderBy("i").collect()
+    assert [r.p for r in cut] == ["It cost EUR \n 5 and $\n7 more.\n\n  we paid it.|The end came.||Next|item", "Inc. A. U.S. The rest.|(So it is"]
