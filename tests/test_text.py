@@ -1,3 +1,4 @@
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ def test_any_trigger_matches_where_one_of_its_patterns_does(spark):
 
 def test_looking_for_triggers_costs_less_than_trying_every_pattern(spark):
     plain = "(?i)" + "|".join(f"(?:{p})" for p, _, _ in fv.TRIGGERS)
-    words = " ".join(["the merchant sold goods in every region and expected no restraint or unusual demand"] * 20000)
+    words = " ".join(["the merchant sold goods in every region and expected no restraint or unusual demand"] * 10000)
     rows = spark.range(8).select(F.concat(F.lit(words), F.col("id").cast("string")).alias("text")).localCheckpoint()
 
     def seconds(pattern):
@@ -134,4 +135,15 @@ def test_breaks_and_wide_spaces_in_prose(spark):
     got = [r.p for r in rows.select("i", text.prose_text("text").alias("p")).orderBy("i").collect()]
     assert got == ["It cost EUR 5 and $ 7 more. we paid it. The end came. • Next  • item", "one two three four", "a b", "Inc. A. U.S. The rest.  (So it is", "", ""]
     cut = rows.where("i IN (0, 3)").select("i", F.regexp_replace("text", text.SENTENCE_BREAK, "|").alias("p")).orderBy("i").collect()
-    assert [r.p for r in cut] == ["It cost EUR \n 5 and $\n7 more.\n\n  we paid it.|The end came.||Next|item", "Inc. A. U.S. The rest.|(So it is"]
+    assert [r.p for r in cut] == ["It cost EUR \n 5 and $\n7 more.\n\n  we paid it.|The end came.||Next|item", "Inc. A.|U.S. The rest.|(So it is"]
+
+
+def test_breaks_are_those_of_the_patterns_without_what_they_begin_with(spark):
+    rnd = random.Random(6)
+    pieces = [" ", "\n", "\t", "•", ".", "?", ";", "A", "b", "U.S.", "Inc.", "EUR", "$", "(", "5", "“", '"', "\u00a0", "é"]
+    rows = spark.createDataFrame([("".join(rnd.choices(pieces, k=rnd.randint(0, 25))),) for _ in range(3000)], "t string")
+    for pattern, begin in ((text.SENTENCE_BREAK, "(?=[\\s•])(?:"), (text.CURRENCY_BREAK, "(?=[ \\t\\n])(?:")):
+        assert pattern.startswith(begin) and pattern.endswith(")")
+        plain = pattern[len(begin):-1]
+        assert rows.where(F.regexp_replace("t", pattern, "|") != F.regexp_replace("t", plain, "|")).count() == 0
+        assert rows.where(F.col("t").rlike(plain)).count() > 0
