@@ -5,6 +5,8 @@ is left of a line is bounded by the calendar, so its spans are gathered into one
 array and compared inside the row: no self-joins over history.
 """
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -170,13 +172,15 @@ def numeric_changes(facts, filings, aliases=None, bases=None):
 def first_itemized(changes, facts, bases):
     """Marks new lines under a concept the company never tagged before, three or more at once."""
     earlier = with_bases(facts.select("company_id", "xbrl_concept", "filing_id"), bases).where(
-        F.col("filing_id") != F.col("latest_filing")).select("company_id", "xbrl_concept").distinct()
+        F.col("filing_id") != F.col("latest_filing")).select("company_id", "xbrl_concept", F.lit(True).alias("_tagged")).distinct()
     keys = ["company_id", "category", "xbrl_concept", "currency"]
-    fresh = changes.where(F.col("change_type") == "new").join(earlier, ["company_id", "xbrl_concept"], "left_anti")
-    counted = fresh.groupBy(*keys).agg(F.count(F.lit(1)).alias("itemized")).where(F.col("itemized") >= fv.FIRST_ITEMIZED_MIN)
-    counted = counted.withColumn("first_itemized", F.concat_ws(":", "category", "xbrl_concept"))
-    marked = changes.join(counted.withColumn("change_type", F.lit("new")), [*keys, "change_type"], "left")
-    return marked
+    # counted where the changes stand: joining their counts to them would compare all lines a second time
+    rows = changes.join(earlier, ["company_id", "xbrl_concept"], "left")
+    fresh = (F.col("change_type") == "new") & F.col("_tagged").isNull() & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    counted = F.sum(F.when(fresh, 1)).over(Window.partitionBy(*keys))
+    marked = F.when(fresh & (F.col("_n") >= fv.FIRST_ITEMIZED_MIN), F.col("_n"))
+    rows = rows.withColumn("_n", counted).withColumn("itemized", marked).drop("_n", "_tagged")
+    return rows.withColumn("first_itemized", F.when(F.col("itemized").isNotNull(), F.concat_ws(":", "category", "xbrl_concept")))
 
 
 def stems(text):
