@@ -88,9 +88,10 @@ def capital_sections(items):
                      F.length("label").alias("n"), F.col("line_key").alias("k"))
     once = alive.withColumn("_signature", F.sha1(F.to_json(signature))).withColumn("_order", order)
     kept = pick(once, ["company_id", "section", "_signature"], ["_order"], largest=False)
-    counts = kept.groupBy("company_id", "section").agg(F.count(F.lit(1)).alias("n"))
-    shown = top_n(kept, ["company_id", "section"], ["_order"], fv.MAX_ITEMS, "place").drop("_order", "_signature")
-    return shown.join(counts, ["company_id", "section"]).withColumn("more", F.greatest(F.lit(0), F.col("n") - fv.MAX_ITEMS)).drop("n")
+    # the items are counted where they are ranked; reading them a second time would make them a second time
+    n = F.count(F.lit(1)).over(Window.partitionBy("company_id", "section"))
+    kept = kept.where("company_id IS NOT NULL AND section IS NOT NULL").withColumn("more", F.greatest(F.lit(0), n - fv.MAX_ITEMS))
+    return top_n(kept, ["company_id", "section"], ["_order"], fv.MAX_ITEMS, "place").drop("_order", "_signature")
 
 
 def breakdown_view(facts, wide_rows, families=("segment", "geography", "product"), kind="annual"):
@@ -286,7 +287,12 @@ def interim_note(profiles, filings):
         .when(F.col("interim_kind").isNotNull(), F.lit(None)).when(foreign, "foreign_annual_only").otherwise("no_tagged_quarters").alias("note"))
 
 
+def half_year_label(half_yearly):
+    """The label of a fact; half-yearly issuers' second-quarter labels are read as half years."""
+    half = half_yearly & (F.col("fiscal_period") == "Q2") & ((F.col("period_type") == "instant") | (F.coalesce("period_months", F.lit(0)) >= 6))
+    return F.when(half, "H1").otherwise(F.col("fiscal_period"))
+
+
 def half_year_labels(facts):
-    """Half-yearly issuers' second-quarter labels read as half years."""
-    half = (F.col("fiscal_period") == "Q2") & ((F.col("period_type") == "instant") | (F.coalesce("period_months", F.lit(0)) >= 6))
-    return facts.withColumn("fiscal_period", F.when(half, "H1").otherwise(F.col("fiscal_period")))
+    """Facts of half-yearly issuers under these labels."""
+    return facts.withColumn("fiscal_period", half_year_label(F.lit(True)))
