@@ -11,7 +11,7 @@ from folioscope.operators import numeric_changes as nc
 from folioscope.operators import renames as rn
 from folioscope.plans import metrics, twins
 from folioscope.plans import views as pv
-from folioscope.session import checkpointed
+from folioscope.session import checkpointed, stored
 
 from .changes import ORACLES as CHANGES
 from .changes import _scored, day
@@ -164,7 +164,7 @@ def group_counts(spark, d):
 
 
 def audit_candidates(spark, d):
-    c = twins.change_rows(_scored(spark, d))
+    c = stored(twins.change_rows(_scored(spark, d)))
     by_label, by_id = F.array(F.lit("metric revenue")), F.array(F.lit("metric revenue"), F.lit("debt.line_18|instant"))
 
     def point(position, name, refs):
