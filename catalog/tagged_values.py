@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import facts as fa
 from folioscope.plans import twins
+from folioscope.session import stored
 
 from .changes import day
 from .views import VIEWS, sql
@@ -25,7 +26,7 @@ def metric_facts(spark, d):
 
 
 def family_facts(spark, d):
-    profiled = _profiled(spark, d)
+    profiled = stored(_profiled(spark, d))
     f = fa.family_facts(profiled, fa.metric_facts(profiled, spark))
     return f.select("filing_id", "category", "fact_key", "label", day("period_start").alias("period_start"), day("period_end").alias("period_end"), "value",
                     "currency", "confidence")

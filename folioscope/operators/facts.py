@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import labels, periods
-from ..functions.arith import literal_map, once
+from ..functions.arith import gather, literal_map, once
+from ..session import stored
 from .latest import pick
 
 # FIXED VALUES: confidence of a reading; concepts that tell the reporting currency.
@@ -142,12 +143,15 @@ def family_facts(profiled, metric_values):
     subsequent = F.exists(dims, lambda d: labels.local_name(d.key) == SUBSEQUENT_AXIS)
     kept = F.array_sort(F.filter(dims, lambda d: (labels.local_name(d.key) != SUBSEQUENT_AXIS) & ~F.concat_ws(
         "=", labels.local_name(d.key), labels.local_name(d.value)).isin(NEUTRAL)))
-    rows = once(profiled.where(F.col("value").isNotNull()), key_dims=kept, subsequent=subsequent)
+    # what metrics have taken is looked up among the filing's own rows, so these are moved once, by filing, for all that follows
+    taken = metric_values.select("filing_id", F.col("xbrl_concept").alias("concept"), "period_start", "period_end", F.lit(True).alias("_taken")).where(
+        "filing_id IS NOT NULL AND concept IS NOT NULL AND period_end IS NOT NULL")
+    rows = profiled.where(F.col("value").isNotNull()).withColumn("_taken", F.lit(False)).unionByName(taken, allowMissingColumns=True)
+    rows = gather(rows.withColumn("_s", F.coalesce("period_start", F.lit("0001-01-01").cast("date"))), "filing_id")
+    found = F.max("_taken").over(Window.partitionBy("filing_id", "concept", "_s", "period_end"))
+    rows = once(rows.withColumn("_found", found).where(~F.col("_taken")), key_dims=kept, subsequent=subsequent)
+    rows = rows.where(~F.col("_found") | (F.size("key_dims") > 0)).drop("_s", "_taken", "_found")
     rows = once(rows, axes=F.transform("key_dims", lambda d: labels.local_name(d.key)))
-    taken = metric_values.select("filing_id", F.col("xbrl_concept").alias("concept"), F.coalesce("period_start", F.lit("0001-01-01").cast("date")).alias("_s"),
-                                 "period_end", F.lit(True).alias("_taken")).distinct()
-    rows = rows.withColumn("_s", F.coalesce("period_start", F.lit("0001-01-01").cast("date"))).join(
-        taken, ["filing_id", "concept", "_s", "period_end"], "left").where(F.col("_taken").isNull() | (F.size("key_dims") > 0)).drop("_s", "_taken")
     broken = breakdown_concepts()
     metric = F.try_element_at(literal_map({c: m for c, (m, _) in broken.items()}), F.col("concept"))
     rank = F.try_element_at(literal_map({c: r for c, (_, r) in broken.items()}), F.col("concept"))
@@ -155,9 +159,11 @@ def family_facts(profiled, metric_values):
     view = F.when(F.size("key_dims") == 1, F.when(axis.isin(fv.SEGMENT_AXES), "segment").when(
         axis.isin(fv.GEOGRAPHY_AXES) & (metric == "revenue"), "geography").when(axis.isin(fv.PRODUCT_AXES) & (metric == "revenue"), "product"))
     breakdown = F.when(metric.isNotNull(), view)
-    # rules run once per distinct (concept, axes): a few thousand whatever the number of facts
-    kinds = rows.select("concept", "axes").distinct()
-    kinds = once(kinds, family=labels.family_of("concept", "axes"))
+    # rules run once per distinct (concept, axes): a few thousand whatever the number of facts.  Most rows are of a few
+    # of these; stored, the kinds are of known size, and no row is moved to the task of its kind where they are small
+    kinds = once(profiled.where(F.col("value").isNotNull()).select("concept", "dimensions"), key_dims=kept)
+    kinds = kinds.select("concept", F.transform("key_dims", lambda d: labels.local_name(d.key)).alias("axes")).distinct()
+    kinds = stored(once(kinds, family=labels.family_of("concept", "axes")))
     rows = rows.join(kinds, ["concept", "axes"], "left").withColumn("breakdown", breakdown).where(
         F.col("breakdown").isNotNull() | F.col("family").isNotNull())
     member = F.try_element_at("key_dims", F.lit(1))
