@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import facts as fa
 from folioscope.operators import numeric_changes as nc
+from folioscope.operators import wording
 from folioscope.operators.latest import year_earlier
 from folioscope.plans import snapshot, twins, views
 
@@ -89,3 +90,32 @@ def test_lines_do_not_move_to_their_kind_or_metric(spark, tmp_path):
     lines = fa.family_facts(profiled, fa.metric_facts(profiled, spark))
     assert "hashpartitioning(concept" not in _plan(lines) and "_s#" not in "".join(x for x in _plan(lines).splitlines() if "Exchange" in x)
     assert {r.fact_key for r in lines.collect()} == {"guarantee.guarantee_obligations_maximum_exposure.line_17"}
+
+
+def test_the_sentences_of_a_pair_are_compared_where_they_stand(spark):
+    """Rows that stand by pair in any number of tasks do not move again, are not joined and not stored."""
+    def line(n, end):
+        return f"The {n} carrier signed a charter for {n} vessels with partners in {n} harbours {end}."
+
+    names = ["alpha", "bravo", "carol", "delta"]
+    texts = [(p, s, " ".join(line(n, e) for n in names[p:])) for p in (0, 1) for s, e in (("new", "again"), ("base", "before"))] + [(2, "new", line("echo", "once"))]
+    df = spark.createDataFrame(texts, "pair_id long, side string, text string").repartition(13, "pair_id")
+    out = wording.compare_sentences(wording.sentence_rows(df, ["pair_id", "side"]))
+    assert _plan(out).count("Exchange") == 1 and "Join" not in _plan(out) and "ExistingRDD[pair_id#" in _plan(out)
+    got = {(r.pair_id, r.side, r.pos): (r.status, r.old_text) for r in out.collect()}
+    assert {k: v for k, v in got.items() if k[1] == "new"} == {
+        **{(p, "new", i): ("reworded", line(n, "before")) for p in (0, 1) for i, n in enumerate(names[p:])}, (2, "new", 0): ("new", None)}
+    assert {v for k, v in got.items() if k[1] == "base"} == {("used", None)} and len(got) == 4 + 4 + 3 + 3 + 1
+
+
+def test_a_text_is_split_once_and_goes_to_its_pairs_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(twins, "TASK_TEXTS", 1)
+    said = "The carrier signed a charter for nine vessels with partners in the northern harbours again."
+    rows = [(i, f"{said}\nIt also sold the {'old ' * i}warehouses beside the river to a partner of the group.", "en", "src0", 1) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    inputs = twins.diff_inputs(spark, str(tmp_path))
+    assert "hashpartitioning(pair_id#" in _plan(inputs) and ", 20), REPARTITION_BY_NUM" in _plan(inputs)
+    below = _plan(inputs).split("REPARTITION_BY_NUM", 1)
+    assert "regexp_replace" in below[1] and "Table of Contents" not in below[0]
+    got = {(r.pair_id, r.pos): r.status for r in wording.compare_sentences(inputs).where("side = 'new'").collect()}
+    assert [got[i, 0] for i in (0, 1, 19)] == ["new", "repeated", "repeated"] and got[7, 1] == "reworded"
