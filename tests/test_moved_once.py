@@ -119,3 +119,23 @@ def test_a_text_is_split_once_and_goes_to_its_pairs_in_bounded_tasks(spark, tmp_
     assert "regexp_replace" in below[1] and "Table of Contents" not in below[0]
     got = {(r.pair_id, r.pos): r.status for r in wording.compare_sentences(inputs).where("side = 'new'").collect()}
     assert [got[i, 0] for i in (0, 1, 19)] == ["new", "repeated", "repeated"] and got[7, 1] == "reworded"
+
+
+def test_texts_meet_their_base_in_one_move(spark):
+    day = date.fromisoformat
+    filings = spark.createDataFrame([(1, 10, "10-K", day("2023-12-31"), True), (1, 11, "10-Q", day("2024-03-31"), False), (1, 12, "10-Q", day("2024-06-30"), False),
+                                     (2, 20, "10-K", day("2024-12-31"), True)], "company_id long, filing_id long, form_type string, period_end date, is_annual boolean")
+    report = "struct<filing_id:long,is_annual:boolean,period_end:date>"
+    bases = spark.createDataFrame([(1, (12, False, day("2024-06-30")), (10, True, day("2023-12-31"))), (2, (20, True, day("2024-12-31")), None)],
+                                  f"company_id long, latest {report}, annual {report}")
+    rows = [(f, c, n, f"{c} of {f} {n}") for f in (10, 11, 12, 20) for c in ("risk_factors", "guarantees", "subsequent_events") for n in (1, 2)] + [
+        (12, "commitments", 1, "new here"), (None, "guarantees", 1, "of nobody"), (12, "guarantees", 3, "guarantees of 12 1")]
+    sections = spark.createDataFrame(rows, "filing_id long, category string, ordinal int, text string").where("ordinal < 9")
+    pairs = wording.section_pairs(wording.merged_sections(sections), filings, bases)
+    assert _plan(pairs).count("SortMergeJoin") == 2  # bases with reports, and their texts
+    got = {r.pair_id: (r.text, r.base_text, r.same_kind) for r in pairs.collect()}
+    assert got == {
+        "1|risk_factors|12|10": ("risk_factors of 12 1\n\nrisk_factors of 12 2", "risk_factors of 10 1\n\nrisk_factors of 10 2", False),
+        "1|guarantees|12|11": ("guarantees of 12 1\n\nguarantees of 12 2", "guarantees of 11 1\n\nguarantees of 11 2", True),
+        "1|subsequent_events|12|11": ("subsequent_events of 12 1\n\nsubsequent_events of 12 2", "subsequent_events of 11 1\n\nsubsequent_events of 11 2", True),
+        "2|subsequent_events|20|": ("subsequent_events of 20 1\n\nsubsequent_events of 20 2", None, False)}
