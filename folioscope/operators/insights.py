@@ -7,7 +7,7 @@ from ..functions import figures as fig
 from ..functions import fixed_values as fv
 from ..functions import labels
 from ..functions import text as T
-from ..functions.arith import col, folded, lookup, once
+from ..functions.arith import col, folded, gather, lookup, once
 from ..functions.periods import fiscal_label
 from ..functions.score import stable_id, with_score
 from .latest import pick, top_n
@@ -298,6 +298,8 @@ def extraction_inputs(companies, filings, sections, bases, limits=None):
     pairs = bases.select("filing_id", "base_filing_id").join(annual, "filing_id").join(risks.select("filing_id", F.col("risk_factors").alias("new")), "filing_id").join(
         risks.select(F.col("filing_id").alias("base_filing_id"), F.col("risk_factors").alias("base")), "base_filing_id")
     sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("text")) for side in ("new", "base")])
+    # both texts of a pair move together, and are split where they are compared
+    pairs = gather(pairs.select("filing_id", "new", "base"), "filing_id")
     sentences = sentence_rows(pairs.select("filing_id", F.lit(False).alias("same_kind"), F.inline(sides)), ["filing_id", "side", "same_kind"])
     blocks = changed_risks(section_diff(sentences, "filing_id"), ["filing_id"], limits["risk_changes"])
     weight = F.coalesce(F.array_max(F.transform("triggers", lambda t: t.weight)), F.lit(0.0))
